@@ -7,7 +7,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,13 +14,21 @@ from pyspark.sql import functions as F
 from talweg.session import Scratch
 
 #: A word is one of the corpus's own (function words and the words of its records) if at least this share of the texts of a language has it.
-WORD_SHARE = 0.02
+WORD_SHARE = 0.03
 #: An n-gram is kept if at least this share of the texts of a language has it; texts have a few hundred, so the table is bounded.
 GRAM_SHARE = 0.001
 #: The model is trained on the texts whose words are least unusual; this share of each language stays out.
 TRIMMED = 0.08
 
-_TAG = re.compile(r"<[^<>]{1,500}>")
+#: A context weighs as much as the shorter one once this share of the texts has it, so what a few pages repeat is not learned from them.
+PRIOR_SHARE = 0.15
+#: Every text also has so many tokens of the middling text, so that a few words prove nothing.
+PRIOR_TOKENS = 20
+#: Nats per token above the middle text: perplexity about seven times as high.
+ABNORMAL = 1.95
+
+_ANCHOR = re.compile(r"<a\s[^<>]{0,2000}>|\]\([^()\s]{1,2000}\)", re.I)
+_MARKUP = re.compile(r"<[^<>]{1,2000}>|(?<=\w|[.,;:!?)])(?:\*+|_+|~+|`+)|(?:\*+|_+|~+|`+)(?=\w)")
 _TOKEN = re.compile(r"(?:https?://|www\.)\S+|[^\W\d_]+|\d[\d.,:]*|\n+|[^\w\s]", re.I)
 
 
@@ -34,9 +41,9 @@ def language(c: Column | str) -> Column:
 
 
 def tokens_of(text: str) -> list[str]:
-    """Words in lower case, numbers, links, line ends and punctuation; tags vanish."""
+    """Words in lower case, numbers, links, line ends and punctuation; tags and emphasis vanish, an anchor leaves its link."""
     out = []
-    for t in _TOKEN.findall(_TAG.sub(" ", text)):
+    for t in _TOKEN.findall(_MARKUP.sub(" ", _ANCHOR.sub(" http://a ", text))):
         if t[0] == "\n":
             out.append("\n")
         elif t[0].isdigit():
@@ -63,6 +70,27 @@ def classes_of(tokens: list[str], words: set[str]) -> list[str]:
     return out
 
 
+class _Voice:
+    """The language whose own words a text uses most; the commonest language if none."""
+
+    def __init__(self, words: dict[str, set[str]], common: str):
+        self.common = common
+        at: dict[str, list[str]] = {}
+        for k, ws in words.items():
+            for w in ws:
+                if w.isalpha():
+                    at.setdefault(w, []).append(k)
+        self.at = {w: tuple(sorted(ks)) for w, ks in at.items()}
+
+    def of(self, tokens: list[str]) -> str:
+        sets = Counter(map(self.at.get, tokens))
+        total: Counter[str] = Counter()
+        for ks, n in sets.items():
+            for k in ks or ():
+                total[k] += n
+        return max(total, key=lambda k: (total[k], k == self.common, k)) if total else self.common
+
+
 def _grams(cls: list[str]) -> set[str]:
     """The n-grams of order 1 to 3 of one text, as text."""
     line = ["^", "^", *cls]
@@ -74,7 +102,7 @@ class ClassModel:
 
     def __init__(self, grams: dict[str, float], floor: float):
         self.logp: dict[tuple[str, str, str], float] = {}
-        self.grams, self.floor = grams, floor
+        self.grams, self.floor, self.prior = grams, floor, PRIOR_SHARE
         self.total = sum(v for k, v in grams.items() if "\t" not in k) or 1.0
         self.after: Counter[str] = Counter()
         for k, v in grams.items():
@@ -85,8 +113,8 @@ class ClassModel:
         g, after = self.grams, self.after
         p = (g.get(c, 0.0) + self.floor) / (self.total + 1000 * self.floor)
         n1, n2 = after.get(b, 0.0), after.get(f"{a}\t{b}", 0.0)
-        k = 20 * self.floor
-        p = (g.get(f"{b}\t{c}", 0.0) + k * 5 * p) / (n1 + k * 5)
+        k = self.prior
+        p = (g.get(f"{b}\t{c}", 0.0) + k * p) / (n1 + k)
         return (g.get(f"{a}\t{b}\t{c}", 0.0) + k * p) / (n2 + k)
 
     def score(self, cls: list[str]) -> list[float]:
@@ -122,14 +150,14 @@ def _count(df: DataFrame, fn, keys: str) -> DataFrame:
 
 
 def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, trimmed: float = TRIMMED) -> DataFrame:
-    """(doc_id, lang, tokens, perplexity, odd_share, own_share) of every text that has a word.
+    """(doc_id, lang, tokens, own_share, again_share, perplexity, excess) of every text that has a word.
 
-    Three passes over all texts. The first counts in how many texts of a language each word stands: words of at least
-    ``word_share`` of them are function words and the vocabulary of its records. The second counts n-grams of word classes
-    (``classes_of``) over the prose and records of each language, leaving out the share ``trimmed`` of its texts with the
-    most other words. The third scores each text under every language's trigram model and keeps the model it fits best, so
-    a wrong language code does no harm. ``perplexity`` is the exponent of the mean negative log probability, ``odd_share``
-    the share of tokens of lines that are improbable for their length, ``own_share`` that of the corpus's own words.
+    Four passes over all texts. The first counts in how many texts of a language each word stands: words of at least
+    ``word_share`` of them are function words and the vocabulary of its records. The second hears each text's language from
+    the words it uses and how unusual the others are. The third counts n-grams of word classes (``classes_of``) over the
+    prose and records of each language, leaving out the share ``trimmed`` of its texts with the most unusual words. The
+    fourth scores each text under the trigram model of its language. ``perplexity`` is the exponent of the mean surprise of
+    a token, ``excess`` how far that mean is above the middle text's, ``own_share`` the share of words that are the corpus's own, ``again_share`` that of other words said again.
 
     Texts of an unknown language are counted with the commonest one. Null and empty texts and null ids do not come out;
     repeated texts count each.
@@ -140,26 +168,33 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
     common = sizes[0]["lang"] if sizes else "en"
     own = own.withColumn("lang", F.when(F.col("lang").isin([r["lang"] for r in sizes]), F.col("lang")).otherwise(common))
     docs = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.col("n") / F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in docs.items()], F.lit(1.0))
+    of_texts = lambda n: F.col("n") / F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in n.items()], F.lit(1.0))
 
-    counted = _count(own, lambda _, t: {w for w in tokens_of(t) if w.isalpha() or len(w) == 1}, "word").filter(share >= word_share)
+    counted = _count(own, lambda _, t: {w for w in tokens_of(t) if w.isalpha() or len(w) == 1}, "word").filter(of_texts(docs) >= word_share)
     words: dict[str, set[str]] = {k: set() for k in docs}
     for r in counted.collect():  # at most (distinct words per text) / word_share for each language
         words[r["lang"]].add(r["word"])
 
+    voice = _Voice(words, common)
+
     def unusual(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for lang_, t in zip(b["lang"], b["text"]):
-                cls = classes_of(tokens_of(t), words[lang_])
-                out.append(sum(2 * (c == "R") + (c == "N") + (c in "P@") for c in cls) / max(len(cls), 1))
-            yield b[["lang", "text"]].assign(odd=out)
-
-    rated = own.select("lang", "text").mapInPandas(unusual, "lang string, text string, odd double")
-    limits = {r["lang"]: r["q"] for r in rated.groupBy("lang").agg(F.percentile_approx("odd", 1 - trimmed, 1000).alias("q")).collect()}
+            langs, odd = [], []
+            for t in b["text"]:
+                tokens = tokens_of(t)
+                langs.append(voice.of(tokens))
+                cls = classes_of(tokens, words[langs[-1]])
+                odd.append(sum(2 * (c == "R") + (c == "N") + (c in "P@") for c in cls) / max(len(cls), 1))
+            yield pd.DataFrame({"lang": langs, "text": b["text"], "odd": odd})
+
+    rated = own.select("text").mapInPandas(unusual, "lang string, text string, odd double")
+    docs = {}
+    limits = {}
+    for r in rated.groupBy("lang").agg(F.percentile_approx("odd", 1 - trimmed, 1000).alias("q"), F.count("*").alias("n")).collect():
+        limits[r["lang"]], docs[r["lang"]] = r["q"], r["n"]
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in limits.items()], F.lit(0.0))
     kept = rated.filter(F.col("odd") <= limit)
-    grams = _count(kept, lambda k, t: _grams(classes_of(tokens_of(t), words[k])), "gram").withColumn("share", share).filter(F.col("share") >= gram_share)
+    grams = _count(kept, lambda k, t: _grams(classes_of(tokens_of(t), words[k])), "gram").withColumn("share", of_texts(docs)).filter(F.col("share") >= gram_share)
     grams = scratch.save(grams, "grams")
     tables: dict[str, dict[str, float]] = {k: {} for k in docs}
     for r in grams.collect():  # at most (distinct n-grams per text) / gram_share for each language
@@ -168,26 +203,30 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, grams_ = shared.value
+        voice = _Voice(vocab, common)
         models = {k: ClassModel(g, gram_share) for k, g in grams_.items()}
         for b in batches:
             out = []
             for d, t in zip(b["doc_id"], b["text"]):
                 tokens = tokens_of(t)
-                if not any(x[0].isalnum() for x in tokens):
-                    continue
-                best = None
-                for k, m in models.items():
-                    cls = classes_of(tokens, vocab[k])
-                    s = m.score(cls)
-                    mean = sum(s) / len(s)
-                    if best is None or mean < best[0]:
-                        best = mean, k, cls, s
-                mean, k, cls, s = best
                 alpha = sum(1 for x in tokens if x[0].isalpha())
-                foreign = sum(c in "NR" for c in cls)
-                again = cls.count("R")
-                out.append((d, k, len(tokens), math.exp(mean), float(np.mean(np.array(s) > 4.0)), 1 - foreign / max(alpha, 1), again / max(alpha, 1)))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "tokens", "perplexity", "odd_share", "own_share", "again_share"])
+                if not alpha:
+                    continue
+                k = voice.of(tokens)
+                cls = classes_of(tokens, vocab[k])
+                total = sum(models[k].score(cls))
+                new, again = cls.count("N"), cls.count("R")
+                out.append((d, k, len(tokens), total, 1 - (new + again) / alpha, again / alpha))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "tokens", "surprise", "own_share", "again_share"])
 
     kind = dict(own.dtypes)["doc_id"]
-    return own.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, lang string, tokens long, perplexity double, odd_share double, own_share double, again_share double")
+    scored = own.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, lang string, tokens long, surprise double, own_share double, again_share double")
+    scored = scratch.save(scored, "scored")
+    middle = scored.agg(F.percentile_approx(F.col("surprise") / F.col("tokens"), 0.5, 1000).alias("_m"))
+    mean = (F.col("surprise") + PRIOR_TOKENS * F.coalesce("_m", F.lit(0.0))) / (F.col("tokens") + PRIOR_TOKENS)
+    return scored.crossJoin(middle).withColumns({"perplexity": F.exp(mean), "excess": mean - F.col("_m")}).drop("_m", "surprise")
+
+
+def keyword_pages(scores: DataFrame, abnormal: float = ABNORMAL) -> DataFrame:
+    """The scores of the pages whose mean surprise is more than ``abnormal`` nats above that of the middle text."""
+    return scores.filter(F.col("excess") > abnormal)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.functions.common import sized_join
+from talweg.functions.common import safe_div, sized_join
 from talweg.functions.prefix import running_total
 from talweg.session import Scratch
 
@@ -51,9 +51,9 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> Data
     own = t.join(sizes, "source", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     live = own.filter("size > 0")
     goal = live.agg(F.sum("target_share").alias("_live"), F.min(F.col("size") * F.col("max_repeats") / F.col("target_share")).alias("_most"))
-    whole = (F.lit(float(total)) / F.col("_live")) if total else F.col("_most")
+    whole = safe_div(F.lit(float(total)), F.col("_live")) if total else F.col("_most")
     most = F.col("size") * F.col("max_repeats")
-    return own.crossJoin(goal).withColumn("demand", F.least(F.floor(whole * F.col("target_share") + 1e-6), most).cast("long")).drop("_live", "_most")
+    return own.crossJoin(goal).withColumn("demand", F.coalesce(F.least(F.floor(whole * F.col("target_share") + 1e-6), most), F.lit(0)).cast("long")).drop("_live", "_most")
 
 
 def _positions(c: np.ndarray, ramp: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def mixture(documents: DataFrame, doc_id: str, source: str, text: str, targets:
     tilt = ramps.select(source_name("source").alias("source"), F.col("ramp").cast("double").alias("ramp")).groupBy("source").agg(F.avg("ramp").alias("ramp")) if ramps is not None else None
     goals = goals.join(tilt, "source", "left") if tilt is not None else goals.withColumn("ramp", F.lit(0.0))
     goals = goals.withColumn("ramp", F.coalesce("ramp", F.lit(0.0)))
-    mean = goals.agg((F.sum(F.col("ramp") * F.col("demand")) / F.sum("demand")).alias("_mean"))
+    mean = goals.agg(safe_div(F.sum(F.col("ramp") * F.col("demand")), F.sum("demand")).alias("_mean"))
     goals = goals.crossJoin(mean).withColumn("ramp", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ramp") - F.coalesce("_mean", F.lit(0.0))))).drop("_mean")
     goals = scratch.save(goals, "goals")
     use = goals.filter("demand > 0").select("source", "size", "demand", "ramp")
@@ -112,7 +112,7 @@ def mixture(documents: DataFrame, doc_id: str, source: str, text: str, targets:
     report = goals.select("source", "target_share", "max_repeats", F.col("size").alias("source_tokens")).join(w, "source", "left").crossJoin(whole)
     report = report.select(
         "source", "target_share", "max_repeats", "source_tokens", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"),
-        F.coalesce(F.col("_last") + 1, F.lit(0)).alias("repeats"), F.coalesce(F.col("tokens") / F.col("_whole"), F.lit(0.0)).alias("share"),
+        F.coalesce(F.col("_last") + 1, F.lit(0)).alias("repeats"), F.coalesce(safe_div(F.col("tokens"), F.col("_whole")), F.lit(0.0)).alias("share"),
     )
     parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     return mix.repartitionByRange(parts, "position").sortWithinPartitions("position", "source", "doc_id", "copy"), report

@@ -111,9 +111,9 @@ def group_percentiles(values: DataFrame, keys: list[str], value: str, probs: lis
         cut = scratch.save(active.join(sums, "iid"), f"cut{rounds}")
         from_lt, upto_eq = F.col("below") + F.col("n_lt"), F.col("below") + F.col("n_lt") + F.col("n_eq")
         hit = cut.select("gid", F.explode(F.filter("ranks", lambda r: (r >= from_lt) & (r < upto_eq))).alias("rank"), F.col("pivot").alias("value"))
-        left = cut.select("gid", (F.col("iid") * 2 + 1).alias("iid"), "lo", F.col("pivot").alias("hi"), "below", F.col("n_lt").alias("size"), F.filter("ranks", lambda r: r < from_lt).alias("ranks"), F.col("p_lt").alias("pivot"))
-        right = cut.select("gid", (F.col("iid") * 2 + 2).alias("iid"), F.col("pivot").alias("lo"), "hi", upto_eq.alias("below"), F.col("n_gt").alias("size"), F.filter("ranks", lambda r: r >= upto_eq).alias("ranks"), F.col("p_gt").alias("pivot"))
-        both = left.unionByName(right).filter(F.size("ranks") > 0).withColumn("iid", F.xxhash64("gid", "lo", "hi"))
+        low = F.struct("lo", F.col("pivot").alias("hi"), "below", F.col("n_lt").alias("size"), F.filter("ranks", lambda r: r < from_lt).alias("ranks"), F.col("p_lt").alias("pivot"))
+        high = F.struct(F.col("pivot").alias("lo"), "hi", upto_eq.alias("below"), F.col("n_gt").alias("size"), F.filter("ranks", lambda r: r >= upto_eq).alias("ranks"), F.col("p_gt").alias("pivot"))
+        both = cut.select("gid", F.explode(F.array(low, high)).alias("s")).select("gid", F.xxhash64("gid", "s.lo", "s.hi").alias("iid"), "s.*").filter(F.size("ranks") > 0)
         scratch.save(hit, f"hit{rounds}")
         state = scratch.save(both.select(*schema.names), f"state{rounds}")
         found.append(f"hit{rounds}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.functions.common import finite, station_id
-from talweg.llm.keyword_pages import page_scores
+from talweg.llm.keyword_pages import keyword_pages, page_scores
 from talweg.llm.leakage import leaks
 from talweg.llm.mixture import mixture
 from talweg.llm.percentiles import bin_counts, group_percentiles, percentiles_of_bins
@@ -137,10 +137,14 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     return page_scores(table(spark, folder, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_zone_percentiles, p2_station_medians, p2_combined, p6_found, p6_entities, p6_splits, p6_balance, p7_found, p7_spans, p8_mixture, p8_shares, p9_scores)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Keyword lists, link lists, menus and product tags."""
+    return keyword_pages(p9_scores(spark, folder)).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_zone_percentiles, p2_station_medians, p2_combined, p6_found, p6_entities, p6_splits, p6_balance, p7_found, p7_spans, p8_mixture, p8_shares, p9_found, p9_scores)}
 
 _PAD = "CASE WHEN length({0}) < 8 THEN lpad({0}, 8, '0') ELSE {0} END"
-_STATION = "(SELECT " + _PAD.format("b") + " FROM (SELECT regexp_replace(trim({0}), '^[A-Za-z]+(-|:|_+)', '') AS b))"
 
 
 def _station(c: str) -> str:
