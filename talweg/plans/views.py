@@ -3,7 +3,7 @@
 reach     a forest over ``part``: comid = p_partkey + 1, downstream comid div 4, length and slope from size and price
 qr        lateral inflow per reach and day from ``lineitem``
 gauge     from ``supplier``; obs: its daily observations from ``orders``
-hourly    user hours of ``events``
+hourly    user hours of ``events``, read as cubic feet and given in cubic metres
 network   the live reaches of ``flowlines`` with their downstream links
 """
 
@@ -17,6 +17,10 @@ from talweg.operators.flowlines import downstream_links, reach_status
 from talweg.sources.tables import table
 
 
+#: Cubic metres per cubic foot.
+CFS = 0.028316846592
+
+
 def reach(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("p_partkey") + 1
     return table(spark, d, "part").select(
@@ -45,7 +49,7 @@ def obs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("value"))
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg((F.avg("value") * CFS).alias("value"))
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +84,7 @@ SQL = {
     "qr": "qr AS (SELECT l_partkey + 1 AS comid, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS qr FROM lineitem GROUP BY ALL)",
     "gauge": "gauge AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS staid, (s_suppkey * 7) % (SELECT count(*) FROM part) + 1 AS comid, abs(s_acctbal) AS drain_sqkm, s_acctbal > 0 AS da_valid FROM supplier)",
     "obs": "obs AS (SELECT lpad(CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR), 8, '0') AS staid, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) / CAST(1e4 AS DOUBLE) AS obs FROM orders GROUP BY ALL)",
-    "hourly": "hourly AS (SELECT user_id AS id, date_trunc('hour', ts) AS ts, avg(value) AS value FROM events GROUP BY ALL)",
+    "hourly": "hourly AS (SELECT user_id AS id, date_trunc('hour', ts) AS ts, avg(value) * CAST(0.028316846592 AS DOUBLE) AS value FROM events GROUP BY ALL)",
     "pairs": f"""pq AS (SELECT {_pad('staid')} AS staid, obs_day AS day, max(CAST(daily_q_m3s AS DOUBLE)) AS pred FROM pretrain_rows WHERE isfinite(daily_q_m3s) GROUP BY ALL),
 po AS (SELECT {_pad('gage_id')} AS staid, obs_day AS day, max(streamflow) AS obs FROM daily_obs WHERE isfinite(streamflow) GROUP BY ALL),
 pairs AS (SELECT staid, day, pred, obs FROM pq JOIN po USING (staid, day))""",
