@@ -313,7 +313,7 @@ def t3_window_hours(spark: S, d: str) -> DataFrame:
 
 
 def t4_tiles(spark: S, d: str) -> DataFrame:
-    return v.pairs(spark, d).groupBy("staid", F.floor(F.datediff("day", F.lit("1980-01-01").cast("date")) / 15).alias("tile")).agg(F.count("*").alias("n"), F.avg("obs").alias("obs"))
+    return v.pairs(spark, d).groupBy("staid", F.floor(F.datediff("day", F.lit("1980-01-01").cast("date")) / 15).alias("tile")).agg(F.count("*").alias("n"), F.max("obs").alias("obs"))
 
 
 def t5_repeated_hours(spark: S, d: str) -> DataFrame:
@@ -461,7 +461,7 @@ SQL = {
     "t1_day_axis": _P + ", r AS (SELECT staid, min(day) AS a, max(day) AS b FROM pairs GROUP BY staid HAVING date_diff('day', min(day), max(day)) < 2000), x AS (SELECT staid, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM r) SELECT staid, day, obs FROM x LEFT JOIN pairs USING (staid, day)",
     "t2_window_starts": _P + ", r AS (SELECT staid, min(day) AS a, date_diff('day', min(day), max(day)) + 1 AS n FROM pairs GROUP BY staid) SELECT staid, a + CAST(CASE WHEN n = 30 THEN 0 ELSE CAST('0x' || substr(md5(staid), 1, 8) AS BIGINT) % (n - 30) END AS INTEGER) AS start FROM r WHERE n >= 30",
     "t3_window_hours": "SELECT DISTINCT p_size AS rho, (p_size - 1) * 24 AS hours FROM part",
-    "t4_tiles": _P + " SELECT staid, CAST(floor(date_diff('day', DATE '1980-01-01', day) / CAST(15 AS DOUBLE)) AS BIGINT) AS tile, count(*) AS n, avg(obs) AS obs FROM pairs GROUP BY ALL",
+    "t4_tiles": _P + " SELECT staid, CAST(floor(date_diff('day', DATE '1980-01-01', day) / CAST(15 AS DOUBLE)) AS BIGINT) AS tile, count(*) AS n, max(obs) AS obs FROM pairs GROUP BY ALL",
     "t5_repeated_hours": _N + " SELECT id, day, hour, value FROM hh",
     "t6_linear_hours": _N + " SELECT id, day, hour, greatest(CASE WHEN x < 0 THEN (1 + x) * value - x * bef ELSE (1 - x) * value + x * aft END, 0) AS value FROM hh",
     "t7_quadratic_hours": _N + " SELECT id, day, hour, greatest(value + CAST(0.5 AS DOUBLE) * (aft - bef) * x + CAST(0.5 AS DOUBLE) * (bef - 2 * value + aft) * x * x, 0) AS value FROM hh",
