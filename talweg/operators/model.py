@@ -76,13 +76,13 @@ def predict(attributes: DataFrame, key: str, inputs: list[str], outputs: list[st
 
 
 def disaggregate(days: DataFrame, key: list[str], daily: str, rain: str, weights: Weights) -> DataFrame:
-    """(key, hours): a day's mean flow and 24 hours of rain to 24 hourly flows whose mean is the daily flow. A null day gives null; missing rain is 0."""
+    """(key, hours): a day's mean flow and 24 hours of rain to 24 hourly flows whose mean is the daily flow. A null day gives null, a negative one is spread like a dry one; missing rain is 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             q = b[daily].fillna(0.0).to_numpy("f8")
             r = np.array([np.nan_to_num(np.asarray(a, "f8")) if a is not None and len(a) == 24 else np.zeros(24) for a in b[rain]]).reshape(-1, 24)
-            z = head_logits(weights, np.hstack([np.log(q + 1e-6)[:, None], r])).value
+            z = head_logits(weights, np.hstack([np.log(np.maximum(q, 0.0) + 1e-6)[:, None], r])).value
             e = np.exp(z - z.max(axis=1, keepdims=True))
             h = 24 * q[:, None] * e / e.sum(axis=1, keepdims=True)
             yield b[key].assign(hours=[x if ok else None for x, ok in zip(h, b[daily].notna())])
