@@ -162,7 +162,7 @@ def m3_disaggregate(spark: S, d: str) -> DataFrame:
     """Hourly flow from each station day's mean; the mean of the hours is the day's."""
     r = table(spark, d, "pretrain_rows").select("row_id", finite("daily_q_m3s").alias("q"), F.array_repeat(F.lit(0.0), 24).alias("rain"))
     h = mo.disaggregate(r, ["row_id"], "q", "rain", mo.init_head(25, 24))
-    return h.select("row_id", (F.aggregate("hours", F.lit(0.0), lambda a, x: a + x) / 24).alias("mean"))
+    return h.select("row_id", (F.aggregate("hours", F.lit(0.0), lambda a, x: a + x) / 24 / v.CFS).alias("mean_cfs"))
 
 
 def m5_training_losses(spark: S, d: str) -> DataFrame:
@@ -234,7 +234,7 @@ SQL = {
     "k6_padded_series": v.sql("pairs") + " SELECT staid, date_diff('day', DATE '1980-01-01', max(day)) + 1 AS days, count(obs) AS read FROM pairs WHERE staid < '00100000' GROUP BY staid",
     "k11_tidy_csv": v.sql("gauge") + " SELECT staid, comid FROM gauge",
     "c3_cached_baseline": _GAUGE + f", {v.SQL['qr']} SELECT staid, day, sum(qr) AS q FROM gr JOIN qr USING (comid) GROUP BY ALL",
-    "m3_disaggregate": "SELECT row_id, CASE WHEN isfinite(daily_q_m3s) THEN CAST(daily_q_m3s AS DOUBLE) END AS mean FROM pretrain_rows",
+    "m3_disaggregate": "SELECT row_id, CASE WHEN isfinite(daily_q_m3s) THEN CAST(daily_q_m3s AS DOUBLE) / CAST(0.028316846592 AS DOUBLE) END AS mean_cfs FROM pretrain_rows",
     "w1_pooled_stream": "SELECT user_id, time_bucket(INTERVAL 24 HOUR, ts, TIMESTAMP '2024-01-01 09:00:00') AS start, avg(value) AS value, count(value) AS hours FROM events GROUP BY ALL",
     "w2_sessions_stream": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, b DESC ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS \"first\", max(ts) AS \"last\", count(*) AS n FROM s GROUP BY user_id, s",
 }
