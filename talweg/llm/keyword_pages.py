@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.session import Scratch
@@ -24,11 +24,14 @@ TRIMMED = 0.08
 PRIOR_SHARE = 0.15
 #: Every text also has so many tokens of the middling text, so that a few words prove nothing.
 PRIOR_TOKENS = 20
-#: Nats per token above the middle text: perplexity about seven times as high.
-ABNORMAL = 1.95
+#: Nats per token above the middle text: perplexity eight times as high.
+ABNORMAL = 2.1
+#: Where at least this share of the words are other words said again, perplexity sinks with each repetition, and this excess is enough.
+REPEATED, ABNORMAL_REPEATED = 0.4, 1.0
 
 _ANCHOR = re.compile(r"<a\s[^<>]{0,2000}>|\]\([^()\s]{1,2000}\)", re.I)
 _MARKUP = re.compile(r"<[^<>]{1,2000}>|(?<=\w|[.,;:!?)])(?:\*+|_+|~+|`+)|(?:\*+|_+|~+|`+)(?=\w)")
+_MARKS = re.compile(r"[<*_~`]")
 _TOKEN = re.compile(r"(?:https?://|www\.)\S+|[^\W\d_]+|\d[\d.,:]*|\n+|[^\w\s]", re.I)
 
 
@@ -40,193 +43,233 @@ def language(c: Column | str) -> Column:
     return F.when(F.length(mapped) == 2, mapped)
 
 
-def tokens_of(text: str) -> list[str]:
-    """Words in lower case, numbers, links, line ends and punctuation; tags and emphasis vanish, an anchor leaves its link."""
-    out = []
-    for t in _TOKEN.findall(_MARKUP.sub(" ", _ANCHOR.sub(" http://a ", text))):
-        if t[0] == "\n":
-            out.append("\n")
-        elif t[0].isdigit():
-            out.append("#")
-        elif "://" in t or t[:4].lower() == "www.":
-            out.append("@")
-        else:
-            out.append(t.lower())
-    return out
-
-
-def classes_of(tokens: list[str], words: set[str]) -> list[str]:
-    """The corpus's own words as they are, other words by class: N where it is new in this text, R where it was there before; rare signs as P."""
-    seen: set[str] = set()
-    out = []
-    for t in tokens:
-        if t in words or t in "\n#@":
-            out.append(t)
-        elif t[0].isalpha():
-            out.append("R" if t in seen else "N")
-            seen.add(t)
-        else:
-            out.append("P")
-    return out
-
-
-class _Voice:
-    """The language whose own words a text uses most; the commonest language if none."""
-
-    def __init__(self, words: dict[str, set[str]], common: str):
-        self.common = common
-        at: dict[str, list[str]] = {}
-        for k, ws in words.items():
-            for w in ws:
-                if w.isalpha():
-                    at.setdefault(w, []).append(k)
-        self.at = {w: tuple(sorted(ks)) for w, ks in at.items()}
-
-    def of(self, tokens: list[str]) -> str:
-        sets = Counter(map(self.at.get, tokens))
-        total: Counter[str] = Counter()
-        for ks, n in sets.items():
-            for k in ks or ():
-                total[k] += n
-        return max(total, key=lambda k: (total[k], k == self.common, k)) if total else self.common
-
-
-def _grams(cls: list[str]) -> set[str]:
-    """The n-grams of order 1 to 3 of one text, as text."""
-    line = ["^", "^", *cls]
-    return {"\t".join(line[i - n + 1 : i + 1]) for n in (1, 2, 3) for i in range(2, len(line))}
-
-
-class ClassModel:
-    """Interpolated trigram model over word classes of one language, from shares of texts."""
-
-    def __init__(self, grams: dict[str, float], floor: float):
-        self.logp: dict[tuple[str, str, str], float] = {}
-        self.grams, self.floor, self.prior = grams, floor, PRIOR_SHARE
-        self.total = sum(v for k, v in grams.items() if "\t" not in k) or 1.0
-        self.after: Counter[str] = Counter()
-        for k, v in grams.items():
-            if "\t" in k:
-                self.after[k.rpartition("\t")[0]] += v
-
-    def _p(self, a: str, b: str, c: str) -> float:
-        g, after = self.grams, self.after
-        p = (g.get(c, 0.0) + self.floor) / (self.total + 1000 * self.floor)
-        n1, n2 = after.get(b, 0.0), after.get(f"{a}\t{b}", 0.0)
-        k = self.prior
-        p = (g.get(f"{b}\t{c}", 0.0) + k * p) / (n1 + k)
-        return (g.get(f"{a}\t{b}\t{c}", 0.0) + k * p) / (n2 + k)
-
-    def score(self, cls: list[str]) -> list[float]:
-        """Negative log probability of each class after the two before it."""
-        out, a, b = [], "^", "^"
-        for c in cls:
-            key = (a, b, c)
-            s = self.logp.get(key)
-            if s is None:
-                s = self.logp[key] = -math.log(max(self._p(a, b, c), 1e-12))
-            out.append(s)
-            a, b = b, c
+def raw_tokens(text: str) -> list[str]:
+    """Words, numbers, links, line ends and punctuation; tags and emphasis vanish, an anchor leaves its link."""
+    if "<" in text or "](" in text:
+        text = _ANCHOR.sub(" http://a ", text)
+    if _MARKS.search(text):
+        text = _MARKUP.sub(" ", text)
+    return _TOKEN.findall(text)
+
+
+def normal(t: str) -> str:
+    """Words in lower case; # for a number, @ for a link, one line end for several."""
+    c = t[0]
+    if c == "\n":
+        return "\n"
+    if c.isdigit():
+        return "#"
+    if "://" in t or t[:4].lower() == "www.":
+        return "@"
+    return t.lower()
+
+
+#: Ids of the classes that are no words: line end, number, link, rare sign, new word, word said before, start of text.
+LINE, NUMBER, LINK, SIGN, NEW, AGAIN, START = range(7)
+_FIXED = {"\n": LINE, "#": NUMBER, "@": LINK}
+
+
+class Lexicon:
+    """The corpus's own words of every language, and texts as ids."""
+
+    def __init__(self, words: dict[str, list[str]], common: str):
+        self.langs = sorted(words, key=lambda k: (k != common, k))
+        vocab = sorted(set().union(*words.values()) - set(_FIXED)) if words else []
+        self.base = START + 1 + len(vocab)
+        self.ids = _FIXED | {w: START + 1 + i for i, w in enumerate(vocab)}
+        self.own = np.zeros((max(len(self.langs), 1), self.base), bool)
+        self.own[:, : START + 1] = True
+        for k, lang in enumerate(self.langs):
+            self.own[k, [self.ids[w] for w in words[lang] if w not in _FIXED]] = True
+        self.word = np.array([False] * (START + 1) + [w.isalpha() for w in vocab])
+        self.dtype = np.dtype("<i2") if self.base < 1 << 15 else np.dtype("<i4")
+        self.table: dict[str, int] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        """One id per token; other words get ids from ``base`` on, the same for the same word of a text."""
+        raw = raw_tokens(text)
+        if len(self.table) > 1_000_000:
+            self.table = {}
+        table = self.table
+        for t in set(raw) - table.keys():
+            n = normal(t)
+            i = self.ids.get(n)
+            if i is None:
+                i = SIGN if not n[0].isalpha() else self.base + (hash(n) & 0xFFFFFFFFFFF)
+            table[t] = i
+        return np.array([table[t] for t in raw], "i8")
+
+    def language(self, ids: np.ndarray) -> int:
+        """The language whose own words the text uses most; the commonest language if none."""
+        known = ids[(ids > START) & (ids < self.base)]
+        known = known[self.word[known]]
+        return int(self.own[:, known].sum(axis=1).argmax()) if len(known) else 0
+
+    def classes(self, ids: np.ndarray, k: int) -> np.ndarray:
+        """Own words as they are, others by class: new in this text, or said before; other signs as one class."""
+        out = np.where(ids < self.base, ids, NEW)
+        inside = ids < self.base
+        foreign = ~inside
+        foreign[inside] = ~self.own[k, ids[inside]]
+        sign = np.zeros(len(ids), bool)
+        known = foreign & inside
+        sign[known] = ~self.word[ids[known]]
+        out[sign] = SIGN
+        other = np.flatnonzero(foreign & ~sign)
+        if len(other):
+            out[other] = AGAIN
+            out[other[np.unique(ids[other], return_index=True)[1]]] = NEW
         return out
 
 
-def _count(df: DataFrame, fn, keys: str) -> DataFrame:
-    """Texts per (lang, key): summed per batch in Python before anything is shuffled."""
+def _grams(cls: np.ndarray, size: int) -> list[np.ndarray]:
+    """The n-grams of order 1 to 3 that end at each token, as numbers; ``size`` is the number of classes."""
+    line = np.concatenate([[START, START], cls]).astype("i8")
+    two = line[1:-1] * size + line[2:]
+    return [line[2:], two, line[:-2] * size * size + two]
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        for b in batches:
-            for lang, text in zip(b["lang"], b["text"]):
-                total.update((lang, k) for k in fn(lang, text))
-            if len(total) > 200_000:
-                yield _frame(total)
-                total = Counter()
-        yield _frame(total)
 
-    def _frame(total: Counter) -> pd.DataFrame:
-        return pd.DataFrame([(a, k, n) for (a, k), n in total.items()], columns=["lang", keys, "n"])
+class ClassModel:
+    """Interpolated trigram model over word classes of one language, from shares of texts."""
 
-    return df.select("lang", "text").mapInPandas(part, f"lang string, {keys} string, n long").groupBy("lang", keys).agg(F.sum("n").alias("n"))
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], floor: float, size: int):
+        self.grams, self.floor, self.size = grams, floor, size
+        self.total = grams[0][1].sum() or 1.0
+        self.after = []
+        for keys, shares in grams[1:]:
+            context, at = np.unique(keys // size, return_inverse=True)
+            self.after.append((context, np.bincount(at, weights=shares, minlength=len(context))))
+
+    @staticmethod
+    def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        known, value = table
+        if not len(known):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, value[at], 0.0)
+
+    def surprise(self, grams: list[np.ndarray]) -> np.ndarray:
+        """Negative log probability of each token after the two before it."""
+        one, two, three = (self._look(t, g) for t, g in zip(self.grams, grams))
+        p = (one + self.floor) / (self.total + 1000 * self.floor)
+        for share, keys, after in ((two, grams[1], self.after[0]), (three, grams[2], self.after[1])):
+            p = (share + PRIOR_SHARE * p) / (self._look(after, keys // self.size) + PRIOR_SHARE)
+        return -np.log(np.maximum(p, 1e-12))
 
 
 def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, trimmed: float = TRIMMED) -> DataFrame:
     """(doc_id, lang, tokens, own_share, again_share, perplexity, excess) of every text that has a word.
 
-    Four passes over all texts. The first counts in how many texts of a language each word stands: words of at least
+    The first pass over all texts counts in how many texts of a language each word stands: words of at least
     ``word_share`` of them are function words and the vocabulary of its records. The second hears each text's language from
-    the words it uses and how unusual the others are. The third counts n-grams of word classes (``classes_of``) over the
-    prose and records of each language, leaving out the share ``trimmed`` of its texts with the most unusual words. The
-    fourth scores each text under the trigram model of its language. ``perplexity`` is the exponent of the mean surprise of
-    a token, ``excess`` how far that mean is above the middle text's, ``own_share`` the share of words that are the corpus's own, ``again_share`` that of other words said again.
+    the words it uses and writes it as word classes, with how unusual its other words are. From those, the n-grams of the
+    prose and records of each language are counted, leaving out the share ``trimmed`` of its texts with the most unusual
+    words, and each text is scored under the trigram model of its language. ``perplexity`` is the exponent of the mean
+    surprise of a token, ``excess`` how far that mean is above the middle text's, ``own_share`` the share of words that are
+    the corpus's own, ``again_share`` that of other words said again.
 
     Texts of an unknown language are counted with the commonest one. Null and empty texts and null ids do not come out;
     repeated texts count each.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
     own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), language(lang).alias("lang")).filter("doc_id is not null and text is not null and text <> ''")
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).filter("lang is not null").orderBy(F.desc("n"), "lang").limit(50).collect()
-    common = sizes[0]["lang"] if sizes else "en"
-    own = own.withColumn("lang", F.when(F.col("lang").isin([r["lang"] for r in sizes]), F.col("lang")).otherwise(common))
-    docs = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    of_texts = lambda n: F.col("n") / F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in n.items()], F.lit(1.0))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).collect()  # two-letter codes
+    listed = sorted((-r["n"], r["lang"]) for r in sizes if r["lang"])[:50]
+    common = listed[0][1] if listed else "en"
+    codes = [k for _, k in listed]
+    own = own.withColumn("lang", F.when(F.col("lang").isin(codes), F.col("lang")).otherwise(common))
+    docs = {k: -n for n, k in listed}
+    docs[common] = docs.get(common, 0) + sum(r["n"] for r in sizes if r["lang"] not in docs)
+
+    def words_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, Counter] = {}
+        rows = 0
+        for b in batches:
+            for k, t in zip(b["lang"], b["text"]):
+                total.setdefault(k, Counter()).update({n for n in map(normal, set(raw_tokens(t))) if n.isalpha() or len(n) == 1})
+            rows += len(b)
+            if rows >= 20_000:
+                yield _counts(total)
+                total, rows = {}, 0
+        yield _counts(total)
 
-    counted = _count(own, lambda _, t: {w for w in tokens_of(t) if w.isalpha() or len(w) == 1}, "word").filter(of_texts(docs) >= word_share)
-    words: dict[str, set[str]] = {k: set() for k in docs}
-    for r in counted.collect():  # at most (distinct words per text) / word_share for each language
-        words[r["lang"]].add(r["word"])
+    def _counts(total: dict[str, Counter]) -> pd.DataFrame:
+        return pd.DataFrame([(k, w, n) for k, c in total.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
-    voice = _Voice(words, common)
+    of_texts = lambda n: F.col("n") / F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in n.items()], F.lit(1.0))
+    counted = own.select("lang", "text").mapInPandas(words_in, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(of_texts(docs) >= word_share)
+    words: dict[str, list[str]] = {k: [] for k in docs}
+    for r in counted.collect():  # at most (distinct words per text) / word_share for each language
+        words[r["lang"]].append(r["word"])
+    size = Lexicon(words, common).base
+    kind = dict(own.dtypes)["doc_id"]
 
-    def unusual(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = Lexicon(words, common)
         for b in batches:
-            langs, odd = [], []
-            for t in b["text"]:
-                tokens = tokens_of(t)
-                langs.append(voice.of(tokens))
-                cls = classes_of(tokens, words[langs[-1]])
-                odd.append(sum(2 * (c == "R") + (c == "N") + (c in "P@") for c in cls) / max(len(cls), 1))
-            yield pd.DataFrame({"lang": langs, "text": b["text"], "odd": odd})
-
-    rated = own.select("text").mapInPandas(unusual, "lang string, text string, odd double")
-    docs = {}
-    limits = {}
+            out = []
+            for d, t in zip(b["doc_id"], b["text"]):
+                ids = lex.encode(t)
+                if not len(ids):
+                    continue
+                k = lex.language(ids)
+                cls = lex.classes(ids, k)
+                new, again, odd = int((cls == NEW).sum()), int((cls == AGAIN).sum()), int(((cls == SIGN) | (cls == LINK)).sum())
+                alpha = new + again + int(lex.word[cls].sum())
+                out.append((d, lex.langs[k], cls.astype(lex.dtype).tobytes(), len(cls), alpha, again, new + again, (2 * again + new + odd) / len(cls)))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "cls", "tokens", "alpha", "again", "other", "odd"])
+
+    rated = own.select("doc_id", "text").mapInPandas(classify, f"doc_id {kind}, lang string, cls binary, tokens long, alpha long, again long, other long, odd double")
+    rated = scratch.save(rated, "rated")
+    docs, limits = {}, {}
     for r in rated.groupBy("lang").agg(F.percentile_approx("odd", 1 - trimmed, 1000).alias("q"), F.count("*").alias("n")).collect():
         limits[r["lang"]], docs[r["lang"]] = r["q"], r["n"]
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in limits.items()], F.lit(0.0))
-    kept = rated.filter(F.col("odd") <= limit)
-    grams = _count(kept, lambda k, t: _grams(classes_of(tokens_of(t), words[k])), "gram").withColumn("share", of_texts(docs)).filter(F.col("share") >= gram_share)
-    grams = scratch.save(grams, "grams")
-    tables: dict[str, dict[str, float]] = {k: {} for k in docs}
-    for r in grams.collect():  # at most (distinct n-grams per text) / gram_share for each language
-        tables[r["lang"]][r["gram"]] = r["share"]
-    shared = spark.sparkContext.broadcast((words, tables))
+    dtype = Lexicon(words, common).dtype
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, grams_ = shared.value
-        voice = _Voice(vocab, common)
-        models = {k: ClassModel(g, gram_share) for k, g in grams_.items()}
+    def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for d, t in zip(b["doc_id"], b["text"]):
-                tokens = tokens_of(t)
-                alpha = sum(1 for x in tokens if x[0].isalpha())
-                if not alpha:
-                    continue
-                k = voice.of(tokens)
-                cls = classes_of(tokens, vocab[k])
-                total = sum(models[k].score(cls))
-                new, again = cls.count("N"), cls.count("R")
-                out.append((d, k, len(tokens), total, 1 - (new + again) / alpha, again / alpha))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "tokens", "surprise", "own_share", "again_share"])
+            for k, part in b.groupby("lang"):
+                each = [[np.unique(g) for g in _grams(np.frombuffer(c, dtype), size)] for c in part["cls"]]
+                for order in range(3):
+                    keys, n = np.unique(np.concatenate([e[order] for e in each]), return_counts=True)
+                    yield pd.DataFrame({"lang": k, "gram_order": order, "gram": keys, "n": n})
+
+    kept = rated.filter(F.col("odd") <= limit).select("lang", "cls")
+    grams = kept.mapInPandas(count_grams, "lang string, gram_order int, gram long, n long").groupBy("lang", "gram_order", "gram").agg(F.sum("n").alias("n"))
+    grams = grams.withColumn("share", of_texts(docs)).filter(F.col("share") >= gram_share)
+    tables: dict[str, list] = {k: [([], []) for _ in range(3)] for k in docs}
+    for r in grams.orderBy("gram").collect():  # at most (distinct n-grams per text) / gram_share for each language
+        tables[r["lang"]][r["gram_order"]][0].append(r["gram"])
+        tables[r["lang"]][r["gram_order"]][1].append(r["share"])
+    packed = {k: [(np.array(g, "i8"), np.array(s, "f8")) for g, s in t] for k, t in tables.items()}
+    shared = spark.sparkContext.broadcast(packed)
 
-    kind = dict(own.dtypes)["doc_id"]
-    scored = own.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, lang string, tokens long, surprise double, own_share double, again_share double")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = {k: ClassModel(t, gram_share, size) for k, t in shared.value.items()}
+        for b in batches:
+            for k, part in b.groupby("lang"):
+                each = [_grams(np.frombuffer(c, dtype), size) for c in part["cls"]]
+                s = models[k].surprise([np.concatenate([e[i] for e in each]) for i in range(3)])
+                ends = np.cumsum([len(e[0]) for e in each])
+                total = np.diff(np.concatenate([[0.0], np.cumsum(s)[ends - 1]]))
+                yield part.drop(columns="cls").assign(surprise=total)
+
+    scored = rated.filter("alpha > 0").select("doc_id", "lang", "tokens", "alpha", "again", "other", "cls").mapInPandas(score, f"doc_id {kind}, lang string, tokens long, alpha long, again long, other long, surprise double")
     scored = scratch.save(scored, "scored")
+    scratch.drop("rated")
     middle = scored.agg(F.percentile_approx(F.col("surprise") / F.col("tokens"), 0.5, 1000).alias("_m"))
     mean = (F.col("surprise") + PRIOR_TOKENS * F.coalesce("_m", F.lit(0.0))) / (F.col("tokens") + PRIOR_TOKENS)
-    return scored.crossJoin(middle).withColumns({"perplexity": F.exp(mean), "excess": mean - F.col("_m")}).drop("_m", "surprise")
+    out = scored.crossJoin(middle).withColumn("_mean", mean)
+    return out.select("doc_id", "lang", "tokens", (1 - F.col("other") / F.col("alpha")).alias("own_share"), (F.col("again") / F.col("alpha")).alias("again_share"), F.exp("_mean").alias("perplexity"), (F.col("_mean") - F.col("_m")).alias("excess"))
+
 
+def keyword_pages(scores: DataFrame, abnormal: float = ABNORMAL, repeated: float = REPEATED, abnormal_repeated: float = ABNORMAL_REPEATED) -> DataFrame:
+    """The scores of the pages whose perplexity is abnormally high, for a page of repeated words less so.
 
-def keyword_pages(scores: DataFrame, abnormal: float = ABNORMAL) -> DataFrame:
-    """The scores of the pages whose mean surprise is more than ``abnormal`` nats above that of the middle text."""
-    return scores.filter(F.col("excess") > abnormal)
+    High: a mean surprise more than ``abnormal`` nats above the middle text's. A page that says the same few keywords over
+    and over grows predictable again; where the share of other words said again is above ``repeated``, ``abnormal_repeated``
+    nats are enough.
+    """
+    again = (F.col("again_share") > repeated) & (F.col("excess") > abnormal_repeated)
+    return scores.filter((F.col("excess") > abnormal) | again)

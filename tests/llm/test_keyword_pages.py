@@ -1,6 +1,6 @@
 import random
 
-from talweg.llm.keyword_pages import classes_of, keyword_pages, language, page_scores, tokens_of
+from talweg.llm.keyword_pages import AGAIN, NEW, NUMBER, SIGN, Lexicon, keyword_pages, language, normal, page_scores, raw_tokens
 
 
 def corpus():
@@ -42,8 +42,12 @@ def test_empty(spark):
 
 
 def test_classes():
-    assert tokens_of('<b>The</b> **flow** <a href="u">x</a>\n\n3.5 m') == ["the", "flow", "@", "x", "\n", "#", "m"]
-    assert classes_of(["the", "pump", "pump", ";", "#"], {"the"}) == ["the", "N", "R", "P", "#"]
+    assert [normal(t) for t in raw_tokens('<b>The</b> **flow** <a href="u">x</a>\n\n3.5 m')] == ["the", "flow", "@", "x", "\n", "#", "m"]
+    lex = Lexicon({"en": ["the", ","], "de": ["der", ";"]}, "en")
+    ids = lex.encode("The pump, Pump; 7 der")
+    own = lex.ids
+    assert lex.language(lex.encode("der der the")) == lex.langs.index("de")
+    assert lex.classes(ids, lex.langs.index("en")).tolist() == [own["the"], NEW, own[","], AGAIN, SIGN, NUMBER, NEW]
 
 
 def test_language(spark):
