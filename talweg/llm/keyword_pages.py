@@ -69,6 +69,22 @@ LINE, NUMBER, LINK, SIGN, NEW, AGAIN, START = range(7)
 _FIXED = {"\n": LINE, "#": NUMBER, "@": LINK}
 
 
+class _Ids(dict):
+    """Token as written -> id, worked out when first met."""
+
+    def __init__(self, known: dict[str, int], base: int):
+        super().__init__()
+        self.known, self.base = known, base
+
+    def __missing__(self, token: str) -> int:
+        n = normal(token)
+        i = self.known.get(n)
+        if i is None:
+            i = SIGN if not n[0].isalpha() else self.base + (hash(n) & 0xFFFFFFFFFFF)
+        self[token] = i
+        return i
+
+
 class Lexicon:
     """The corpus's own words of every language, and texts as ids."""
 
@@ -83,21 +99,13 @@ class Lexicon:
             self.own[k, [self.ids[w] for w in words[lang] if w not in _FIXED]] = True
         self.word = np.array([False] * (START + 1) + [w.isalpha() for w in vocab])
         self.dtype = np.dtype("<i2") if self.base < 1 << 15 else np.dtype("<i4")
-        self.table: dict[str, int] = {}
+        self.table = _Ids(self.ids, self.base)
 
     def encode(self, text: str) -> np.ndarray:
         """One id per token; other words get ids from ``base`` on, the same for the same word of a text."""
-        raw = raw_tokens(text)
         if len(self.table) > 1_000_000:
-            self.table = {}
-        table = self.table
-        for t in set(raw) - table.keys():
-            n = normal(t)
-            i = self.ids.get(n)
-            if i is None:
-                i = SIGN if not n[0].isalpha() else self.base + (hash(n) & 0xFFFFFFFFFFF)
-            table[t] = i
-        return np.array([table[t] for t in raw], "i8")
+            self.table = _Ids(self.ids, self.base)
+        return np.array(list(map(self.table.__getitem__, raw_tokens(text))), "i8")
 
     def language(self, ids: np.ndarray) -> int:
         """The language whose own words the text uses most; the commonest language if none."""
