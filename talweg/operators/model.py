@@ -91,6 +91,30 @@ def disaggregate(days: DataFrame, key: list[str], daily: str, rain: str, weights
     return days.select(*key, daily, rain).mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in key) + ", hours array<double>")
 
 
+def save_state(path: str, weights: Weights, optimizer: Adam | AdaDelta, step: int) -> None:
+    """Weights, moments and the step as one file, whole or not at all."""
+    import os
+
+    moments = {f"o_{n}_{k}": x for n, d in vars(optimizer).items() if isinstance(d, dict) for k, x in d.items()}
+    scalars = {f"s_{n}": np.array(x) for n, x in vars(optimizer).items() if not isinstance(x, dict)}
+    with open(f"{path}.tmp", "wb") as f:
+        np.savez(f, kind=np.array(type(optimizer).__name__), step=np.array(step), **{f"w_{k}": x for k, x in weights.items()}, **moments, **scalars)
+    os.replace(f"{path}.tmp", path)
+
+
+def load_state(path: str, optimizer: Adam | AdaDelta) -> tuple[Weights, int]:
+    """Weights and step; the moments go into ``optimizer``, which must be of the kind that was saved."""
+    with np.load(path) as z:
+        if str(z["kind"]) != type(optimizer).__name__:
+            raise ValueError(f"saved by {z['kind']}")
+        for n, x in vars(optimizer).items():
+            if isinstance(x, dict):
+                setattr(optimizer, n, {k[len(f"o_{n}_") :]: z[k] for k in z.files if k.startswith(f"o_{n}_")})
+            elif f"s_{n}" in z.files:
+                setattr(optimizer, n, z[f"s_{n}"].item())
+        return {k[2:]: z[k] for k in z.files if k.startswith("w_")}, int(z["step"])
+
+
 class Adam:
     def __init__(self, lr: float = 1e-3, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8):
         self.lr, self.b1, self.b2, self.eps, self.t = lr, b1, b2, eps, 0

@@ -41,6 +41,28 @@ def on_or_above_loops(links: DataFrame) -> DataFrame:
     return hierarchy(links, "comid", "parent").filter("hops < 0").select(F.col("id").alias("comid"), F.col("root").alias("loop"))
 
 
+def rings(members: DataFrame) -> DataFrame:
+    """(comid, loop): of reaches on or above loops (comid, parent, loop) those on the loop itself.
+
+    The smallest reach of a loop is on it; from there the links are followed by pointer doubling, so a loop of n reaches
+    takes log(n) joins.
+    """
+    from talweg.session import Scratch
+
+    scratch = Scratch(members.sparkSession)
+    hop = scratch.save(members.select("comid", "parent"), "hop0")
+    on = scratch.save(members.filter("comid = loop").select("comid", "loop"), "on0")
+    i = 0
+    while True:
+        i += 1
+        ahead = on.join(hop, "comid").select(F.col("parent").alias("comid"), "loop")
+        more = scratch.save(on.unionByName(ahead).distinct(), f"on{i}")
+        if more.count() == on.count():
+            return more
+        on = more
+        hop = scratch.save(hop.join(hop.select(F.col("comid").alias("parent"), F.col("parent").alias("_p")), "parent").select("comid", F.col("_p").alias("parent")), f"hop{i}")
+
+
 def topological_order(paths: DataFrame) -> DataFrame:
     """(comid, root, depth, height): depth counts steps to the outlet, height the longest way up to a headwater.
 

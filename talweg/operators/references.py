@@ -30,7 +30,8 @@ def reference_states(refs: DataFrame, parents: DataFrame, keys: dict[str, str],
     States: ``missing`` (no parent), ``deleted`` (all matching parents have ``deleted`` true), ``late`` (the earliest
     ``parent_time`` of the matching parents is after ``ref_time``); a null time is never late. Rows with sound references
     do not come out, repeated rows come out as often as they are there, an empty ``refs`` gives no row, an empty
-    ``parents`` makes every reference missing. All columns of ``refs`` are kept, whatever they are called.
+    ``parents`` makes every reference missing. All columns of ``refs`` are kept,
+    whatever they are called; only a column ``ref_state`` is replaced.
 
     The keys of the references are made distinct before they meet the parents, so a key that a third of all rows refer to
     takes part once; only the keys found broken are joined back.
@@ -39,7 +40,8 @@ def reference_states(refs: DataFrame, parents: DataFrame, keys: dict[str, str],
         raise ValueError(f"match must be one of {MATCHES}")
     ref_cols = list(keys)
     parts: list[DataFrame] = []
-    out_cols = refs.columns
+    out_cols = [c for c in refs.columns if c != "ref_state"]
+    refs = refs.select(*out_cols)
     for mask in null_masks(refs, ref_cols):
         used = [k for i, k in enumerate(ref_cols) if not mask >> i & 1]
         if not used or mask and match == "simple":
@@ -48,20 +50,20 @@ def reference_states(refs: DataFrame, parents: DataFrame, keys: dict[str, str],
         if mask and match == "full":
             parts.append(own.withColumn("ref_state", F.lit("mixed")))
             continue
-        names = [f"_k{i}" for i in range(len(used))]
+        names = [f"__ref_k{i}" for i in range(len(used))]
         time = F.col(ref_time) if ref_time else F.lit(None).cast("timestamp")
-        asked = own.select(*[F.col(k).alias(n) for k, n in zip(used, names)], time.alias("_rt")).groupBy(*names).agg(F.min("_rt").alias("_first_ref"))
+        asked = own.select(*[F.col(k).alias(n) for k, n in zip(used, names)], time.alias("__ref_rt")).groupBy(*names).agg(F.min("__ref_rt").alias("__ref_first_ref"))
         gone = F.col(deleted) if deleted else F.lit(False)
         ptime = F.col(parent_time) if parent_time else F.lit(None).cast("timestamp")
         held = (
-            parents.select(*[F.col(keys[k]).alias(n) for k, n in zip(used, names)], gone.alias("_gone"), ptime.alias("_pt"))
+            parents.select(*[F.col(keys[k]).alias(n) for k, n in zip(used, names)], gone.alias("__ref_gone"), ptime.alias("__ref_pt"))
             .filter(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
             .groupBy(*names)
-            .agg(F.min(F.coalesce(F.col("_gone"), F.lit(False))).alias("_gone"), F.min("_pt").alias("_seen"), F.lit(True).alias("_held"))
+            .agg(F.min(F.coalesce(F.col("__ref_gone"), F.lit(False))).alias("__ref_gone"), F.min("__ref_pt").alias("__ref_seen"), F.lit(True).alias("__ref_held"))
         )
-        broken = asked.join(held, names, "left").filter(F.col("_held").isNull() | F.col("_gone") | (F.col("_seen") > F.col("_first_ref"))).drop("_first_ref")
+        broken = asked.join(held, names, "left").filter(F.col("__ref_held").isNull() | F.col("__ref_gone") | (F.col("__ref_seen") > F.col("__ref_first_ref"))).drop("__ref_first_ref")
         on = reduce(lambda a, b: a & b, [own[k] == broken[n] for k, n in zip(used, names)])
-        state = F.when(F.col("_held").isNull(), "missing").when(F.col("_gone"), "deleted").when(F.col("_seen") > time, "late")
+        state = F.when(F.col("__ref_held").isNull(), "missing").when(F.col("__ref_gone"), "deleted").when(F.col("__ref_seen") > time, "late")
         parts.append(own.join(broken, on, "inner").withColumn("ref_state", state).filter(F.col("ref_state").isNotNull()).select(*out_cols, "ref_state"))
     if not parts:
         return refs.limit(0).withColumn("ref_state", F.lit(None).cast("string"))

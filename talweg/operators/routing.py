@@ -109,3 +109,23 @@ def one_step_closed_form(paths: DataFrame, rows: DataFrame) -> DataFrame:
 def gauge_flow(flow: DataFrame, outlets: DataFrame) -> DataFrame:
     """(staid, t, q): the flow of each gauge's outflow reaches, added up."""
     return flow.join(outlets.select("staid", "comid"), "comid").groupBy("staid", "t").agg(F.sum("q").alias("q"))
+
+
+def route_variants(reaches: DataFrame, forcing: DataFrame, steps: int, variants: DataFrame, basin: str = "basin", **options) -> DataFrame:
+    """(variant, comid, t, q): the network routed once per variant, all of them in one job.
+
+    ``variants`` (variant long, comid, n_factor): per variant the reaches whose roughness is scaled; a null comid scales
+    all. A list of bounded size, written by hand or by a plan. A reach gets a number of its own in each variant.
+    """
+    listed = variants.select("variant").distinct()
+    width = reaches.agg(F.max("comid")).first()[0] + 1
+    own = reaches.crossJoin(F.broadcast(listed))
+    scale = variants.filter("comid is not null").groupBy("variant", "comid").agg(F.max("n_factor").alias("_f"))
+    whole = variants.filter("comid is null").groupBy("variant").agg(F.max("n_factor").alias("_w"))
+    n = F.col("n") if "n" in reaches.columns else F.lit(FROZEN["n"])
+    own = own.join(scale, ["variant", "comid"], "left").join(F.broadcast(whole), "variant", "left").withColumn("n", n * F.coalesce("_f", "_w", F.lit(1.0))).drop("_f", "_w")
+    shift = F.col("variant") * width
+    own = own.withColumns({"comid": F.col("comid") + shift, "parent": F.col("parent") + shift, basin: F.struct(F.col("variant"), F.col(basin)).cast("string")})
+    drive = forcing.crossJoin(F.broadcast(listed)).withColumn("comid", F.col("comid") + shift).drop("variant")
+    got = route_basins(own, drive, steps, basin, **options)
+    return got.select(F.floor(F.col("comid") / width).alias("variant"), F.pmod("comid", F.lit(width)).alias("comid"), "t", "q")

@@ -45,6 +45,19 @@ def g4_loop_members(spark: SparkSession, d: str) -> DataFrame:
     return net.on_or_above_loops(v.links(spark, d))
 
 
+def g5_loop_reaches(spark: SparkSession, d: str) -> DataFrame:
+    """Only the reaches on a loop themselves: what is left when the leaves above are taken off again and again."""
+    bad = v.links(spark, d).join(net.on_or_above_loops(v.links(spark, d)).select("comid", "loop"), "comid")
+    return net.rings(bad)
+
+
+def g6_edges_without_loops(spark: SparkSession, d: str) -> DataFrame:
+    """The network once every reach on or above a loop is dropped."""
+    links = v.links(spark, d)
+    good = hierarchy(links, "comid", "parent").filter("hops >= 0").select(F.col("id").alias("comid"))
+    return _links_edges(links.join(good, "comid", "left_semi"))
+
+
 def g7_dendritic_violations(spark: SparkSession, d: str) -> DataFrame:
     return net.dendritic_violations(_edges(spark, d))
 
@@ -183,7 +196,15 @@ plan0 AS (SELECT *, greatest(length_m, least(target, CASE WHEN length_m > 0 THEN
 plan AS (SELECT *, CAST(least(greatest(ceil(length_eff / target), 1), 8) AS INTEGER) AS pieces FROM plan0)"""
 _RANK = "list_sort(list(length_eff / length_m))[CAST(round((count(*) - 1) * CAST({0} AS DOUBLE)) AS BIGINT) + 1]"
 
+_REST = f"""{_TREE},
+rest AS (SELECT comid, parent FROM link WHERE comid NOT IN (SELECT node FROM walk)),
+down AS (SELECT comid AS start, parent AS pos FROM rest UNION SELECT d.start, r.parent FROM down d JOIN rest r ON r.comid = d.pos),
+ring AS (SELECT start AS node FROM down WHERE start = pos)"""
+
 SQL = {
+    "g4_loop_members": f"{_REST} SELECT start AS comid, min(pos) AS loop FROM down WHERE pos IN (SELECT node FROM ring) GROUP BY start",
+    "g5_loop_reaches": f"{_REST} SELECT r.node AS comid, min(d.pos) AS loop FROM ring r JOIN down d ON d.start = r.node WHERE d.pos IN (SELECT node FROM ring) GROUP BY r.node",
+    "g6_edges_without_loops": f"{_TREE} SELECT parent AS down, comid AS up FROM link WHERE parent IS NOT NULL AND comid IN (SELECT node FROM walk)",
     "g1_upstream_edges": f"{_EDGES} SELECT down, up FROM e",
     "g2_upstream_lists": f"{_EDGES} SELECT down, array_to_string(list_sort(list(up)), ',') AS ups FROM e GROUP BY down",
     "g3_topological_order": f"""{_TREE},

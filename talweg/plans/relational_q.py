@@ -264,6 +264,19 @@ def j6_sorted_join(spark: S, d: str) -> DataFrame:
     return v.live(spark, d).select("comid", "fid").join(v.attributes(spark, d).select("comid", "zone_id").hint("merge"), "comid")
 
 
+def j7_gather_by_position(spark: S, d: str) -> DataFrame:
+    """Geometry of a gauge's active reaches, by the dense position in its own list."""
+    from talweg.plans.network_q import g16_compressed
+
+    return g16_compressed(spark, d).join(v.reach(spark, d).select("comid", "length_m", "slope"), "comid").select("staid", "pos", "length_m", "slope")
+
+
+def j10_recorded_stations(spark: S, d: str) -> DataFrame:
+    """The stations of a manifest that still exist."""
+    m = table(spark, d, "split_manifest").select(station_id("staid").alias("staid")).distinct()
+    return m.join(table(spark, d, "gages").select(station_id("staid").alias("staid")), "staid", "left_semi")
+
+
 def j8_expand_to_pieces(spark: S, d: str) -> DataFrame:
     from talweg.operators.network import plan_reaches, subdivide
 
@@ -495,6 +508,8 @@ SQL = {
     "j4_strict_lookup": v.sql("reach", "gauge") + " SELECT staid, slope FROM gauge JOIN reach USING (comid)",
     "j5_align": f"WITH {v.SQL['live']}, {v.SQL['attributes']} SELECT comid, CASE WHEN isfinite(aridity) THEN aridity END AS aridity FROM live LEFT JOIN attributes USING (comid)",
     "j6_sorted_join": f"WITH {v.SQL['live']}, {v.SQL['attributes']} SELECT comid, fid, zone_id FROM live JOIN attributes USING (comid)",
+    "j7_gather_by_position": _GAUGE + ", h AS (SELECT anc AS comid, max(hops) AS height FROM closure GROUP BY anc), m AS (SELECT staid, down AS comid FROM ge UNION SELECT staid, up FROM ge) SELECT staid, row_number() OVER (PARTITION BY staid ORDER BY height, comid) - 1 AS pos, length_m, slope FROM m JOIN h USING (comid) JOIN reach USING (comid)",
+    "j10_recorded_stations": f"SELECT DISTINCT {v._pad('staid')} AS staid FROM split_manifest WHERE {v._pad('staid')} IN (SELECT {v._pad('staid')} FROM gages)",
     "j8_expand_to_pieces": _PLAN + " SELECT comid, unnest(range(0, pieces)) AS piece, slope FROM plan",
     "j9_parent_of_row": _PLAN + ", o AS (SELECT CAST(floor(comid / CAST(1000 AS DOUBLE)) AS BIGINT) AS block, comid, pieces, coalesce(sum(pieces) OVER (PARTITION BY CAST(floor(comid / CAST(1000 AS DOUBLE)) AS BIGINT) ORDER BY comid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM plan) SELECT block, CAST(off + unnest(range(0, pieces)) AS BIGINT) AS pos, comid AS owner FROM o",
     "j11_sum_of_upstream": v.sql("reach") + " SELECT parent AS comid, sum(length_m) AS inflow FROM reach WHERE parent IS NOT NULL GROUP BY parent",

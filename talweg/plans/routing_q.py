@@ -12,7 +12,7 @@ from talweg.functions.recurrence import route
 from talweg.operators import routing as ro
 from talweg.operators.network import accumulate, outflow_reaches
 from talweg.plans import views as v
-from talweg.plans.network_q import _CLOSURE, g12_gauge_edges, reach_paths
+from talweg.plans.network_q import _CLOSURE, _PLAN, g12_gauge_edges, reach_paths
 from talweg.plans.relational_q import _CH, _channel
 
 S = SparkSession
@@ -75,6 +75,45 @@ def r8_hot_start(spark: S, d: str) -> DataFrame:
     return v.reach(spark, d).select("comid").join(a, "comid", "left").select("comid", F.greatest(F.coalesce("total", F.lit(0.0)), F.lit(1e-4)).alias("q"))
 
 
+def r9_initial_state(spark: S, d: str) -> DataFrame:
+    """Where a run starts: the cached state of the day, else the steady state; both shared out over a reach's pieces."""
+    from talweg.operators.network import plan_reaches
+
+    cached = v.qr(spark, d).filter("day = date'1995-06-15'").select("comid", F.col("qr").alias("cached"))
+    r = plan_reaches(v.reach(spark, d)).select("comid", "pieces").join(cached, "comid", "left").join(r8_hot_start(spark, d), "comid")
+    return r.select("comid", (F.greatest(F.coalesce("cached", "q"), F.lit(1e-4)) / F.col("pieces")).alias("q0"))
+
+
+def t20_day_states(spark: S, d: str) -> DataFrame:
+    """The state of every reach at the day boundaries of a run."""
+    _, net = _network(spark, d)
+    return ro.route_basins(net, _forcing(spark, d), STEPS).filter("t % 24 = 0").select((F.col("t") / 24).cast("int").alias("day"), "comid", "q")
+
+
+def m9_reach_gradients(spark: S, d: str) -> DataFrame:
+    """How the mean outflow of each basin answers to the roughness of each reach, by the reverse mode."""
+    from talweg.functions.tape import Var
+
+    _, net = _network(spark, d)
+    hours = 12
+
+    def gradient(key, reaches: pd.DataFrame, forcing: pd.DataFrame) -> pd.DataFrame:
+        if not len(reaches):
+            return pd.DataFrame({"comid": [], "gradient": []})
+        ids, n, own = ro._arrays(reaches)
+        rough = Var(own["params"]["n"])
+        qs = route(n, ro._matrix(forcing[forcing["t"] < hours], ids, hours, "q_lateral"), own["params"] | {"n": rough}, own["length"], own["slope"])
+        out = np.flatnonzero(n.parent < 0)
+        total = Var(0.0)
+        for q in qs[1:]:
+            total = total + q[out].sum() * (1.0 / (hours - 1))
+        total.backward()
+        return pd.DataFrame({"comid": ids, "gradient": rough.grad})
+
+    keyed = _forcing(spark, d).join(net.select("comid", F.col("basin").alias("_to")), "comid")
+    return net.groupBy("basin").cogroup(keyed.groupBy("_to")).applyInPandas(gradient, "comid long, gradient double")
+
+
 def r12_route(spark: S, d: str) -> DataFrame:
     """48 hours with constant parameters, a task per basin; flow of the last hour."""
     _, net = _network(spark, d)
@@ -123,7 +162,61 @@ def r23_override(spark: S, d: str) -> DataFrame:
     return v.reach(spark, d).select("comid").join(o, "comid", "left").select("comid", F.coalesce("override", F.lit(ph.FROZEN["n"])).alias("n"))
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if k[0] == "r" and k[1].isdigit()}
+def _outlets(spark: S, d: str) -> DataFrame:
+    return v.reach(spark, d).filter("parent is null").select("comid")
+
+
+def _observed(spark: S, d: str) -> DataFrame:
+    """Synthetic observations at the outlets, from planted roughness a fifth above the usual."""
+    _, net = _network(spark, d)
+    planted = net.withColumn("n", F.lit(ph.FROZEN["n"] * 1.2))
+    return ro.route_basins(planted, _forcing(spark, d), STEPS).join(_outlets(spark, d), "comid")
+
+
+def _variants(spark: S, factors: list[float]) -> DataFrame:
+    return spark.createDataFrame([(i, None, f) for i, f in enumerate(factors)], "variant long, comid long, n_factor double")
+
+
+def m10_perturbed_outflow(spark: S, d: str) -> DataFrame:
+    """What the outflow of each basin gains when every seventh reach is rougher, round by round."""
+    _, net = _network(spark, d)
+    rounds = v.reach(spark, d).filter("comid % 7 < 2").select((F.pmod("comid", F.lit(7)) + 1).alias("variant"), "comid", F.lit(1.5).alias("n_factor"))
+    plan = rounds.unionByName(_variants(spark, [1.0]))
+    q = ro.route_variants(net, _forcing(spark, d), STEPS, plan).join(_outlets(spark, d), "comid").groupBy("variant", "comid").agg(F.avg("q").alias("q"))
+    base = q.filter("variant = 0").select("comid", F.col("q").alias("q0"))
+    return q.filter("variant > 0").join(base, "comid").select("variant", "comid", (F.col("q") - F.col("q0")).alias("delta"))
+
+
+def m11_teacher(spark: S, d: str) -> DataFrame:
+    return _observed(spark, d)
+
+
+def m12_residual_floor(spark: S, d: str) -> DataFrame:
+    """Absolute residual per outlet and day against the planted run."""
+    _, net = _network(spark, d)
+    q = ro.route_basins(net, _forcing(spark, d), STEPS).join(_observed(spark, d).withColumnRenamed("q", "obs"), ["comid", "t"])
+    return q.groupBy("comid", F.floor(F.col("t") / 24).alias("day")).agg(F.avg(F.abs(F.col("q") - F.col("obs"))).alias("residual"))
+
+
+def m14_landscape(spark: S, d: str) -> DataFrame:
+    """Loss against the planted run over a line of roughness factors, powers of two."""
+    _, net = _network(spark, d)
+    factors = [2.0 ** (k / 2) for k in range(-2, 3)]
+    q = ro.route_variants(net, _forcing(spark, d), STEPS, _variants(spark, factors)).join(_observed(spark, d).withColumnRenamed("q", "obs"), ["comid", "t"])
+    return q.groupBy("variant").agg(F.avg(F.abs(F.col("q") - F.col("obs"))).alias("mean_loss")).withColumn("log2_factor", F.col("variant") / 2.0 - 1)
+
+
+def m15_slope_of_roughness(spark: S, d: str) -> DataFrame:
+    """Loss when roughness falls with upstream length at imposed rates."""
+    _, net = _network(spark, d)
+    obs = _observed(spark, d).withColumnRenamed("q", "obs")
+    rates = F.explode(F.array(*[F.lit(x) for x in (0, 1, 2)]))
+    per = v.reach(spark, d).select("comid", rates.alias("variant"), "length_m").select(F.col("variant").cast("long").alias("variant"), "comid", F.pow(F.col("length_m") / 2500, -F.col("variant") / 10).alias("n_factor"))
+    q = ro.route_variants(net, _forcing(spark, d), STEPS, per).join(obs, ["comid", "t"])
+    return q.groupBy("variant").agg(F.avg(F.abs(F.col("q") - F.col("obs"))).alias("mean_loss"))
+
+
+QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "rmt" and k[1].isdigit()}
 
 _ROWS = _CH + ", up AS (SELECT r.parent AS comid, sum(c.q) AS i FROM coef c JOIN reach r USING (comid) WHERE r.parent IS NOT NULL GROUP BY r.parent), rows AS (SELECT comid, c2 * coalesce(i, 0) + c3 * q + c4 * CAST(0.5 AS DOUBLE) AS b, c1 FROM coef LEFT JOIN up USING (comid))"
 _WALK = _ROWS.replace("WITH ", "WITH RECURSIVE ", 1) + ", wk AS (SELECT comid AS src, comid, CAST(1 AS DOUBLE) AS w FROM reach UNION ALL SELECT wk.src, r.parent, wk.w * p.c1 FROM wk JOIN reach r ON r.comid = wk.comid JOIN rows p ON p.comid = r.parent)"
@@ -135,6 +228,7 @@ SQL = {
     "r4_one_step": _WALK + " SELECT wk.comid, sum(b * w) AS x FROM wk JOIN rows r ON r.comid = wk.src GROUP BY wk.comid",
     "r5_adjoint": _WALK + " SELECT src AS comid, arg_min(w, wk.comid) AS weight FROM wk GROUP BY src",
     "r8_hot_start": _CLOSURE + f", {v.SQL['qr']}, q AS (SELECT comid, avg(qr) AS q FROM qr GROUP BY comid), a AS (SELECT c.anc AS comid, sum(q.q) AS q FROM closure c JOIN q USING (comid) GROUP BY c.anc) SELECT comid, greatest(coalesce(q, 0), CAST(1e-4 AS DOUBLE)) AS q FROM reach LEFT JOIN a USING (comid)",
+    "r9_initial_state": _CLOSURE + f", {v.SQL['qr']}, {_PLAN.split('FROM part), ', 1)[1]}, q AS (SELECT comid, avg(qr) AS q FROM qr GROUP BY comid), a AS (SELECT c.anc AS comid, sum(q.q) AS q FROM closure c JOIN q USING (comid) GROUP BY c.anc), s AS (SELECT * FROM qr WHERE day = DATE '1995-06-15') SELECT p.comid, greatest(coalesce(s.qr, greatest(coalesce(a.q, 0), CAST(1e-4 AS DOUBLE))), CAST(1e-4 AS DOUBLE)) / pieces AS q0 FROM plan p LEFT JOIN a USING (comid) LEFT JOIN s ON s.comid = p.comid",
     "r17_negative_solves": _WALK + ", x AS (SELECT wk.comid, sum(b * w) AS x FROM wk JOIN rows r ON r.comid = wk.src GROUP BY wk.comid) SELECT count_if(x < 0) AS n_negative, count(*) AS n FROM x",
     "r23_override": v.sql("reach") + " SELECT comid, CASE WHEN comid % 5 = 0 THEN slope * 10 + CAST(0.02 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END AS n FROM reach",
 }

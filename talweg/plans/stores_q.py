@@ -77,6 +77,34 @@ def s21_observations(spark: S, d: str) -> DataFrame:
     return v.pairs(spark, d).filter(F.col("day").between("2000-01-01", "2004-12-31")).select("staid", "day", "obs")
 
 
+def s20_test_window(spark: S, d: str) -> DataFrame:
+    """Three whole days of hours of every user that has any in them."""
+    return v.hourly(spark, d).filter("ts >= timestamp_ntz'2024-01-10 00:00:00' and ts < timestamp_ntz'2024-01-13 00:00:00'")
+
+
+def s23_zone_pruned(spark: S, d: str) -> DataFrame:
+    """Two zones out of a store with one partition per zone: the others are never read."""
+    path = Scratch(spark).path("zones")
+    v.attributes(spark, d).select("comid", finite("aridity").alias("aridity"), "zone_id").repartition("zone_id").write.partitionBy("zone_id").parquet(path)
+    return spark.read.schema("comid bigint, aridity double, zone_id string").parquet(path).filter(F.col("zone_id").isin("Z0001", "Z0002"))
+
+
+def s32_contains(spark: S, d: str) -> DataFrame:
+    o = table(spark, d, "daily_obs").select(station_id("gage_id").alias("staid")).distinct().withColumn("_f", F.lit(True))
+    g = table(spark, d, "gages").select(station_id("staid").alias("staid")).distinct()
+    return g.join(o, "staid", "left").select("staid", F.coalesce("_f", F.lit(False)).alias("has_record"))
+
+
+def m4_parameter_summary(spark: S, d: str) -> DataFrame:
+    """Percentiles of the physical parameters that the head gives over the whole network."""
+    from talweg.functions.physics import RANGES, denormalize
+
+    p = m1_head(spark, d).select(denormalize(F.col("n"), *RANGES["n"]).alias("n"), denormalize(F.col("q_spatial"), *RANGES["q_spatial"]).alias("q_spatial"), denormalize(F.col("p_spatial"), *RANGES["p_spatial"], True).alias("p_spatial"))
+    long = p.select(F.explode(F.array(*[F.struct(F.lit(c).alias("parameter"), F.col(c).alias("x")) for c in p.columns])).alias("s")).select("s.*")
+    q = long.groupBy("parameter").agg(F.percentile("x", F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95)])).alias("q"))
+    return q.select("parameter", F.col("q")[0].alias("p5"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95"))
+
+
 def s24_arrays_as_series(spark: S, d: str) -> DataFrame:
     r = table(spark, d, "pretrain_rows").select("row_id", F.col("target_hourly_m3s").cast("array<double>").alias("x"))
     return stores.series_of_arrays(r, "row_id", "x")
@@ -223,6 +251,9 @@ SQL = {
     "s17_window": v.sql("qr") + ", w AS (SELECT * FROM qr WHERE day BETWEEN DATE '1995-03-01' AND DATE '1995-03-10') SELECT comid, day, qr FROM w WHERE comid IN (1, 2, 3) UNION ALL SELECT i, day, CAST(0.001 AS DOUBLE) FROM (VALUES (1), (2), (3), (10000000)) t(i) CROSS JOIN (SELECT DISTINCT day FROM w) WHERE i NOT IN (SELECT comid FROM qr)",
     "s18_daily_inflow": v.sql("hourly") + " SELECT id, CAST(ts AS DATE) AS day, avg(value) AS value, count(*) AS hours FROM hourly GROUP BY ALL",
     "s21_observations": v.sql("pairs") + " SELECT staid, day, obs FROM pairs WHERE day BETWEEN DATE '2000-01-01' AND DATE '2004-12-31'",
+    "s20_test_window": v.sql("hourly") + " SELECT id, ts, value FROM hourly WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13'",
+    "s23_zone_pruned": f"WITH {v.SQL['attributes']} SELECT comid, {_F.format('aridity')}, zone_id FROM attributes WHERE zone_id IN ('Z0001', 'Z0002')",
+    "s32_contains": f"SELECT DISTINCT {v._pad('staid')} AS staid, {v._pad('staid')} IN (SELECT {v._pad('gage_id')} FROM daily_obs) AS has_record FROM gages",
     "s24_arrays_as_series": "WITH e AS (SELECT row_id, unnest(range(0, len(target_hourly_m3s))) AS i, CAST(unnest(target_hourly_m3s) AS DOUBLE) AS x FROM pretrain_rows) SELECT row_id, DATE '1980-01-01' + CAST(i AS INTEGER) AS day, CASE WHEN isfinite(x) THEN x END AS value FROM e",
     "s26_rain_or_zero": v.sql("hourly") + ", g AS (SELECT DISTINCT id, h FROM hourly CROSS JOIN range(24) r(h)) SELECT g.id, CAST(h AS INTEGER) AS hour, coalesce(value, CAST(0 AS DOUBLE)) AS rain FROM g LEFT JOIN hourly x ON x.id = g.id AND CAST(x.ts AS DATE) = DATE '2024-01-10' AND hour(x.ts) = h",
     "s27_coverage": v.sql("reach", "qr") + " SELECT count(*) AS n FROM reach WHERE comid IN (SELECT comid FROM qr)",

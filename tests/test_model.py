@@ -70,3 +70,17 @@ def test_training_over_basins_learns(spark):
     assert g["out_b"][0] == pytest.approx((m.summed_gradient(df, "basin", up, loss)[0] - m.summed_gradient(df, "basin", down, loss)[0]) / 2e-5, rel=1e-3)
     _, losses = m.train(df, "basin", w0, loss, steps=8, optimizer=m.Adam(0.1))
     assert losses[-1] < losses[0] * 0.8
+
+
+def test_a_resumed_run_goes_on_the_same(tmp_path):
+    g = {"a": np.array([0.3, -0.2])}
+    opt, w = m.Adam(0.1), {"a": np.array([1.0, 2.0])}
+    for _ in range(3):
+        w = opt.step(w, g)
+    m.save_state(str(tmp_path / "s.npz"), w, opt, 3)
+    again = m.Adam(0.5)
+    w2, step = m.load_state(str(tmp_path / "s.npz"), again)
+    assert step == 3 and again.lr == 0.1
+    assert again.step(w2, g)["a"] == pytest.approx(opt.step(w, g)["a"], abs=0)
+    with pytest.raises(ValueError):
+        m.load_state(str(tmp_path / "s.npz"), m.AdaDelta())

@@ -8,10 +8,10 @@ T = [dt.datetime(2024, m, 5) for m in range(1, 7)]
 
 
 def states(spark, refs, parents, match):
-    r = spark.createDataFrame(refs, "id int, a long, b string, t timestamp, ref_key string")
+    r = spark.createDataFrame([(*x, 0) for x in refs], "id int, a long, b string, t timestamp, ref_state string, gone int")
     p = spark.createDataFrame(parents, "pa long, b string, t timestamp, gone boolean")
     got = reference_states(r, p, {"a": "pa", "b": "b"}, match, "t", "t", "gone")
-    assert got.columns == [*r.columns, "ref_state"]
+    assert got.columns == ["id", "a", "b", "t", "gone", "ref_state"]
     return sorted((x["id"], x["ref_state"]) for x in got.collect())
 
 
