@@ -141,7 +141,7 @@ def s30_one_field(spark: S, d: str) -> DataFrame:
 
 def s33_probe_plan(spark: S, d: str) -> DataFrame:
     """Duplicates of (round, comid) in a probe plan; none if it is sound."""
-    p = v.reach(spark, d).select(F.pmod("comid", F.lit(7)).alias("round"), F.pmod("comid", F.lit(500)).alias("comid"))
+    p = v.reach(spark, d).select(F.pmod("comid", F.lit(7)).alias("round"), F.pmod("comid", F.lit(100)).alias("comid"))
     return p.groupBy("round", "comid").agg(F.count("*").alias("n")).filter("n > 1")
 
 
@@ -260,7 +260,7 @@ SQL = {
     "s28_paired_hours": v.sql("hourly") + ", a AS (SELECT id // 2 AS basin, ts, value AS flow FROM hourly WHERE id % 2 = 0), b AS (SELECT id // 2 AS basin, ts, value AS rain FROM hourly WHERE id % 2 = 1) SELECT basin, ts, flow, rain FROM a FULL JOIN b USING (basin, ts)",
     "s29_state_of_day": v.sql("qr") + " SELECT comid, qr AS q_state FROM qr WHERE day = DATE '1995-06-15'",
     "s30_one_field": f"WITH {v.SQL['attributes']} SELECT comid, porosity FROM attributes",
-    "s33_probe_plan": v.sql("reach") + " SELECT comid % 7 AS round, comid % 500 AS comid, count(*) AS n FROM reach GROUP BY 1, 2 HAVING count(*) > 1",
+    "s33_probe_plan": v.sql("reach") + " SELECT comid % 7 AS round, comid % 100 AS comid, count(*) AS n FROM reach GROUP BY 1, 2 HAVING count(*) > 1",
     "k1_graph_store": v.sql("reach") + " SELECT parent AS down, comid AS up, length_m FROM reach WHERE parent IS NOT NULL",
     "k6_padded_series": v.sql("pairs") + " SELECT staid, date_diff('day', DATE '1980-01-01', max(day)) + 1 AS days, count(obs) AS read FROM pairs WHERE staid < '00100000' GROUP BY staid",
     "k11_tidy_csv": v.sql("gauge") + " SELECT staid, comid FROM gauge",
