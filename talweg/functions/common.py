@@ -61,14 +61,15 @@ def nearest_rank(values: Column, p: float) -> Column:
     return rank_pick(values, F.round((F.size(values) - 1) * F.lit(float(p))))
 
 
-def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit_rows: int = 200_000, salts: int = 16) -> DataFrame:
+def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit_rows: int = 200_000, salts: int = 16, rows: int | None = None) -> DataFrame:
     """Join where ``small`` has one row per key and ``big`` may hold a third of its rows under one key.
 
-    ``small`` should be a written table: its rows are counted, and up to ``limit_rows`` it is broadcast. Beyond that the
+    ``small`` should be a written table: its rows are counted, unless ``rows`` says how many there are, and up to
+    ``limit_rows`` it is broadcast. Beyond that the
     rows of ``big`` are salted and ``small`` is repeated once per salt, so that a hot key spreads over ``salts`` tasks.
     Only inner and left joins (a salted anti or semi join is the same with a flag column).
     """
-    if small.limit(limit_rows + 1).count() <= limit_rows:
+    if (small.limit(limit_rows + 1).count() if rows is None else rows) <= limit_rows:
         return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", (F.rand(7) * salts).cast("int"))
