@@ -93,7 +93,7 @@ def group_percentiles(values: DataFrame, keys: list[str], value: str, probs: lis
             break
         rounds += 1
         active = scratch.save(state.filter(F.col("size") > finish_rows), f"active{rounds}")
-        asked = sized_join(data, active.select("gid", "iid", "lo", "hi", "pivot"), ["gid"]) if rounds == 1 else _in_ranges(data, active.select("gid", "iid", "lo", "hi", "pivot"))
+        asked = _in_ranges(data, active.select("gid", "iid", "lo", "hi", "pivot"), ranges)
         own = asked.filter((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi")))
         if stored is not None and total < stored / 4 or stored is None and rounds > 1:
             data_name, old = f"data{rounds}", data_name
@@ -101,7 +101,7 @@ def group_percentiles(values: DataFrame, keys: list[str], value: str, probs: lis
             stored = total
             if old:
                 scratch.drop(old)
-            own = _in_ranges(data, active.select("gid", "iid", "lo", "hi", "pivot")).filter((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi")))
+            own = _in_ranges(data, active.select("gid", "iid", "lo", "hi", "pivot"), ranges).filter((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi")))
         parts = own.select("iid", "pivot", "value").mapInArrow(_propose, _STATS)
         sums = parts.groupBy("iid").agg(
             *[F.sum(c).alias(c) for c in ("n_lt", "n_eq", "n_gt")],
@@ -134,9 +134,9 @@ def group_percentiles(values: DataFrame, keys: list[str], value: str, probs: lis
     return groups.join(table, "gid").select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "n", F.array(*each).alias("quantiles"))
 
 
-def _in_ranges(data: DataFrame, ranges: DataFrame, limit_rows: int = 200_000, salts: int = 16) -> DataFrame:
+def _in_ranges(data: DataFrame, ranges: DataFrame, rows: int | None = None) -> DataFrame:
     """Values with the ranges of their group: a group has at most two ranges for each percentile asked."""
-    return sized_join(data, ranges, ["gid"], "inner", limit_rows, salts)
+    return sized_join(data, ranges, ["gid"], rows=rows)
 
 
 def bin_counts(values: DataFrame, keys: list[str], value: str, error: float = 0.01) -> DataFrame:

@@ -28,18 +28,18 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     names = edges.select(F.explode(F.array("a", "b")).alias("entity")).filter(F.col("entity").isNotNull()).distinct()
     pairs = edges.filter("a is not null and b is not null and a <> b")
     labels = scratch.save(names.withColumn("label", F.col("entity")), "labels0")
-    rounds = 0
+    n, rounds = labels.count(), 0
     while True:
         rounds += 1
         la = labels.select(F.col("entity").alias("a"), F.col("label").alias("la"))
         lb = labels.select(F.col("entity").alias("b"), F.col("label").alias("lb"))
-        met = sized_join(sized_join(pairs, la, ["a"]), lb, ["b"]).filter(F.col("la") != F.col("lb")).withColumn("m", F.least("la", "lb"))
+        met = sized_join(sized_join(pairs, la, ["a"], rows=n), lb, ["b"], rows=n).filter(F.col("la") != F.col("lb")).withColumn("m", F.least("la", "lb"))
         said = met.select(F.explode(F.array(*[F.struct(F.col(c).alias("entity"), F.col("m").alias("label")) for c in ("a", "b", "la", "lb")])).alias("s")).select("s.*")
         heard = said.groupBy("entity").agg(F.min("label").alias("heard"))
         low = labels.join(heard, "entity", "left").select("entity", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         low = scratch.save(low, f"low{rounds}")
         jump = low.select(F.col("entity").alias("label"), F.col("label").alias("_far"))
-        new = sized_join(low, jump, ["label"]).select("entity", "old", F.least("label", "_far").alias("label"))
+        new = sized_join(low, jump, ["label"], rows=n).select("entity", "old", F.least("label", "_far").alias("label"))
         new = scratch.save(new, f"labels{rounds}")
         scratch.drop(f"labels{rounds - 1}", f"low{rounds}")
         labels = new.select("entity", "label")
