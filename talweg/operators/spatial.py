@@ -107,31 +107,37 @@ def wkb_rings(blob: bytes) -> list[np.ndarray]:
         return []
 
 
-def trapezoids(rings: list[np.ndarray]) -> np.ndarray:
-    """Trapezoidal decomposition of one region by the even-odd rule: rows (x_left, x_right, lower edge, upper edge), edges as x1, y1, x2, y2 with x1 < x2.
+def trapezoids(regions: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Trapezoidal decomposition of regions, given by their rings, under the even-odd rule: trapezoids and the index of the region of each.
 
-    The slabs are those between neighbouring vertex abscissae; inside one the edges are ordered and pair up.
+    A trapezoid is x_left, x_right, lower edge, upper edge, an edge x1, y1, x2, y2 with x1 < x2. The slabs of a region are
+    those between its neighbouring vertex abscissae; inside one its edges are ordered and pair up.
     """
-    edges = []
-    for r in rings:
-        e = np.hstack([r, np.roll(r, -1, axis=0)])
-        e = e[e[:, 0] != e[:, 2]]
-        edges.append(np.where((e[:, 0] < e[:, 2])[:, None], e, e[:, [2, 3, 0, 1]]))
-    e = np.vstack(edges) if edges else np.empty((0, 4))
+    rings = [(k, r) for k, rs in enumerate(regions) for r in rs]
+    if not rings:
+        return np.empty((0, 10)), np.empty(0, int)
+    start = np.vstack([r for _, r in rings])
+    end = np.vstack([x for _, r in rings for x in (r[1:], r[:1])])
+    of = np.repeat([k for k, _ in rings], [len(r) for _, r in rings])
+    slanted = start[:, 0] != end[:, 0]
+    start, end, of = start[slanted], end[slanted], of[slanted]
+    e = np.where((start[:, 0] < end[:, 0])[:, None], np.hstack([start, end]), np.hstack([end, start]))
     if not len(e):
-        return np.empty((0, 10))
-    xs = np.unique(e[:, [0, 2]])
-    first, last = np.searchsorted(xs, e[:, 0]), np.searchsorted(xs, e[:, 2])
+        return np.empty((0, 10)), np.empty(0, int)
+    x, region = np.concatenate([e[:, 0], e[:, 2]]), np.concatenate([of, of])
+    o = np.lexsort((x, region))
+    fresh = np.r_[True, (x[o][1:] != x[o][:-1]) | (region[o][1:] != region[o][:-1])]
+    at = np.empty(len(o), int)
+    at[o] = np.cumsum(fresh) - 1
+    xs, first, last = x[o][fresh], at[: len(e)], at[len(e) :]
     count = last - first
     which = np.repeat(np.arange(len(e)), count)
     slab = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    mid = (xs[slab] + xs[slab + 1]) / 2
-    s = e[which]
+    s, mid = e[which], (xs[slab] + xs[slab + 1]) / 2
     y = s[:, 1] + (mid - s[:, 0]) * (s[:, 3] - s[:, 1]) / (s[:, 2] - s[:, 0])
     o = np.lexsort((y, slab))
-    which, slab = which[o], slab[o]
-    low, high = which[0::2], which[1::2]
-    return np.hstack([xs[slab[0::2]][:, None], xs[slab[0::2] + 1][:, None], e[low], e[high]])
+    low, high, slab = which[o][0::2], which[o][1::2], slab[o][0::2]
+    return np.hstack([xs[slab][:, None], xs[slab + 1][:, None], e[low], e[high]]), of[low]
 
 
 def locate(xs: np.ndarray, ys: np.ndarray, traps: np.ndarray, max_slabs: int = MAX_SLABS) -> tuple[np.ndarray, np.ndarray]:
@@ -208,9 +214,9 @@ def _boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _locate_tile(points: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
     if not len(points) or not len(regions):
         return pd.DataFrame({"id": [], "region_id": []}).astype("int64")
-    parts = [trapezoids(wkb_rings(bytes(g))) for g in regions["geom"]]
-    owner = np.repeat(regions["region_id"].to_numpy(), [len(t) for t in parts])
-    p, t = locate(points["x"].to_numpy(), points["y"].to_numpy(), np.vstack(parts))
+    traps, of = trapezoids([wkb_rings(bytes(g)) for g in regions["geom"]])
+    owner = regions["region_id"].to_numpy()[of]
+    p, t = locate(points["x"].to_numpy(), points["y"].to_numpy(), traps)
     return pd.DataFrame({"id": points["id"].to_numpy()[p], "region_id": owner[t]}).drop_duplicates()
 
 

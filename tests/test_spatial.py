@@ -73,12 +73,11 @@ def test_within_against_ray_casting(spark):
 def test_few_slabs_find_the_same():
     rnd = random.Random(6)
     rings = [[star(rnd, rnd.uniform(0, 5), rnd.uniform(0, 5), 1.0, 30)] for _ in range(40)]
-    parts = [trapezoids([np.array(r) for r in rs]) for rs in rings]
-    owner = np.repeat(np.arange(40), [len(t) for t in parts])
+    traps, owner = trapezoids([[np.array(r) for r in rs] for rs in rings])
     xs, ys = np.array([rnd.uniform(-1, 6) for _ in range(500)]), np.array([rnd.uniform(-1, 6) for _ in range(500)])
     found = []
     for slabs in (1, 7, 512):
-        p, t = locate(xs, ys, np.vstack(parts), slabs)
+        p, t = locate(xs, ys, traps, slabs)
         found.append(sorted({(int(a), int(b)) for a, b in zip(p, owner[t])}))
     assert found[0] == found[1] == found[2] == sorted((i, k) for i in range(500) for k in range(40) if inside(rings[k], xs[i], ys[i]))
 
