@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,15 +38,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _remove(spark: SparkSession, root: str) -> None:
+    """At the end of the driver: the tables of one operator go."""
+    if root.startswith("file://"):
+        shutil.rmtree(root[len("file://") :], ignore_errors=True)
+        return
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before
+        pass
+
+
 class Scratch:
     """Tables written to the shared folder: they cut the lineage, outlive a lost executor and carry true sizes.
 
-    ``save`` writes and reads back, ``drop`` deletes tables that no later plan reads.
+    ``save`` writes and reads back, ``drop`` deletes tables that no later plan reads; the rest goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/talweg-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
