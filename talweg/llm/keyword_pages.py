@@ -30,7 +30,7 @@ ABNORMAL = 2.1
 REPEATED, ABNORMAL_REPEATED = 0.4, 1.0
 
 _ANCHOR = re.compile(r"<a\s[^<>]{0,2000}>|\]\([^()\s]{1,2000}\)", re.I)
-_MARKUP = re.compile(r"<[^<>]{1,2000}>|(?<=\w|[.,;:!?)])(?:\*+|_+|~+|`+)|(?:\*+|_+|~+|`+)(?=\w)")
+_MARKUP = re.compile(r"<[^<>]{1,2000}>|(?<=[\w.,;:!?)])[*_~`]++|(?<![*_~`])[*_~`]++(?=\w)")
 _MARKS = re.compile(r"[<*_~`]")
 _TOKEN = re.compile(r"(?:https?://|www\.)\S+|[^\W\d_]+|\d[\d.,:]*|\n+|[^\w\s]", re.I)
 

@@ -19,9 +19,10 @@ BLOCK_ITEMS = 2000
 _INVISIBLE_RANGES = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180E, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2069), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0x300, 0x36F)]
 _INVISIBLE = "".join(f"{chr(a)}-{chr(b)}" for a, b in _INVISIBLE_RANGES)
 _INLINE = r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strike|strong|sub|sup|tt|u|var)(?:\s[^<>]{0,500})?/?>"
-_TAG = re.compile(r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|</?[A-Za-z][^<>]{0,500}>", re.S | re.I)
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,500}>")
+_HIDDEN = re.compile(r"<!--|<(?:script|style)\b", re.I)
 _INLINE_TAG = re.compile(_INLINE, re.I)
-_LINK = re.compile(r"\]\((?:[^()\s]|\([^()\s]*\)){1,500}\)")
+_LINK = re.compile(r"\]\((?:[^()\s]|\([^()\s]{0,200}\)){1,500}\)")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _WORD = re.compile(rf"[^\W_](?:[{_INVISIBLE}\x00]*[^\W_])*[{_INVISIBLE}]*")
 _DROP = re.compile(rf"[{_INVISIBLE}\x00]")
@@ -33,6 +34,29 @@ def _blank_tag(m: re.Match) -> str:
     return ("\x00" if _INLINE_TAG.fullmatch(m[0]) else " ") * len(m[0])
 
 
+def _blank_hidden(text: str) -> str:
+    """Comments, scripts and styles become blanks; one that never ends stays. Each part of the text is looked at once."""
+    parts, at, folded = [], 0, None
+    lost: set[str] = set()
+    for m in _HIDDEN.finditer(text):
+        if m.start() < at:
+            continue
+        close = "-->" if m[0] == "<!--" else f"</{m[0][1:].lower()}"
+        if close in lost:
+            continue
+        folded = folded if folded is not None else text.lower()
+        if len(folded) != len(text):
+            return text
+        end = folded.find(close, m.end())
+        if end < 0:
+            lost.add(close)
+            continue
+        end = end + 3 if close == "-->" else folded.find(">", end) + 1 or len(text)
+        parts += [text[at : m.start()], " " * (end - m.start())]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
 def _entity(m: re.Match) -> str:
     c = html.unescape(m[0])
     if len(c) == 1 and (c.isalnum() or _DROP.match(c)):
@@ -48,7 +72,7 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     """
     t = text.replace("\x00", " ")
     if "<" in t:
-        t = _TAG.sub(_blank_tag, t)
+        t = _TAG.sub(_blank_tag, _blank_hidden(t))
     if "](" in t:
         t = _LINK.sub(lambda m: " " * len(m[0]), t)
     if "&" in t:

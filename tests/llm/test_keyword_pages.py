@@ -1,4 +1,5 @@
 import random
+import time
 
 from talweg.llm.keyword_pages import AGAIN, NEW, NUMBER, SIGN, Lexicon, keyword_pages, language, normal, page_scores, raw_tokens
 
@@ -53,3 +54,11 @@ def test_classes():
 def test_language(spark):
     df = spark.createDataFrame([("EN",), ("eng",), ("und",), (None,), ("de-DE",), ("",), ("zz9",)], "l string")
     assert [r[0] for r in df.select(language("l")).collect()] == ["en", "en", None, None, "de", None, None]
+
+
+def test_hostile_and_very_long_texts_take_linear_time():
+    began = time.time()
+    for piece in ("<a ", "](", "<", "*", "a*", "`_~", "http://", "1.", "\n", "<b"):
+        raw_tokens(piece * (600_000 // len(piece)))
+    assert len(raw_tokens("a" * 3_000_000)) == 1
+    assert time.time() - began < 30

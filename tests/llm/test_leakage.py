@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from talweg.llm.leakage import leaks, words_of
@@ -59,7 +60,16 @@ def test_offsets_point_into_the_original(spark):
         ("hy­dro hy<b>dro</b> &amp; a&shy;b &eacute;t", ["hydro", "hydro", "ab", "et"]),
         ("one<br/>two [three](http://x.y/z) _four_", ["one", "two", "three", "four"]),
         ("ＡＢ \x00 0.48", ["ab", "0", "48"]),
+        ("a <!-- b > c --> d <SCRIPT x>e</script > f <style>g <!-- h", ["a", "d", "f", "g", "h"]),
     ],
 )
 def test_words(text, words):
     assert [w for w, _, _ in words_of(text)] == words
+
+
+def test_hostile_texts_take_linear_time():
+    began = time.time()
+    for piece in ("<!-- ", "<script ", "](", "](a(", "<a ", "&a", "<", "​", "a​", "[x](", "<b"):
+        words_of(piece * (600_000 // len(piece)))
+    assert len(words_of("a" * 3_000_000)) == 1
+    assert time.time() - began < 30
