@@ -156,13 +156,15 @@ class ClassModel:
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return np.where(known[at] == keys, value[at], 0.0)
 
-    def surprise(self, grams: list[np.ndarray]) -> np.ndarray:
-        """Negative log probability of each token after the two before it."""
-        one, two, three = (self._look(t, g) for t, g in zip(self.grams, grams))
-        p = (one + self.floor) / (self.total + 1000 * self.floor)
-        for share, keys, after in ((two, grams[1], self.after[0]), (three, grams[2], self.after[1])):
+    def surprise(self, three: np.ndarray) -> np.ndarray:
+        """Negative log probability of the last token of each trigram; equal trigrams are looked up once."""
+        three, back = np.unique(three, return_inverse=True)
+        grams = [three % self.size, three % self.size**2, three]
+        shares = [self._look(t, g) for t, g in zip(self.grams, grams)]
+        p = (shares[0] + self.floor) / (self.total + 1000 * self.floor)
+        for share, keys, after in zip(shares[1:], grams[1:], self.after):
             p = (share + PRIOR_SHARE * p) / (self._look(after, keys // self.size) + PRIOR_SHARE)
-        return -np.log(np.maximum(p, 1e-12))
+        return -np.log(np.maximum(p, 1e-12))[back]
 
 
 def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, trimmed: float = TRIMMED) -> DataFrame:
@@ -257,9 +259,9 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
         models = {k: ClassModel(t, gram_share, size) for k, t in shared.value.items()}
         for b in batches:
             for k, part in b.groupby("lang"):
-                each = [_grams(np.frombuffer(c, dtype), size) for c in part["cls"]]
-                s = models[k].surprise([np.concatenate([e[i] for e in each]) for i in range(3)])
-                ends = np.cumsum([len(e[0]) for e in each])
+                each = [_grams(np.frombuffer(c, dtype), size)[2] for c in part["cls"]]
+                s = models[k].surprise(np.concatenate(each))
+                ends = np.cumsum([len(e) for e in each])
                 total = np.diff(np.concatenate([[0.0], np.cumsum(s)[ends - 1]]))
                 yield part.drop(columns="cls").assign(surprise=total)
 
