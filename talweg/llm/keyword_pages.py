@@ -69,6 +69,15 @@ LINE, NUMBER, LINK, SIGN, NEW, AGAIN, START = range(7)
 _FIXED = {"\n": LINE, "#": NUMBER, "@": LINK}
 
 
+class _Words(dict):
+    """Token as written -> the word it counts as, None for links, numbers and longer signs; worked out when first met."""
+
+    def __missing__(self, token: str) -> str | None:
+        n = normal(token)
+        self[token] = n if n.isalpha() or len(n) == 1 else None
+        return self[token]
+
+
 class _Ids(dict):
     """Token as written -> id, worked out when first met."""
 
@@ -193,18 +202,18 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
 
     def words_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, Counter] = {}
-        rows = 0
+        rows, word = 0, _Words()
         for b in batches:
             for k, t in zip(b["lang"], b["text"]):
-                total.setdefault(k, Counter()).update({n for n in map(normal, set(raw_tokens(t))) if n.isalpha() or len(n) == 1})
+                total.setdefault(k, Counter()).update(set(map(word.__getitem__, raw_tokens(t))))
             rows += len(b)
-            if rows >= 20_000:
+            if rows >= 20_000 or len(word) > 1_000_000:
                 yield _counts(total)
-                total, rows = {}, 0
+                total, rows, word = {}, 0, _Words()
         yield _counts(total)
 
     def _counts(total: dict[str, Counter]) -> pd.DataFrame:
-        return pd.DataFrame([(k, w, n) for k, c in total.items() for w, n in c.items()], columns=["lang", "word", "n"])
+        return pd.DataFrame([(k, w, n) for k, c in total.items() for w, n in c.items() if w is not None], columns=["lang", "word", "n"])
 
     of_texts = lambda n: F.col("n") / F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in n.items()], F.lit(1.0))
     counted = own.select("lang", "text").mapInPandas(words_in, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(of_texts(docs) >= word_share)
