@@ -22,6 +22,8 @@ TRIMMED = 0.08
 
 #: A context weighs as much as the shorter one once this share of the texts has it, so what a few pages repeat is not learned from them.
 PRIOR_SHARE = 0.15
+#: A page on which the FEW commonest words, said again, are more than this share of the words, numbers and links is likely spam: the corpus's words and n-grams are not counted on it.
+FEW, FEW_SHARE = 8, 0.5
 #: Every text also has so many tokens of the middling text, so that a few words prove nothing.
 PRIOR_TOKENS = 20
 #: Nats per token above the middle text: perplexity eight times as high.
@@ -64,6 +66,9 @@ def normal(t: str) -> str:
     return t.lower()
 
 
+#: Counts the texts of a language among its words; no token looks like it.
+TEXTS = ""
+
 #: Ids of the classes that are no words: line end, number, link, rare sign, new word, word said before, start of text.
 LINE, NUMBER, LINK, SIGN, NEW, AGAIN, START = range(7)
 _FIXED = {"\n": LINE, "#": NUMBER, "@": LINK}
@@ -122,6 +127,13 @@ class Lexicon:
         known = known[self.word[known]]
         return int(self.own[:, known].sum(axis=1).argmax()) if len(known) else 0
 
+    def said(self, ids: np.ndarray) -> np.ndarray:
+        """How often each word of a text is said."""
+        inside = ids < self.base
+        known = np.zeros(len(ids), bool)
+        known[inside] = self.word[ids[inside]]
+        return np.unique(ids[known | ~inside], return_counts=True)[1]
+
     def classes(self, ids: np.ndarray, k: int) -> np.ndarray:
         """Own words as they are, others by class: new in this text, or said before; other signs as one class."""
         out = np.where(ids < self.base, ids, NEW)
@@ -139,6 +151,14 @@ class Lexicon:
         return out
 
 
+def few_share(words: np.ndarray, tokens: int) -> float:
+    """Share of the FEW commonest words, their first time left out, in the ``tokens`` words, numbers and links; ``words`` has how often each word is said."""
+    n = np.asarray(words)
+    if len(n) > FEW:
+        n = np.partition(n, len(n) - FEW)[-FEW:]
+    return float(n.sum() - len(n)) / max(tokens, 1)
+
+
 def _grams(cls: np.ndarray, size: int) -> list[np.ndarray]:
     """The n-grams of order 1 to 3 that end at each token, as numbers; ``size`` is the number of classes."""
     line = np.concatenate([[START, START], cls]).astype("i8")
@@ -179,16 +199,17 @@ class ClassModel:
 def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, trimmed: float = TRIMMED) -> DataFrame:
     """(doc_id, lang, tokens, own_share, again_share, perplexity, excess) of every text that has a word.
 
-    The first pass over all texts counts in how many texts of a language each word stands: words of at least
-    ``word_share`` of them are function words and the vocabulary of its records. The second hears each text's language from
-    the words it uses and writes it as word classes, with how unusual its other words are. From those, the n-grams of the
-    prose and records of each language are counted, leaving out the share ``trimmed`` of its texts with the most unusual
-    words, and each text is scored under the trigram model of its language. ``perplexity`` is the exponent of the mean
+    The first pass counts in how many texts of a language each word stands: words of at least ``word_share`` of them are
+    function words and the vocabulary of its records. The second hears each text's language from the words it uses and
+    writes it as word classes, with how unusual its other words are. From those, the n-grams of the prose and records of
+    each language are counted, leaving out the share ``trimmed`` of its texts with the most unusual words, and each text is
+    scored under the trigram model of its language. Words and n-grams are counted over distinct texts, and not on pages
+    that few words fill (``FEW_SHARE``), so neither depends on how often spam is copied. ``perplexity`` is the exponent of the mean
     surprise of a token, ``excess`` how far that mean is above the middle text's, ``own_share`` the share of words that are
     the corpus's own, ``again_share`` that of other words said again.
 
     Texts of an unknown language are counted with the commonest one. Null and empty texts and null ids do not come out;
-    repeated texts count each.
+    repeated texts come out each.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
     own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), language(lang).alias("lang")).filter("doc_id is not null and text is not null and text <> ''")
@@ -197,15 +218,15 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
     common = listed[0][1] if listed else "en"
     codes = [k for _, k in listed]
     own = own.withColumn("lang", F.when(F.col("lang").isin(codes), F.col("lang")).otherwise(common))
-    docs = {k: -n for n, k in listed}
-    docs[common] = docs.get(common, 0) + sum(r["n"] for r in sizes if r["lang"] not in docs)
-
     def words_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, Counter] = {}
         rows, word = 0, _Words()
         for b in batches:
             for k, t in zip(b["lang"], b["text"]):
-                total.setdefault(k, Counter()).update(set(map(word.__getitem__, raw_tokens(t))))
+                said = Counter(map(word.__getitem__, raw_tokens(t)))
+                alpha = [n for w, n in said.items() if w is not None and w.isalpha()]
+                if few_share(alpha, sum(alpha) + said["#"] + said["@"] + said[None]) <= FEW_SHARE:
+                    total.setdefault(k, Counter()).update([*said.keys(), TEXTS])
             rows += len(b)
             if rows >= 20_000 or len(word) > 1_000_000:
                 yield _counts(total)
@@ -216,10 +237,14 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
         return pd.DataFrame([(k, w, n) for k, c in total.items() for w, n in c.items() if w is not None], columns=["lang", "word", "n"])
 
     of_texts = lambda n: F.col("n") / F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in n.items()], F.lit(1.0))
-    counted = own.select("lang", "text").mapInPandas(words_in, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(of_texts(docs) >= word_share)
+    counted = own.select("lang", "text").distinct().mapInPandas(words_in, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = scratch.save(counted, "words")
+    docs = {k: 1 for k in [*codes, common]} | {r["lang"]: r["n"] for r in counted.filter(F.col("word") == TEXTS).collect()}
+    counted = counted.filter((F.col("word") != TEXTS) & (of_texts(docs) >= word_share))
     words: dict[str, list[str]] = {k: [] for k in docs}
     for r in counted.collect():  # at most (distinct words per text) / word_share for each language
         words[r["lang"]].append(r["word"])
+    scratch.drop("words")
     size = Lexicon(words, common).base
     kind = dict(own.dtypes)["doc_id"]
 
@@ -227,7 +252,7 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
         lex = Lexicon(words, common)
         for b in batches:
             out = []
-            for d, t in zip(b["doc_id"], b["text"]):
+            for d, same, t in zip(b["doc_id"], b["same"], b["text"]):
                 ids = lex.encode(t)
                 if not len(ids):
                     continue
@@ -235,13 +260,15 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
                 cls = lex.classes(ids, k)
                 new, again, odd = int((cls == NEW).sum()), int((cls == AGAIN).sum()), int(((cls == SIGN) | (cls == LINK)).sum())
                 alpha = new + again + int(lex.word[cls].sum())
-                out.append((d, lex.langs[k], cls.astype(lex.dtype).tobytes(), len(cls), alpha, again, new + again, (2 * again + new + odd) / len(cls)))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "cls", "tokens", "alpha", "again", "other", "odd"])
+                few = few_share(lex.said(ids), alpha + int(((cls == NUMBER) | (cls == LINK)).sum()))
+                out.append((d, same, lex.langs[k], cls.astype(lex.dtype).tobytes(), len(cls), alpha, again, new + again, (2 * again + new + odd) / len(cls), few))
+            yield pd.DataFrame(out, columns=["doc_id", "same", "lang", "cls", "tokens", "alpha", "again", "other", "odd", "few"])
 
-    rated = own.select("doc_id", "text").mapInPandas(classify, f"doc_id {kind}, lang string, cls binary, tokens long, alpha long, again long, other long, odd double")
+    rated = own.select("doc_id", F.xxhash64("text").alias("same"), "text").mapInPandas(classify, f"doc_id {kind}, same long, lang string, cls binary, tokens long, alpha long, again long, other long, odd double, few double")
     rated = scratch.save(rated, "rated")
     docs, limits = {}, {}
-    for r in rated.groupBy("lang").agg(F.percentile_approx("odd", 1 - trimmed, 1000).alias("q"), F.count("*").alias("n")).collect():
+    learned = scratch.save(rated.filter(F.col("few") <= FEW_SHARE).select("same", "lang", "odd", "cls").dropDuplicates(["same", "lang"]), "learned")
+    for r in learned.groupBy("lang").agg(F.percentile_approx("odd", 1 - trimmed, 1000).alias("q"), F.count("*").alias("n")).collect():
         limits[r["lang"]], docs[r["lang"]] = r["q"], r["n"]
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in limits.items()], F.lit(0.0))
     dtype = Lexicon(words, common).dtype
@@ -254,10 +281,10 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
                     keys, n = np.unique(np.concatenate([e[order] for e in each]), return_counts=True)
                     yield pd.DataFrame({"lang": k, "gram_order": order, "gram": keys, "n": n})
 
-    kept = rated.filter(F.col("odd") <= limit).select("lang", "cls")
+    kept = learned.filter(F.col("odd") <= limit).select("lang", "cls")
     grams = kept.mapInPandas(count_grams, "lang string, gram_order int, gram long, n long").groupBy("lang", "gram_order", "gram").agg(F.sum("n").alias("n"))
     grams = grams.withColumn("share", of_texts(docs)).filter(F.col("share") >= gram_share)
-    tables: dict[str, list] = {k: [([], []) for _ in range(3)] for k in docs}
+    tables: dict[str, list] = {k: [([], []) for _ in range(3)] for k in [*words, *docs]}
     for r in grams.orderBy("gram").collect():  # at most (distinct n-grams per text) / gram_share for each language
         tables[r["lang"]][r["gram_order"]][0].append(r["gram"])
         tables[r["lang"]][r["gram_order"]][1].append(r["share"])
@@ -277,6 +304,7 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
     scored = rated.filter("alpha > 0").select("doc_id", "lang", "tokens", "alpha", "again", "other", "cls").mapInPandas(score, f"doc_id {kind}, lang string, tokens long, alpha long, again long, other long, surprise double")
     scored = scratch.save(scored, "scored")
     scratch.drop("rated")
+    scratch.drop("learned")
     middle = scored.agg(F.percentile_approx(F.col("surprise") / F.col("tokens"), 0.5, 1000).alias("_m"))
     mean = (F.col("surprise") + PRIOR_TOKENS * F.coalesce("_m", F.lit(0.0))) / (F.col("tokens") + PRIOR_TOKENS)
     out = scored.crossJoin(middle).withColumn("_mean", mean)

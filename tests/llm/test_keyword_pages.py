@@ -38,6 +38,15 @@ def test_pages_are_found_and_records_are_not(spark):
     assert {r.doc_id for r in scores.collect()} == {r[0] for r in rows} - {None, 1000, 1001, 1003}
 
 
+def test_the_vocabulary_does_not_depend_on_how_often_spam_occurs(spark):
+    rows, bad = corpus()
+    rnd = random.Random(2)
+    spam = {2000 + i: " - ".join(rnd.choice(["CHEAP SENSOR", "pump promo", "river level"]) for _ in range(90)) for i in range(30)}
+    spam |= {3000 + i: "\n".join(["* spillway tour"] * 3 + ["* kayak deal", "* weir shop"] * 8) for i in range(30)}
+    df = spark.createDataFrame([*rows, *[(k, v, "en") for k, v in spam.items()]], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in keyword_pages(page_scores(df, "doc_id", "text", "lang")).collect()} == bad | set(spam)
+
+
 def test_empty(spark):
     assert page_scores(spark.createDataFrame([], "d long, t string, l string"), "d", "t", "l").count() == 0
 
