@@ -197,7 +197,7 @@ class ClassModel:
 
 
 def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, trimmed: float = TRIMMED) -> DataFrame:
-    """(doc_id, lang, tokens, own_share, again_share, perplexity, excess) of every text that has a word.
+    """(doc_id, lang, tokens, own_share, again_share, few_share, perplexity, excess) of every text that has a word.
 
     The first pass counts in how many texts of a language each word stands: words of at least ``word_share`` of them are
     function words and the vocabulary of its records. The second hears each text's language from the words it uses and
@@ -206,7 +206,8 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
     scored under the trigram model of its language. Words and n-grams are counted over distinct texts, and not on pages
     that few words fill (``FEW_SHARE``), so neither depends on how often spam is copied. ``perplexity`` is the exponent of the mean
     surprise of a token, ``excess`` how far that mean is above the middle text's, ``own_share`` the share of words that are
-    the corpus's own, ``again_share`` that of other words said again.
+    the corpus's own, ``again_share`` that of other words said again, ``few_share`` that of the commonest words said again,
+    own ones or not, in the words, numbers and links.
 
     Texts of an unknown language are counted with the commonest one. Null and empty texts and null ids do not come out;
     repeated texts come out each.
@@ -301,22 +302,24 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
                 total = np.diff(np.concatenate([[0.0], np.cumsum(s)[ends - 1]]))
                 yield part.drop(columns="cls").assign(surprise=total)
 
-    scored = rated.filter("alpha > 0").select("doc_id", "lang", "tokens", "alpha", "again", "other", "cls").mapInPandas(score, f"doc_id {kind}, lang string, tokens long, alpha long, again long, other long, surprise double")
+    scored = rated.filter("alpha > 0").select("doc_id", "lang", "tokens", "alpha", "again", "other", "few", "cls").mapInPandas(score, f"doc_id {kind}, lang string, tokens long, alpha long, again long, other long, few double, surprise double")
     scored = scratch.save(scored, "scored")
     scratch.drop("rated")
     scratch.drop("learned")
     middle = scored.agg(F.percentile_approx(F.col("surprise") / F.col("tokens"), 0.5, 1000).alias("_m"))
     mean = (F.col("surprise") + PRIOR_TOKENS * F.coalesce("_m", F.lit(0.0))) / (F.col("tokens") + PRIOR_TOKENS)
     out = scored.crossJoin(middle).withColumn("_mean", mean)
-    return out.select("doc_id", "lang", "tokens", (1 - F.col("other") / F.col("alpha")).alias("own_share"), (F.col("again") / F.col("alpha")).alias("again_share"), F.exp("_mean").alias("perplexity"), (F.col("_mean") - F.col("_m")).alias("excess"))
+    return out.select("doc_id", "lang", "tokens", (1 - F.col("other") / F.col("alpha")).alias("own_share"), (F.col("again") / F.col("alpha")).alias("again_share"), F.col("few").alias("few_share"), F.exp("_mean").alias("perplexity"), (F.col("_mean") - F.col("_m")).alias("excess"))
 
 
-def keyword_pages(scores: DataFrame, abnormal: float = ABNORMAL, repeated: float = REPEATED, abnormal_repeated: float = ABNORMAL_REPEATED) -> DataFrame:
-    """The scores of the pages whose perplexity is abnormally high, for a page of repeated words less so.
+def keyword_pages(scores: DataFrame, abnormal: float = ABNORMAL, repeated: float = REPEATED, abnormal_repeated: float = ABNORMAL_REPEATED, few: float = FEW_SHARE) -> DataFrame:
+    """The scores of the pages whose perplexity is abnormally high, for a page of repeated words less so, or abnormally low.
 
     High: a mean surprise more than ``abnormal`` nats above the middle text's. A page that says the same few keywords over
-    and over grows predictable again; where the share of other words said again is above ``repeated``, ``abnormal_repeated``
-    nats are enough.
+    and over grows predictable again; where the share of other words said again is above ``repeated``, or that of the
+    commonest words, own ones or not, above ``few``, ``abnormal_repeated`` nats above it are enough. Low: as many nats below
+    it, on pages that few words fill; logs and tables are as predictable, but their numbers keep ``few_share`` down.
     """
+    filled = (F.col("few_share") > few) & (F.abs("excess") > abnormal_repeated)
     again = (F.col("again_share") > repeated) & (F.col("excess") > abnormal_repeated)
-    return scores.filter((F.col("excess") > abnormal) | again)
+    return scores.filter((F.col("excess") > abnormal) | again | filled)

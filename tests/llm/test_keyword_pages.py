@@ -47,6 +47,15 @@ def test_the_vocabulary_does_not_depend_on_how_often_spam_occurs(spark):
     assert {r.doc_id for r in keyword_pages(page_scores(df, "doc_id", "text", "lang")).collect()} == bad | set(spam)
 
 
+def test_pages_of_own_words_and_low_perplexity(spark):
+    rows, bad = corpus()
+    own = {4000: " ".join(["the gauge checked the record"] * 60), 4003: "a reviewer moved a storm and it was good. " * 40}
+    df = spark.createDataFrame([*rows, *[(k, v, "en") for k, v in own.items()]], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in keyword_pages(page_scores(df, "doc_id", "text", "lang")).collect()} == bad | set(own)
+    low = spark.createDataFrame([(1, 0.0, 0.9, -1.5), (2, 0.0, 0.3, -1.5), (3, 0.0, 0.9, -0.5)], "doc_id long, again_share double, few_share double, excess double")
+    assert [r.doc_id for r in keyword_pages(low).collect()] == [1]
+
+
 def test_empty(spark):
     assert page_scores(spark.createDataFrame([], "d long, t string, l string"), "d", "t", "l").count() == 0
 
