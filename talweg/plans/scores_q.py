@@ -297,7 +297,7 @@ def a47_plan_report(spark: S, d: str) -> DataFrame:
 def t1_day_axis(spark: S, d: str) -> DataFrame:
     """Every day of a station's record, with its reading or null."""
     p = v.pairs(spark, d)
-    axis = p.groupBy("staid").agg(F.min("day").alias("a"), F.max("day").alias("b")).filter("datediff(b, a) < 2000").select("staid", F.explode(se.day_axis(F.col("a"), F.col("b"))).alias("day"))
+    axis = p.groupBy("staid").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("staid", F.explode(se.day_axis(F.col("a"), F.col("b"))).alias("day"))
     return axis.join(p.select("staid", "day", "obs"), ["staid", "day"], "left")
 
 
