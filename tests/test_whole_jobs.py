@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from talweg.plans import scores_q
+from talweg.plans import scores_q, stores_q
 
 
 @pytest.fixture(scope="module")
@@ -20,3 +20,9 @@ def records(spark, tmp_path_factory):
 def test_t1_long_records(spark, records):
     got = {r["staid"]: (r["count"], r["n"]) for r in scores_q.t1_day_axis(spark, records).groupBy("staid").agg({"*": "count", "obs": "count"}).withColumnsRenamed({"count(1)": "count", "count(obs)": "n"}).collect()}
     assert got == {"00000007": (3001, 2), "12345678": (10, 2)}
+
+
+def test_k6_every_station_is_written(spark, records):
+    first = (dt.date(1985, 1, 1) - dt.date(1980, 1, 1)).days
+    got = {r.staid: (r.days, r.read) for r in stores_q.k6_padded_series(spark, records).collect()}
+    assert got == {"00000007": (first + 3001, 2), "12345678": (first + 10, 2)}
