@@ -3,7 +3,8 @@
 import datetime as dt
 
 import pytest
-from talweg.plans import scores_q, stores_q
+from conftest import DATA
+from talweg.plans import routing_q, scores_q, stores_q
 
 
 @pytest.fixture(scope="module")
@@ -26,3 +27,7 @@ def test_k6_every_station_is_written(spark, records):
     first = (dt.date(1985, 1, 1) - dt.date(1980, 1, 1)).days
     got = {r.staid: (r.days, r.read) for r in stores_q.k6_padded_series(spark, records).collect()}
     assert got == {"00000007": (first + 3001, 2), "12345678": (first + 10, 2)}
+
+
+def test_m10_all_seven_rounds(spark):
+    assert {r.variant for r in routing_q.m10_perturbed_outflow(spark, DATA).select("variant").distinct().collect()} == set(range(1, 8))
