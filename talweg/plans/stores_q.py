@@ -194,11 +194,11 @@ def m3_disaggregate(spark: S, d: str) -> DataFrame:
 
 
 def m5_training_losses(spark: S, d: str) -> DataFrame:
-    """Three gradient steps of the head over basins of the reach forest, towards flow routed with known parameters."""
+    """Three gradient steps of the head over whole basins of the reach forest, a task each, towards flow routed with known parameters."""
     from talweg.plans.network_q import reach_paths
 
     steps = 6
-    base = reach_paths(spark, d).filter("hops <= 3").select(F.col("id").alias("comid"), F.get("path", F.size("path") - 1).alias("basin"))
+    base = reach_paths(spark, d).filter("hops >= 0").select(F.col("id").alias("comid"), F.get("path", F.size("path") - 1).alias("basin"))
     r = v.reach(spark, d).join(base, "comid").withColumns({"a1": F.col("slope") * 50, "a2": F.col("length_m") / 5000, "slope": F.greatest("slope", F.lit(1e-3))})
     r = r.withColumn("lateral", F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda t: 1 + F.sin(t + F.pmod(F.col("comid"), F.lit(5)))))
     r = r.withColumn("observed", F.transform("lateral", lambda x: x * F.lit(3.0)))

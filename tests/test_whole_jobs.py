@@ -31,3 +31,8 @@ def test_k6_every_station_is_written(spark, records):
 
 def test_m10_all_seven_rounds(spark):
     assert {r.variant for r in routing_q.m10_perturbed_outflow(spark, DATA).select("variant").distinct().collect()} == set(range(1, 8))
+
+
+def test_m5_whole_basins(spark, monkeypatch):
+    monkeypatch.setattr(stores_q.mo, "train", lambda groups, *a, **k: ({}, [groups.count(), groups.select("basin").distinct().count()]))
+    assert [r.loss for r in stores_q.m5_training_losses(spark, DATA.replace("0.001", "0.01")).orderBy("step").collect()] == [2000, 3]
