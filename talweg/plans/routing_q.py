@@ -95,7 +95,7 @@ def m9_reach_gradients(spark: S, d: str) -> DataFrame:
     from talweg.functions.tape import Var
 
     _, net = _network(spark, d)
-    hours = 12
+    hours = STEPS
 
     def gradient(key, reaches: pd.DataFrame, forcing: pd.DataFrame) -> pd.DataFrame:
         if not len(reaches):

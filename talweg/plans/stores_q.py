@@ -26,10 +26,10 @@ def s6_gauges_keep_first(spark: S, d: str) -> DataFrame:
 
 
 def s7_attributes_present(spark: S, d: str) -> DataFrame:
-    """Of the wanted reaches those with attributes, with the mean of the full column beside each value."""
+    """Of the live reaches those with attributes, with the mean of the full column beside each value."""
     a = v.attributes(spark, d).select("comid", finite("aridity").alias("aridity"))
     mean = a.agg(F.avg("aridity").alias("full_mean"))
-    return a.join(v.live(spark, d).filter("comid % 3 = 0").select("comid"), "comid", "left_semi").crossJoin(F.broadcast(mean))
+    return a.join(v.live(spark, d).select("comid"), "comid", "left_semi").crossJoin(F.broadcast(mean))
 
 
 def s8_attributes_aligned(spark: S, d: str) -> DataFrame:
@@ -221,18 +221,18 @@ def w2_sessions_stream(spark: S, d: str) -> DataFrame:
 
 
 def w3_routing_stream(spark: S, d: str) -> DataFrame:
-    """Hours of lateral inflow in three files, routed as they come, with state carried over; one small basin of bounded size."""
+    """Hours of lateral inflow in three files, routed as they come, with state carried over; all basins, each whole. The network goes to every worker."""
     from talweg.plans.network_q import reach_paths
 
-    ids = reach_paths(spark, d).filter("root = 1 and hops <= 3").select(F.col("id").alias("comid"))
-    net = v.reach(spark, d).join(F.broadcast(ids), "comid").select(F.lit(1).cast("long").alias("basin"), "comid", "parent", "length_m", F.greatest("slope", F.lit(1e-3)).alias("slope"))
-    small = net.toPandas()  # 85 reaches at the most: four children each, three steps up
+    ids = reach_paths(spark, d).select(F.col("id").alias("comid"), F.col("root").alias("basin"))
+    net = v.reach(spark, d).join(ids, "comid").select("basin", "comid", "parent", "length_m", F.greatest("slope", F.lit(1e-3)).alias("slope"))
+    network = net.toPandas()  # a row of five numbers per reach
     scratch = Scratch(spark)
     hours = net.select("basin", "comid", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("t")).withColumn("q_lateral", 1 + F.sin(F.col("t") + F.pmod(F.col("comid"), F.lit(4))) / 2)
     for k in range(3):
         hours.filter((F.col("t") >= 4 * k) & (F.col("t") < 4 * k + 4)).coalesce(1).write.parquet(scratch.path(f"in/b{k}"))
     stream = spark.readStream.schema("basin long, comid long, t int, q_lateral double").option("maxFilesPerTrigger", 1).parquet(scratch.path("in/*"))
-    return flows.run_to_end(spark, flows.route_stream(stream, small))
+    return flows.run_to_end(spark, flows.route_stream(stream, network))
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "skmcw" and k[1].isdigit()}

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from conftest import DATA
 from talweg.plans import routing_q, scores_q, stores_q
+from talweg.plans import views as v
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +37,19 @@ def test_m10_all_seven_rounds(spark):
 def test_m5_whole_basins(spark, monkeypatch):
     monkeypatch.setattr(stores_q.mo, "train", lambda groups, *a, **k: ({}, [groups.count(), groups.select("basin").distinct().count()]))
     assert [r.loss for r in stores_q.m5_training_losses(spark, DATA.replace("0.001", "0.01")).orderBy("step").collect()] == [2000, 3]
+
+
+def test_s7_all_live_reaches(spark):
+    a, live = v.attributes(spark, DATA).select("comid"), v.live(spark, DATA).select("comid")
+    assert {r.comid for r in stores_q.s7_attributes_present(spark, DATA).collect()} == {r.comid for r in a.intersect(live).collect()}
+
+
+def test_w3_all_basins(spark):
+    got = stores_q.w3_routing_stream(spark, DATA)
+    assert got.count() == 12 * v.reach(spark, DATA).count() and got.select("basin").distinct().count() == 3
+
+
+def test_m9_every_step_counts(spark, monkeypatch):
+    whole = {r.comid: r.gradient for r in routing_q.m9_reach_gradients(spark, DATA).collect()}
+    monkeypatch.setattr(routing_q, "STEPS", 12)
+    assert {r.comid: r.gradient for r in routing_q.m9_reach_gradients(spark, DATA).collect()} != pytest.approx(whole, rel=1e-6)
