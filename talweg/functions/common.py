@@ -66,11 +66,13 @@ def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
 
     ``small`` should be a written table: its rows are counted, unless ``rows`` says how many there are, and up to
     ``limit_rows`` it is broadcast. Beyond that the
-    rows of ``big`` are salted and ``small`` is repeated once per salt, so that a hot key spreads over ``salts`` tasks.
+    rows of ``big`` are salted by a hash of the row and its partition, so that a task run again salts them the same whatever
+    the order of its rows, and ``small`` is repeated once per salt, so that a hot key spreads over ``salts`` tasks.
     Only inner and left joins (a salted anti or semi join is the same with a flag column).
     """
     if (small.limit(limit_rows + 1).count() if rows is None else rows) <= limit_rows:
         return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = big.withColumn("_salt", (F.rand(7) * salts).cast("int"))
+    plain = [F.col(f"`{c}`") for c, t in big.dtypes if "map<" not in t]
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(salts)).cast("int"))
     return spread.join(salted, [*keys, "_salt"], how).drop("_salt")

@@ -104,7 +104,7 @@ def x17_log_interp(spark: S, d: str) -> DataFrame:
 
 def x18_arm_means(spark: S, d: str) -> DataFrame:
     a = v.reach(spark, d).select("comid", F.col("length_m").alias("a"))
-    b = v.reach(spark, d).filter("comid % 3 <> 0").select("comid", F.col("uparea_km2").alias("b"))
+    b = v.reach(spark, d).select("comid", F.col("uparea_km2").alias("b"))
     return a.join(b, "comid").select("comid", ph.mean_of_two(F.col("a"), F.col("b")).alias("linear"), ph.mean_of_two(F.col("a"), F.col("b"), True).alias("geometric"))
 
 
@@ -479,7 +479,7 @@ SQL = {
     "x15_piece_divisor": _PLAN + " SELECT comid, unnest(range(0, pieces)) AS piece, pieces AS divisor FROM plan",
     "x16_scale_by_log2": v.sql("reach") + " SELECT comid, k, length_m * pow(CAST(2 AS DOUBLE), k) AS v FROM reach CROSS JOIN (VALUES (CAST(-1 AS DOUBLE)), (0), (2)) t(k)",
     "x17_log_interp": v.sql("reach") + " SELECT comid, length_m AS t0, exp(CAST(0.75 AS DOUBLE) * ln(length_m) + CAST(0.25 AS DOUBLE) * ln(uparea_km2)) AS t25, uparea_km2 AS t1 FROM reach",
-    "x18_arm_means": v.sql("reach") + " SELECT comid, (length_m + uparea_km2) / 2 AS linear, exp((ln(length_m) + ln(uparea_km2)) / 2) AS geometric FROM reach WHERE comid % 3 <> 0",
+    "x18_arm_means": v.sql("reach") + " SELECT comid, (length_m + uparea_km2) / 2 AS linear, exp((ln(length_m) + ln(uparea_km2)) / 2) AS geometric FROM reach",
     "x19_station_ids": f"SELECT entry_id, {v._pad('staid')} AS staid FROM split_manifest",
     "x20_learning_rates": "SELECT DISTINCT p_size AS epoch, CASE WHEN p_size >= 10 THEN CAST(0.0005 AS DOUBLE) WHEN p_size >= 3 THEN CAST(0.001 AS DOUBLE) ELSE CAST(0.005 AS DOUBLE) END AS lr FROM part",
     "x21_peak_hours": f"WITH p AS (SELECT row_id, len(target_hourly_m3s) - list_position(list_reverse(target_hourly_m3s), list_max(target_hourly_m3s)) AS peak FROM pretrain_rows WHERE {_CLEAN}) SELECT row_id, peak, least(abs(peak - 12), 24 - abs(peak - 12)) AS from_noon FROM p",

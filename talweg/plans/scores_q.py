@@ -141,9 +141,9 @@ def a25_nse_of_long_records(spark: S, d: str) -> DataFrame:
 def a26_tau_sweep(spark: S, d: str) -> DataFrame:
     """Per user the shift of the daily means that fits the unshifted means best.
 
-    Each hour is copied once per shift (12 of them), pooled and scored; nothing is paired with all.
+    Each hour is copied once per shift (36 of them, 0 to 35 hours), pooled and scored; nothing is paired with all.
     """
-    h = v.hourly(spark, d).withColumn("tau", F.explode(F.array(*[F.lit(t) for t in range(0, 24, 2)])))
+    h = v.hourly(spark, d).withColumn("tau", F.explode(F.sequence(F.lit(0), F.lit(35))))
     day = (F.col("ts") - F.make_dt_interval(F.lit(0), F.col("tau"), F.lit(0), F.lit(0))).cast("date")
     pred = h.groupBy("id", "tau", day.alias("day")).agg(F.avg("value").alias("pred"))
     p = pred.join(_daily(spark, d).withColumnRenamed("value", "obs"), ["id", "day"])
@@ -387,7 +387,7 @@ def t18_day_vectors(spark: S, d: str) -> DataFrame:
 def t21_decay(spark: S, d: str) -> DataFrame:
     p = v.pairs(spark, d).withColumn("day_idx", F.row_number().over(Window.partitionBy("staid").orderBy("day")) - 1)
     e = F.abs(F.col("pred") - F.col("obs"))
-    return p.filter("day_idx < 60").groupBy("day_idx").agg(F.avg(e).alias("mean"), F.median(e).alias("median"))
+    return p.groupBy("day_idx").agg(F.avg(e).alias("mean"), F.median(e).alias("median"))
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "at" and k[1].isdigit()}
@@ -436,7 +436,7 @@ SQL = {
     "a23_shape_error": f"WITH s AS (SELECT {v._pad('staid')} AS staid, CAST(target_hourly_m3s AS DOUBLE[]) AS h FROM pretrain_rows WHERE {_CLEAN}), t AS (SELECT staid, unnest(h) AS x, list_sum(h) AS t FROM s WHERE list_sum(h) > 0) SELECT staid, avg(pow(x / t - 1 / CAST(24 AS DOUBLE), 2)) AS mse FROM t GROUP BY staid",
     "a24_scores_with_eps": _M + " SELECT staid, CASE WHEN n >= 2 THEN 1 - mse / (vo + CAST(1e-6 AS DOUBLE)) END AS nse, CASE WHEN n >= 3 AND mo <> 0 AND vo <> 0 THEN 1 - sqrt(pow(cov / nullif(sqrt(vp) * sqrt(vo), 0) - 1, 2) + pow(sqrt(vp) / (sqrt(vo) + CAST(1e-6 AS DOUBLE)) - 1, 2) + pow(mp / (mo + CAST(1e-6 AS DOUBLE)) - 1, 2)) END AS kge FROM m",
     "a25_nse_of_long_records": _M + f" SELECT staid, CASE WHEN n >= 100 THEN {_NSE} END AS nse FROM m",
-    "a26_tau_sweep": _D + ", h AS (SELECT id, ts, value, unnest([0, 2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 22]) AS tau FROM hourly), pr AS (SELECT id, tau, CAST(ts - to_hours(tau) AS DATE) AS day, avg(value) AS pred FROM h GROUP BY ALL), j AS (SELECT pr.id, tau, pred, value AS obs FROM pr JOIN daily ON daily.id = pr.id AND daily.day = pr.day), m AS (SELECT id, tau, round(1 - avg((pred - obs) * (pred - obs)) / nullif(var_pop(obs), 0), 9) AS nse FROM j GROUP BY id, tau HAVING count(*) >= 5) SELECT id, tau, nse FROM m WHERE nse IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY nse DESC, tau) = 1",
+    "a26_tau_sweep": _D + ", h AS (SELECT id, ts, value, CAST(unnest(range(36)) AS INTEGER) AS tau FROM hourly), pr AS (SELECT id, tau, CAST(ts - to_hours(tau) AS DATE) AS day, avg(value) AS pred FROM h GROUP BY ALL), j AS (SELECT pr.id, tau, pred, value AS obs FROM pr JOIN daily ON daily.id = pr.id AND daily.day = pr.day), m AS (SELECT id, tau, round(1 - avg((pred - obs) * (pred - obs)) / nullif(var_pop(obs), 0), 9) AS nse FROM j GROUP BY id, tau HAVING count(*) >= 5) SELECT id, tau, nse FROM m WHERE nse IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY nse DESC, tau) = 1",
     "a27_rank_correlation": _P + f", r AS (SELECT staid, {_AVGRANK.format(g='staid', c='pred')} AS a, {_AVGRANK.format(g='staid', c='obs')} AS b FROM pairs) SELECT staid, corr(a, b) AS rho, count(*) AS n FROM r GROUP BY staid",
     "a28_flashiness": _P + ", q AS (SELECT *, pred - lag(pred) OVER (PARTITION BY staid ORDER BY day) AS dq FROM pairs) SELECT staid, corr(pred, obs) AS r, stddev_pop(dq) / (abs(avg(pred)) + CAST(1e-6 AS DOUBLE)) AS flashiness FROM q GROUP BY staid",
     "a29_relative_spread": _P + ", y AS (SELECT staid, year(day) AS y, avg(pred) AS x FROM pairs GROUP BY ALL) SELECT staid, (max(x) - min(x)) / (abs(avg(x)) + CAST(1e-9 AS DOUBLE)) AS spread FROM y GROUP BY staid",
@@ -458,7 +458,7 @@ SQL = {
     "a45_lock_differences": "WITH t AS (SELECT zone_id, year(loaded_at) < 2024 AS old, CAST(count(*) AS VARCHAR) AS n FROM reach_attributes GROUP BY ALL) SELECT zone_id, a.n AS \"left\", b.n AS \"right\", CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS state FROM (SELECT * FROM t WHERE old) a FULL JOIN (SELECT * FROM t WHERE NOT old) b USING (zone_id) WHERE a.n IS DISTINCT FROM b.n",
     "a46_network_medians": _GAUGE + f", m AS (SELECT staid, median(slope) AS m, count(*) AS k FROM gr JOIN reach USING (comid) GROUP BY staid), r AS (SELECT {_AVGRANK.format(g='1', c='m')} AS a, {_AVGRANK.format(g='1', c='k')} AS b FROM m) SELECT corr(a, b) AS rho, count(*) AS n FROM r",
     "a47_plan_report": "",
-    "t1_day_axis": _P + ", r AS (SELECT staid, min(day) AS a, max(day) AS b FROM pairs GROUP BY staid HAVING date_diff('day', min(day), max(day)) < 2000), x AS (SELECT staid, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM r) SELECT staid, day, obs FROM x LEFT JOIN pairs USING (staid, day)",
+    "t1_day_axis": _P + ", r AS (SELECT staid, min(day) AS a, max(day) AS b FROM pairs GROUP BY staid), x AS (SELECT staid, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM r) SELECT staid, day, obs FROM x LEFT JOIN pairs USING (staid, day)",
     "t2_window_starts": _P + ", r AS (SELECT staid, min(day) AS a, date_diff('day', min(day), max(day)) + 1 AS n FROM pairs GROUP BY staid) SELECT staid, a + CAST(CASE WHEN n = 30 THEN 0 ELSE CAST('0x' || substr(md5(staid), 1, 8) AS BIGINT) % (n - 30) END AS INTEGER) AS start FROM r WHERE n >= 30",
     "t3_window_hours": "SELECT DISTINCT p_size AS rho, (p_size - 1) * 24 AS hours FROM part",
     "t4_tiles": _P + " SELECT staid, CAST(floor(date_diff('day', DATE '1980-01-01', day) / CAST(15 AS DOUBLE)) AS BIGINT) AS tile, count(*) AS n, max(obs) AS obs FROM pairs GROUP BY ALL",
@@ -478,7 +478,7 @@ SELECT staid, day, q0 AS "first", p12 * (1 - q0 - q23) / (1 - p0 - p23 + CAST(1e
     "t15_softmax_chunks": v.sql("hourly") + ", c AS (SELECT *, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / CAST(3 AS DOUBLE)) AS BIGINT) AS k FROM hourly), e AS (SELECT *, exp(value / 100 - max(value / 100) OVER (PARTITION BY id, k)) AS e FROM c) SELECT id, ts, e / sum(e) OVER (PARTITION BY id, k) AS share FROM e",
     "t17_aligned_days": _P + " SELECT staid, day, pred, obs FROM pairs QUALIFY row_number() OVER (PARTITION BY staid ORDER BY day) > 4 AND row_number() OVER (PARTITION BY staid ORDER BY day) < count(*) OVER (PARTITION BY staid)",
     "t18_day_vectors": v.sql("hourly") + " SELECT id, CAST(ts AS DATE) AS day, sum(value) AS total, 24 AS n FROM hourly GROUP BY ALL",
-    "t21_decay": _P + ", i AS (SELECT *, CAST(row_number() OVER (PARTITION BY staid ORDER BY day) - 1 AS INTEGER) AS day_idx FROM pairs) SELECT day_idx, avg(abs(pred - obs)) AS mean, median(abs(pred - obs)) AS median FROM i WHERE day_idx < 60 GROUP BY day_idx",
+    "t21_decay": _P + ", i AS (SELECT *, CAST(row_number() OVER (PARTITION BY staid ORDER BY day) - 1 AS INTEGER) AS day_idx FROM pairs) SELECT day_idx, avg(abs(pred - obs)) AS mean, median(abs(pred - obs)) AS median FROM i GROUP BY day_idx",
 }
 from talweg.plans.network_q import _PLAN  # noqa: E402
 

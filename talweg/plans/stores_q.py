@@ -130,9 +130,12 @@ def s28_paired_hours(spark: S, d: str) -> DataFrame:
 
 
 def s29_state_of_day(spark: S, d: str) -> DataFrame:
+    """The state of every reach on one day; reaches without inflow on it start from the floor, which makes the cache whole."""
     q = v.qr(spark, d).groupBy("day", "comid").agg(F.sum("qr").alias("q_state"))
-    ids = q.filter("day = date'1995-06-15'").select("comid")
-    return stores.state_of_day(q, ids, "1995-06-15")
+    ids = v.reach(spark, d).select("comid")
+    cold = ids.select(F.lit("1995-06-15").cast("date").alias("day"), "comid", F.lit(1e-4).alias("q_state"))
+    whole = q.unionByName(cold.join(q, ["day", "comid"], "left_anti"))
+    return stores.state_of_day(whole, ids, "1995-06-15")
 
 
 def s30_one_field(spark: S, d: str) -> DataFrame:
@@ -241,7 +244,7 @@ _A = f"WITH {v.SQL['live']}, {v.SQL['attributes']}"
 _F = "CASE WHEN isfinite({0}) THEN {0} END AS {0}"
 SQL = {
     "s6_gauges_keep_first": f"SELECT {v._pad('staid')} AS staid, row_id, drain_sqkm FROM gages QUALIFY row_number() OVER (PARTITION BY {v._pad('staid')} ORDER BY row_id) = 1",
-    "s7_attributes_present": _A + f", a AS (SELECT comid, {_F.format('aridity')} FROM attributes) SELECT comid, aridity, (SELECT avg(aridity) FROM a) AS full_mean FROM a WHERE comid IN (SELECT comid FROM live WHERE comid % 3 = 0)",
+    "s7_attributes_present": _A + f", a AS (SELECT comid, {_F.format('aridity')} FROM attributes) SELECT comid, aridity, (SELECT avg(aridity) FROM a) AS full_mean FROM a WHERE comid IN (SELECT comid FROM live)",
     "s8_attributes_aligned": _A + f" SELECT live.comid, {_F.format('meanp')} FROM live LEFT JOIN attributes USING (comid)",
     "s9_attributes_of_two_stores": _A + f" SELECT live.comid, {_F.format('ndvi')}, {_F.format('porosity')} FROM live LEFT JOIN attributes USING (comid)",
     "s11_merged_statistics": "SELECT attr_name, arg_min(stat_mean, (zone_id, computed_at, stat_mean)) AS mean, min(zone_id) AS zone_id FROM attribute_stats GROUP BY attr_name",
@@ -258,11 +261,11 @@ SQL = {
     "s26_rain_or_zero": v.sql("hourly") + ", g AS (SELECT DISTINCT id, h FROM hourly CROSS JOIN range(24) r(h)) SELECT g.id, CAST(h AS INTEGER) AS hour, coalesce(value, CAST(0 AS DOUBLE)) AS rain FROM g LEFT JOIN hourly x ON x.id = g.id AND CAST(x.ts AS DATE) = DATE '2024-01-10' AND hour(x.ts) = h",
     "s27_coverage": v.sql("reach", "qr") + " SELECT count(*) AS n FROM reach WHERE comid IN (SELECT comid FROM qr)",
     "s28_paired_hours": v.sql("hourly") + ", a AS (SELECT id // 2 AS basin, ts, value AS flow FROM hourly WHERE id % 2 = 0), b AS (SELECT id // 2 AS basin, ts, value AS rain FROM hourly WHERE id % 2 = 1) SELECT basin, ts, flow, rain FROM a FULL JOIN b USING (basin, ts)",
-    "s29_state_of_day": v.sql("qr") + " SELECT comid, qr AS q_state FROM qr WHERE day = DATE '1995-06-15'",
+    "s29_state_of_day": v.sql("reach", "qr") + " SELECT r.comid, coalesce(q.qr, CAST(1e-4 AS DOUBLE)) AS q_state FROM reach r LEFT JOIN (SELECT * FROM qr WHERE day = DATE '1995-06-15') q USING (comid)",
     "s30_one_field": f"WITH {v.SQL['attributes']} SELECT comid, porosity FROM attributes",
     "s33_probe_plan": v.sql("reach") + " SELECT comid % 7 AS round, comid % 100 AS comid, count(*) AS n FROM reach GROUP BY 1, 2 HAVING count(*) > 1",
     "k1_graph_store": v.sql("reach") + " SELECT parent AS down, comid AS up, length_m FROM reach WHERE parent IS NOT NULL",
-    "k6_padded_series": v.sql("pairs") + " SELECT staid, date_diff('day', DATE '1980-01-01', max(day)) + 1 AS days, count(obs) AS read FROM pairs WHERE staid < '00100000' GROUP BY staid",
+    "k6_padded_series": v.sql("pairs") + " SELECT staid, date_diff('day', DATE '1980-01-01', max(day)) + 1 AS days, count(obs) AS read FROM pairs GROUP BY staid",
     "k11_tidy_csv": v.sql("gauge") + " SELECT staid, comid FROM gauge",
     "c3_cached_baseline": _GAUGE + f", {v.SQL['qr']} SELECT staid, day, sum(qr) AS q FROM gr JOIN qr USING (comid) GROUP BY ALL",
     "m3_disaggregate": "SELECT row_id, CASE WHEN isfinite(daily_q_m3s) THEN CAST(daily_q_m3s AS DOUBLE) / CAST(0.028316846592 AS DOUBLE) END AS mean_cfs FROM pretrain_rows",
