@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions.physics import DT_SECONDS, reference_celerity
 from talweg.operators.flowlines import UPS
-from talweg.operators.hierarchy import descendants, hierarchy
+from talweg.operators.hierarchy import hierarchy
 
 
 def upstream_edges(reaches: DataFrame, ups: list[str] | None = None) -> DataFrame:
@@ -63,15 +63,14 @@ def rings(members: DataFrame) -> DataFrame:
         hop = scratch.save(hop.join(hop.select(F.col("comid").alias("parent"), F.col("parent").alias("_p")), "parent").select("comid", F.col("_p").alias("parent")), f"hop{i}")
 
 
-def topological_order(paths: DataFrame) -> DataFrame:
-    """(comid, root, depth, height): depth counts steps to the outlet, height the longest way up to a headwater.
+def topological_order(links: DataFrame) -> DataFrame:
+    """(comid, root, depth, height): depth counts steps to the outlet, height the longest way up to a headwater, sent up while peeling.
 
     Ordering by height, then comid, puts every reach after all that drain into it, in each basin on its own; no global
     numbering is made, which would need one task.
     """
-    top = descendants(paths).groupBy(F.col("ancestor").alias("id")).agg(F.max("hops").alias("_h"))
-    good = paths.filter("hops >= 0")
-    return good.join(top, "id", "left").select(F.col("id").alias("comid"), "root", F.col("hops").alias("depth"), F.coalesce("_h", F.lit(0)).cast("long").alias("height"))
+    good = hierarchy(links, "comid", "parent", sizes=True).filter("hops >= 0")
+    return good.select(F.col("id").alias("comid"), "root", F.col("hops").alias("depth"), "height")
 
 
 def positions(order: DataFrame, basin: str = "root") -> DataFrame:
@@ -80,11 +79,56 @@ def positions(order: DataFrame, basin: str = "root") -> DataFrame:
     return order.select("comid", F.col(basin).alias("basin"), (F.row_number().over(w) - 1).alias("pos"))
 
 
-def gauge_reaches(paths: DataFrame, gauges: DataFrame) -> DataFrame:
+def cut_at(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """(comid, source, hops): the first source reach on the way down from each reach, itself included, and the steps to it; reaches with none are left out.
+
+    The links out of the sources are cut, so that the source is the root of its part of the forest.
+    """
+    at = sources.select(F.col("comid")).filter("comid is not null").distinct().withColumn("_cut", F.lit(True))
+    own = links.select("comid", "parent").join(at, "comid", "left").select("comid", F.when(F.col("_cut").isNull(), F.col("parent")).alias("parent"))
+    got = hierarchy(own, "comid", "parent").filter("hops >= 0").select(F.col("id").alias("comid"), F.col("root").alias("source"), "hops")
+    return got.join(at.select(F.col("comid").alias("source")), "source", "left_semi").select("comid", "source", "hops")
+
+
+def source_tree(links: DataFrame, nearest: DataFrame) -> DataFrame:
+    """(source, below, hops): every source reach with each source below it, itself at 0 steps; ``nearest`` comes from ``cut_at``.
+
+    The sources make a forest of their own, as deep as they are nested, which is far less than the river is.
+    """
+    from talweg.session import Scratch
+
+    scratch = Scratch(links.sparkSession)
+    sources = nearest.filter("hops = 0").select(F.col("source").alias("comid"))
+    after = links.select("comid", "parent").join(sources, "comid", "left_semi")
+    step = after.join(nearest.select(F.col("comid").alias("parent"), F.col("source").alias("next"), (F.col("hops") + 1).alias("far")), "parent", "left").select("comid", "next", F.coalesce("far", F.lit(0)).alias("far"))
+    step = scratch.save(step, "step")
+    paths = scratch.save(hierarchy(step, "comid", "next", with_paths=True).filter("hops >= 0").select(F.col("id").alias("source"), F.explode("path").alias("below")), "below")
+    depth = scratch.save(paths.join(step.withColumnRenamed("comid", "below"), "below").groupBy("source").agg(F.sum("far").alias("_d")), "depth")
+    return paths.join(depth, "source").join(depth.select(F.col("source").alias("below"), F.col("_d").alias("_e")), "below").select("source", "below", (F.col("_d") - F.col("_e")).alias("hops"))
+
+
+def gauge_reaches(links: DataFrame, gauges: DataFrame) -> DataFrame:
     """(staid, comid, hops): every reach above each gauge's outlet, the outlet included; gauges on unknown reaches have none."""
-    own = gauges.select("staid", "comid").filter("comid is not null").distinct()
-    named = paths.filter(F.col("path").isNotNull()).select(F.posexplode("path").alias("hops", "outlet"), F.col("id").alias("comid"))
-    return named.join(own.withColumnRenamed("comid", "outlet"), "outlet").select("staid", "comid", "hops")
+    from talweg.session import Scratch
+
+    own = gauges.select("staid", F.col("comid").alias("below")).filter("below is not null").distinct()
+    nearest = Scratch(links.sparkSession).save(cut_at(links, own.select(F.col("below").alias("comid"))), "nearest")
+    tree = source_tree(links, nearest).withColumnRenamed("hops", "_more").join(own, "below")
+    return nearest.join(tree, "source").select("staid", "comid", (F.col("hops") + F.col("_more")).alias("hops"))
+
+
+def summed_above(links: DataFrame, gauges: DataFrame, values: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(staid, by, total): the sum of ``value`` over all reaches above each gauge, by ``by`` (a day, say).
+
+    Values are added up to the next gauge down the river first, and only those sums are handed on from gauge to gauge.
+    """
+    from talweg.session import Scratch
+
+    own = gauges.select("staid", F.col("comid").alias("below")).filter("below is not null").distinct()
+    nearest = Scratch(links.sparkSession).save(cut_at(links, own.select(F.col("below").alias("comid"))), "nearest")
+    part = values.join(nearest.select("comid", "source"), "comid").groupBy("source", *by).agg(F.sum(value).alias("_v"))
+    tree = source_tree(links, nearest).join(own, "below").select("source", "staid")
+    return part.join(tree, "source").groupBy("staid", *by).agg(F.sum("_v").alias("total"))
 
 
 def gauge_edges(gauge_reach: DataFrame, edges: DataFrame) -> DataFrame:
@@ -116,19 +160,26 @@ def outflow_reaches(gauge_edge: DataFrame, outlets: DataFrame, legacy: bool = Fa
     return own.join(above, ["staid", "own"], "left").select("staid", F.coalesce("comid", "own").alias("comid"))
 
 
-def accumulate(paths: DataFrame, values: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """(comid, by, total): each reach's own value plus all above it, by ``by`` (a day, say); null values count 0."""
-    keys = by or []
+def accumulate(links: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """(comid, total): each reach's own value plus all above it, sent down the river while peeling; null and absent values count 0.
+
+    Reaches on loops or above them have none.
+    """
+    own = values.groupBy("comid").agg(F.sum(value).alias("_v"))
+    got = hierarchy(links.select("comid", "parent").join(own, "comid", "left"), "comid", "parent", sums={"total": ("_v", None)})
+    return got.filter("hops >= 0").select(F.col("id").alias("comid"), "total")
+
+
+def accumulate_by(paths: DataFrame, values: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(comid, by, total): the same by ``by`` (a day, say), for every reach that has a value at it or above; as many rows as values times their depth are added up."""
     up = paths.filter(F.col("path").isNotNull()).select(F.col("id").alias("comid"), F.explode("path").alias("_at"))
-    got = up.join(values.select("comid", *keys, F.col(value).alias("_v")), "comid")
-    return got.groupBy(F.col("_at").alias("comid"), *keys).agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("total"))
+    got = up.join(values.select("comid", *by, F.col(value).alias("_v")), "comid")
+    return got.groupBy(F.col("_at").alias("comid"), *by).agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("total"))
 
 
-def nearest_source_above(paths: DataFrame, sources: DataFrame, unreachable: int = 999_999) -> DataFrame:
+def nearest_source_above(links: DataFrame, sources: DataFrame, unreachable: int = 999_999) -> DataFrame:
     """(comid, distance): steps from each reach down to the nearest source reach on its path, ``unreachable`` if there is none."""
-    down = paths.filter(F.col("path").isNotNull()).select(F.col("id").alias("comid"), F.posexplode("path").alias("d", "at"))
-    hit = down.join(sources.select(F.col("comid").alias("at")).distinct(), "at", "left_semi").groupBy("comid").agg(F.min("d").alias("distance"))
-    return paths.select(F.col("id").alias("comid")).join(hit, "comid", "left").select("comid", F.coalesce("distance", F.lit(unreachable)).alias("distance"))
+    return links.select("comid").distinct().join(cut_at(links, sources), "comid", "left").select("comid", F.coalesce("hops", F.lit(unreachable)).alias("distance"))
 
 
 def plan_reaches(reaches: DataFrame, dt: float = DT_SECONDS, max_pieces: int = 8, min_fraction: float = 1.0, max_factor: float = 4.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions.physics import FROZEN
 from talweg.functions.recurrence import Network, route
+from talweg.operators.hierarchy import hierarchy
 from talweg.session import Scratch
 
 #: Reaches that one call of the recurrence takes at least, if they are there: small basins are routed together.
@@ -93,17 +94,15 @@ def route_in_bands(reaches: DataFrame, forcing: DataFrame, paths: DataFrame, ste
     return scratch.read(*names, schema=OUT) if names else spark.createDataFrame([], OUT)
 
 
-def one_step_closed_form(paths: DataFrame, rows: DataFrame) -> DataFrame:
-    """(comid, x): the triangular solve x_i = b_i + c1_i * sum of upstream x as a join and a sum, without a loop over reaches.
+def one_step_closed_form(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """(comid, x, weight): the triangular solve x_i = b_i + c1_i * sum of upstream x, and the weight that b_i has at the outlet, the transposed solve.
 
-    ``rows``: comid, b, c1. Every path is unique, so x_i is the sum over all reaches above of their b times the product
-    of c1 along the way, the source's own left out.
+    ``links``: comid, parent; ``rows``: comid, b, c1. The sums go down the river while its forest is peeled, so rounds grow
+    with log(reaches), and no path is written out.
     """
-    at = paths.filter(F.col("path").isNotNull()).select(F.col("id").alias("src"), F.posexplode("path").alias("k", "comid"))
-    w = at.join(rows.select("comid", "c1"), "comid").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("k", "comid", "c1"))).alias("s"))
-    run = F.aggregate("s", F.array().cast("array<struct<comid:bigint,w:double>>"), lambda acc, s: F.concat(acc, F.array(F.struct(s["comid"].alias("comid"), F.when(s["k"] == 0, F.lit(1.0)).otherwise(F.element_at(acc, -1)["w"] * s["c1"]).alias("w")))))
-    each = w.select("src", F.explode(run).alias("p")).select("src", "p.comid", "p.w")
-    return each.join(rows.select(F.col("comid").alias("src"), "b"), "src").groupBy("comid").agg(F.sum(F.col("b") * F.col("w")).alias("x"))
+    own = links.select("comid", "parent").join(rows.select("comid", "b", "c1"), "comid")
+    got = hierarchy(own, "comid", "parent", sums={"x": ("b", "c1")}).filter("hops >= 0")
+    return got.select(F.col("id").alias("comid"), "x", F.col("x_gain").alias("weight"))
 
 
 def gauge_flow(flow: DataFrame, outlets: DataFrame) -> DataFrame:

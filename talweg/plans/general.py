@@ -84,11 +84,23 @@ def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
 def p5_upstream(spark: SparkSession, folder: str) -> DataFrame:
     """The number of reaches above every reach that has some, and the farthest of them in steps."""
     links = downstream_links(table(spark, folder, "flowlines"))
-    above = descendants(hierarchy(links, "comid", "parent", with_paths=True))
-    return above.groupBy(F.col("ancestor").alias("comid")).agg(F.count("*").alias("n_above"), F.max("hops").alias("farthest"))
+    above = hierarchy(links, "comid", "parent", sizes=True).filter("size > 1")
+    return above.select(F.col("id").alias("comid"), (F.col("size") - 1).alias("n_above"), F.col("height").alias("farthest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_near, p3_found, p3_by_month, p4_found, p4_reasons, p5_found, p5_paths, p5_upstream)}
+def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every reach with each reach above it and the steps between them."""
+    links = downstream_links(table(spark, folder, "flowlines"))
+    return descendants(hierarchy(links, "comid", "parent", with_paths=True)).select(F.col("ancestor").alias("comid"), F.col("id").alias("above"), "hops")
+
+
+def p5_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """p5_found with no remainder left to one task, whatever the size: outlet and steps of every live reach, and how many reaches are above it."""
+    links = downstream_links(table(spark, folder, "flowlines"))
+    return hierarchy(links, "comid", "parent", finish_nodes=0, sizes=True).select(F.col("id").alias("comid"), F.col("root").alias("root_comid"), "hops", (F.col("size") - 1).alias("n_above"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_near, p3_found, p3_by_month, p4_found, p4_reasons, p5_found, p5_paths, p5_upstream, p5_descendants, p5_rounds)}
 
 _STATUS = """
 cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY comid ORDER BY loaded_at DESC, fid DESC) AS rn,
@@ -114,6 +126,16 @@ _TREE = f"""WITH RECURSIVE {_LINKS.strip()},
 walk AS (SELECT comid AS node, comid AS root, 0 AS hops FROM link WHERE parent IS NULL
          UNION ALL SELECT l.comid, w.root, w.hops + 1 FROM walk w JOIN link l ON l.parent = w.node)"""
 
+_FOUND = f"""{_TREE},
+rest AS (SELECT comid, parent FROM link WHERE comid NOT IN (SELECT node FROM walk)),
+down AS (SELECT comid AS start, parent AS pos FROM rest UNION SELECT d.start, r.parent FROM down d JOIN rest r ON r.comid = d.pos),
+ring AS (SELECT start AS node FROM down WHERE start = pos),
+found AS (SELECT node AS comid, root AS root_comid, CAST(hops AS BIGINT) AS hops FROM walk
+          UNION ALL SELECT start, min(pos), CAST(-1 AS BIGINT) FROM down WHERE pos IN (SELECT node FROM ring) GROUP BY start)"""
+
+_PAIRS = """pairs AS (SELECT comid AS node, parent AS anc, 1 AS d FROM link WHERE parent IS NOT NULL AND comid IN (SELECT node FROM walk)
+          UNION ALL SELECT p.node, l.parent, p.d + 1 FROM pairs p JOIN link l ON l.comid = p.anc WHERE l.parent IS NOT NULL)"""
+
 SQL = {
     "p1_near": """
 WITH p AS (SELECT DISTINCT row_id, lat_gage AS la, CASE WHEN lng_gage > 180 THEN lng_gage - 360 ELSE lng_gage END AS lo FROM gages
@@ -124,14 +146,12 @@ SELECT x.row_id AS id_a, y.row_id AS id_b FROM q x JOIN r y ON x.b = y.bb AND x.
 WHERE 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(y.la - x.la) / 2), 2) + cos(radians(x.la)) * cos(radians(y.la)) * pow(sin(radians(y.lo - x.lo) / 2), 2)))) <= 1000.0""",
     "p3_found": f"WITH {_REFS.strip()} SELECT src_table, row_key, ref_state FROM states WHERE ref_state IS NOT NULL",
     "p3_by_month": f"WITH {_REFS.strip()} SELECT src_table, CAST(date_trunc('month', ref_time) AS DATE) AS period, ref_state, count(*) AS n FROM states WHERE ref_state IS NOT NULL GROUP BY ALL",
-    "p5_found": f"""{_TREE},
-rest AS (SELECT comid, parent FROM link WHERE comid NOT IN (SELECT node FROM walk)),
-down AS (SELECT comid AS start, parent AS pos FROM rest UNION SELECT d.start, r.parent FROM down d JOIN rest r ON r.comid = d.pos),
-ring AS (SELECT start AS node FROM down WHERE start = pos)
-SELECT node AS comid, root AS root_comid, CAST(hops AS BIGINT) AS hops FROM walk
-UNION ALL SELECT start, min(pos), CAST(-1 AS BIGINT) FROM down WHERE pos IN (SELECT node FROM ring) GROUP BY start""",
-    "p5_upstream": f"""{_TREE},
-pairs AS (SELECT comid AS node, parent AS anc, 1 AS d FROM link WHERE parent IS NOT NULL AND comid IN (SELECT node FROM walk)
-          UNION ALL SELECT p.node, l.parent, p.d + 1 FROM pairs p JOIN link l ON l.comid = p.anc WHERE l.parent IS NOT NULL)
-SELECT anc AS comid, count(*) AS n_above, max(d) AS farthest FROM pairs GROUP BY anc""",
+    "p5_found": f"{_FOUND} SELECT comid, root_comid, hops FROM found",
+    "p5_paths": f"""{_TREE},
+path AS (SELECT comid AS node, CAST(comid AS VARCHAR) AS p FROM link WHERE parent IS NULL
+         UNION ALL SELECT l.comid, l.comid || '>' || w.p FROM path w JOIN link l ON l.parent = w.node)
+SELECT l.comid, p AS path FROM link l LEFT JOIN path ON node = l.comid""",
+    "p5_upstream": f"{_TREE}, {_PAIRS} SELECT anc AS comid, count(*) AS n_above, max(d) AS farthest FROM pairs GROUP BY anc",
+    "p5_descendants": f"{_TREE}, {_PAIRS} SELECT anc AS comid, node AS above, d AS hops FROM pairs",
+    "p5_rounds": f"{_FOUND}, {_PAIRS}, up AS (SELECT anc, count(*) AS n FROM pairs GROUP BY anc) SELECT comid, root_comid, hops, CASE WHEN hops >= 0 THEN coalesce(up.n, 0) END AS n_above FROM found LEFT JOIN up ON up.anc = comid",
 }

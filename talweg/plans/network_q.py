@@ -38,7 +38,7 @@ def g2_upstream_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g3_topological_order(spark: SparkSession, d: str) -> DataFrame:
-    return net.topological_order(river_paths(spark, d))
+    return net.topological_order(v.links(spark, d))
 
 
 def g4_loop_members(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def g10_downstream_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gauge_reach(spark: SparkSession, d: str) -> DataFrame:
-    return net.gauge_reaches(reach_paths(spark, d), v.gauge(spark, d))
+    return net.gauge_reaches(v.reach(spark, d), v.gauge(spark, d))
 
 
 def g11_upstream_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +106,7 @@ def g15_union_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g16_compressed(spark: SparkSession, d: str) -> DataFrame:
-    return net.compress(g12_gauge_edges(spark, d), net.topological_order(reach_paths(spark, d)))
+    return net.compress(g12_gauge_edges(spark, d), net.topological_order(v.reach(spark, d)))
 
 
 def g17_outflow_own(spark: SparkSession, d: str) -> DataFrame:
@@ -134,15 +134,15 @@ def g19_flow_scale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g20_upstream_area(spark: SparkSession, d: str) -> DataFrame:
-    return net.accumulate(reach_paths(spark, d), v.reach(spark, d).withColumn("a", F.col("length_m") / 1000), "a")
+    return net.accumulate(v.reach(spark, d), v.reach(spark, d).withColumn("a", F.col("length_m") / 1000), "a")
 
 
 def g21_accumulate_days(spark: SparkSession, d: str) -> DataFrame:
-    return net.accumulate(reach_paths(spark, d), v.qr(spark, d).withColumn("day", F.date_trunc("month", "day").cast("date")), "qr", ["day"]).withColumn("total", F.round("total", 3))
+    return net.accumulate_by(reach_paths(spark, d), v.qr(spark, d).withColumn("day", F.date_trunc("month", "day").cast("date")), "qr", ["day"]).withColumn("total", F.round("total", 3))
 
 
 def g22_distance_to_gauge(spark: SparkSession, d: str) -> DataFrame:
-    return net.nearest_source_above(reach_paths(spark, d), v.gauge(spark, d))
+    return net.nearest_source_above(v.reach(spark, d), v.gauge(spark, d))
 
 
 def g23_reach_plan(spark: SparkSession, d: str) -> DataFrame:

@@ -20,6 +20,7 @@ STEPS = 48
 
 
 def _network(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
+    """The paths of the reach forest and its reaches with their basins."""
     paths = reach_paths(spark, d)
     r = v.reach(spark, d).select("comid", "parent", "length_m", F.greatest("slope", F.lit(1e-3)).alias("slope"))
     return paths, r.join(paths.select(F.col("id").alias("comid"), F.col("root").alias("basin")), "comid")
@@ -57,21 +58,17 @@ def r3_assembled(spark: S, d: str) -> DataFrame:
 
 def r4_one_step(spark: S, d: str) -> DataFrame:
     """One routing step of every reach as joins and sums."""
-    return ro.one_step_closed_form(reach_paths(spark, d), _step_rows(spark, d))
+    return ro.one_step_closed_form(v.reach(spark, d), _step_rows(spark, d)).select("comid", "x")
 
 
 def r5_adjoint(spark: S, d: str) -> DataFrame:
     """The transposed solve with a gradient of one at the outlets: each reach's weight in the outflow, the product of c1 along its path."""
-    at = reach_paths(spark, d).select(F.col("id").alias("src"), F.posexplode("path").alias("k", "comid"))
-    w = at.join(_step_rows(spark, d).select("comid", "c1"), "comid").filter("k > 0")
-    p = w.groupBy("src").agg(F.collect_list("c1").alias("c"))
-    prod = F.aggregate(F.array_sort("c"), F.lit(1.0), lambda a, x: a * x)
-    return v.reach(spark, d).select(F.col("comid").alias("src")).join(p, "src", "left").select(F.col("src").alias("comid"), F.coalesce(prod, F.lit(1.0)).alias("weight"))
+    return ro.one_step_closed_form(v.reach(spark, d), _step_rows(spark, d)).select("comid", "weight")
 
 
 def r8_hot_start(spark: S, d: str) -> DataFrame:
     q0 = v.qr(spark, d).groupBy("comid").agg(F.avg("qr").alias("q"))
-    a = accumulate(reach_paths(spark, d), q0, "q")
+    a = accumulate(v.reach(spark, d), q0, "q")
     return v.reach(spark, d).select("comid").join(a, "comid", "left").select("comid", F.greatest(F.coalesce("total", F.lit(0.0)), F.lit(1e-4)).alias("q"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talweg.functions.common import finite, nearest_rank, rank_pick, safe_div, station_id, upper_median
 from talweg.operators import scores as sc
 from talweg.operators import series as se
+from talweg.operators.network import summed_above
 from talweg.operators.relational import differences
 from talweg.plans import views as v
 from talweg.plans.network_q import _GAUGE, _gauge_reach, reach_paths
@@ -19,7 +20,7 @@ S = SparkSession
 
 def a1_summed_inflow(spark: S, d: str) -> DataFrame:
     """Per gauge and day the inflow of all reaches above; a gauge's sets may overlap."""
-    return _gauge_reach(spark, d).join(v.qr(spark, d), "comid").groupBy("staid", "day").agg(F.sum("qr").alias("q"))
+    return summed_above(v.reach(spark, d), v.gauge(spark, d), v.qr(spark, d), "qr", ["day"]).withColumnRenamed("total", "q")
 
 
 def a2_scores(spark: S, d: str) -> DataFrame:

@@ -27,18 +27,22 @@ def test_edges_of_chain_confluence_and_isolated(spark):
 
 def test_order_closure_accumulation_and_distance(spark):
     links = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 3), (9, None)], "comid long, parent long")
-    paths = hierarchy(links, "comid", "parent", with_paths=True)
-    order = {r.comid: (r.depth, r.height) for r in net.topological_order(paths).collect()}
+    order = {r.comid: (r.depth, r.height) for r in net.topological_order(links).collect()}
     assert order == {1: (0, 2), 2: (1, 0), 3: (1, 1), 4: (2, 0), 9: (0, 0)}
-    pos = {r.comid: r.pos for r in net.positions(net.topological_order(paths)).collect()}
+    pos = {r.comid: r.pos for r in net.positions(net.topological_order(links)).collect()}
     assert all(pos[a] < pos[b] for a, b in [(2, 1), (4, 3), (3, 1)])
     values = spark.createDataFrame([(1, 1.0), (2, 10.0), (3, None), (4, 100.0)], "comid long, v double")
-    assert {r.comid: r.total for r in net.accumulate(paths, values, "v").collect()} == {1: 111.0, 2: 10.0, 3: 100.0, 4: 100.0}
-    d = {r.comid: r.distance for r in net.nearest_source_above(paths, spark.createDataFrame([(1,), (3,)], "comid long")).collect()}
+    assert {r.comid: r.total for r in net.accumulate(links, values, "v").collect()} == {1: 111.0, 2: 10.0, 3: 100.0, 4: 100.0, 9: 0.0}
+    two = values.withColumn("day", F.lit(1)).unionByName(values.filter("comid = 4").withColumn("day", F.lit(2)))
+    by = net.accumulate_by(hierarchy(links, "comid", "parent", with_paths=True), two, "v", ["day"])
+    assert {(r.comid, r.day): r.total for r in by.collect()} == {(1, 1): 111.0, (2, 1): 10.0, (3, 1): 100.0, (4, 1): 100.0, (1, 2): 100.0, (3, 2): 100.0, (4, 2): 100.0}
+    d = {r.comid: r.distance for r in net.nearest_source_above(links, spark.createDataFrame([(1,), (3,)], "comid long")).collect()}
     assert d == {1: 0, 2: 1, 3: 0, 4: 1, 9: 999_999}
     gauges = spark.createDataFrame([("a", 3), ("b", 1), ("c", 77), ("d", None)], "staid string, comid long")
-    gr = net.gauge_reaches(paths, gauges)
-    assert {(r.staid, r.comid) for r in gr.collect()} == {("a", 3), ("a", 4), ("b", 1), ("b", 2), ("b", 3), ("b", 4)}
+    gr = net.gauge_reaches(links, gauges)
+    assert {tuple(r) for r in gr.collect()} == {("a", 3, 0), ("a", 4, 1), ("b", 1, 0), ("b", 2, 1), ("b", 3, 1), ("b", 4, 2)}
+    sums = net.summed_above(links, gauges, two, "v", ["day"])
+    assert {tuple(r) for r in sums.collect()} == {("a", 1, 100.0), ("b", 1, 111.0), ("a", 2, 100.0), ("b", 2, 100.0)}
     edges = links.filter("parent is not null").select(F.col("parent").alias("down"), F.col("comid").alias("up"))
     ge = net.gauge_edges(gr, edges)
     assert {tuple(r) for r in ge.collect()} == {("a", 3, 4), ("b", 1, 2), ("b", 1, 3), ("b", 3, 4)}

@@ -98,7 +98,7 @@ def test_columns_closed_form_and_bands_agree_with_numpy(spark):
     assert c.filter(F.abs(F.col("c1") + F.col("c2") + F.col("c3") - 1) > 1e-12).count() == 0
     up = c.filter("parent is not null").groupBy(F.col("parent").alias("comid")).agg(F.sum("q").alias("i"))
     b = c.join(up, "comid", "left").select("comid", (F.col("c2") * F.coalesce("i", F.lit(0.0)) + F.col("c3") * F.col("q") + F.col("c4") * 0.3).alias("b"), "c1")
-    got = {r.comid: r.x for r in ro.one_step_closed_form(paths, b).collect()}
+    got = {r.comid: r.x for r in ro.one_step_closed_form(reach, b).collect()}
     want = step(net, Var(q), 0.3, PARAMS, length, slope).value
     assert [got[i] for i in range(50)] == pytest.approx(list(want), rel=1e-9)
     lateral = RNG.uniform(0.1, 2, (10, 50))
