@@ -6,23 +6,30 @@ import html
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items per automaton: 150 words each make about 10 MB. More items are scanned for in further blocks.
+from talweg.session import Scratch
+
+#: Items per automaton: 150 words each make about 10 MB. More items make further automata, for the same words of the texts.
 BLOCK_ITEMS = 2000
+#: Characters of normalised text that a task holds at a time to scan them with one automaton after the other.
+HOLD_CHARS = 32_000_000
 
 #: Soft hyphens, zero-width and direction marks, variation selectors and combining accents.
 _INVISIBLE_RANGES = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180E, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2069), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0x300, 0x36F)]
 _INVISIBLE = "".join(f"{chr(a)}-{chr(b)}" for a, b in _INVISIBLE_RANGES)
-_INLINE = r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strike|strong|sub|sup|tt|u|var)(?:\s[^<>]{0,500})?/?>"
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,500}>")
-_HIDDEN = re.compile(r"<!--|<(?:script|style)\b", re.I)
+_INLINE = r"</?(?:a|abbr|b|big|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strike|strong|sub|sup|tt|u|var)(?:\s[^<>]*+)?/?>"
+#: A tag of any length if it has attributes, else up to 500 characters, as "<" may stand for "less than".
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,500}+>|<[A-Za-z][\w:-]*+\s++[\w:-]++\s*+=[^<>]*+>")
+_HIDDEN = re.compile(r"<!--|<(?:script|style)\b", re.I | re.A)
 _INLINE_TAG = re.compile(_INLINE, re.I)
-_LINK = re.compile(r"\]\((?:[^()\s]|\([^()\s]{0,200}\)){1,500}\)")
+_CLOSE = {k: re.compile(re.escape(k), re.I | re.A) for k in ("-->", "</script", "</style")}
+_LINK = re.compile(r"\]\((?:[^()\s]|\([^()\s]*+\))++\)")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _WORD = re.compile(rf"[^\W_](?:[{_INVISIBLE}\x00]*[^\W_])*[{_INVISIBLE}]*")
 _DROP = re.compile(rf"[{_INVISIBLE}\x00]")
@@ -36,7 +43,7 @@ def _blank_tag(m: re.Match) -> str:
 
 def _blank_hidden(text: str) -> str:
     """Comments, scripts and styles become blanks; one that never ends stays. Each part of the text is looked at once."""
-    parts, at, folded = [], 0, None
+    parts, at = [], 0
     lost: set[str] = set()
     for m in _HIDDEN.finditer(text):
         if m.start() < at:
@@ -44,14 +51,11 @@ def _blank_hidden(text: str) -> str:
         close = "-->" if m[0] == "<!--" else f"</{m[0][1:].lower()}"
         if close in lost:
             continue
-        folded = folded if folded is not None else text.lower()
-        if len(folded) != len(text):
-            return text
-        end = folded.find(close, m.end())
-        if end < 0:
+        found = _CLOSE[close].search(text, m.end())
+        if not found:
             lost.add(close)
             continue
-        end = end + 3 if close == "-->" else folded.find(">", end) + 1 or len(text)
+        end = found.end() if close == "-->" else text.find(">", found.end()) + 1 or len(text)
         parts += [text[at : m.start()], " " * (end - m.start())]
         at = end
     return "".join([*parts, text[at:]])
@@ -89,23 +93,27 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
 
 
 class Passages:
-    """One Aho-Corasick automaton over every window of ``run`` words of the passages; a word is one letter of its alphabet."""
+    """One Aho-Corasick automaton over every window of ``run`` words of the passages; a word is one letter of its alphabet.
+
+    A passage under ``run`` words has one window, all of it, if ``short`` says so, and none otherwise.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], run: int):
+    def __init__(self, items: list[tuple[int, str]], run: int, short: bool = False):
         import ahocorasick
 
-        self.run, self.alphabet = run, {}
+        self.alphabet: dict[str, str] = {}
         self.lengths: dict[int, int] = {}
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item, passage in items:
             letters = [self._letter(w) for w, _, _ in words_of(passage)]
             self.lengths[item] = len(letters)
-            for i in range(len(letters) - run + 1):
-                at["".join(letters[i : i + run])].append((item, i))
+            width = min(run, len(letters)) if short and letters else run
+            for i in range(len(letters) - width + 1):
+                at["".join(letters[i : i + width])].append((item, i))
         self.automaton = ahocorasick.Automaton()
         for key, places in at.items():
-            self.automaton.add_word(key, places)
-        self.empty = not at
+            self.automaton.add_word(key, (len(key), places))
+        self.empty, self.least = not at, min(map(len, at), default=0)
         if at:
             self.automaton.make_automaton()
 
@@ -115,54 +123,69 @@ class Passages:
             self.alphabet[word] = chr(n + 0x800 * (n >= 0xD800))
         return self.alphabet[word]
 
-    def scan(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+    def scan(self, words: list[str], starts: Sequence[int], ends: Sequence[int]) -> Iterator[tuple[int, int, int, int]]:
         """(item, words of it that stand in the text in long enough runs, first offset, last offset)."""
-        if self.empty:
-            return
-        words = words_of(text)
-        if len(words) < self.run:
+        if self.empty or len(words) < self.least:
             return
         get = self.alphabet.get
-        line = "".join([get(w, "\x00") for w, _, _ in words])
+        line = "".join([get(w, "\x00") for w in words])
         seen: dict[int, set[int]] = defaultdict(set)
         span: dict[int, list[int]] = {}
-        for end, places in self.automaton.iter(line):
+        for end, (width, places) in self.automaton.iter(line):
             for item, i in places:
-                seen[item].update(range(i, i + self.run))
-                lo, hi = words[end - self.run + 1][1], words[end][2]
+                seen[item].update(range(i, i + width))
+                lo, hi = int(starts[end - width + 1]), int(ends[end])
                 s = span.setdefault(item, [lo, hi])
                 s[0], s[1] = min(s[0], lo), max(s[1], hi)
         for item, got in seen.items():
             yield item, len(got), *span[item]
 
 
-def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, run: int = 10, share: float = 0.5, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _held(batches: Iterator[pd.DataFrame], most: int) -> Iterator[list[tuple]]:
+    """The texts as (id, words in one string, offsets), so many at a time that their words stay under ``most`` characters or there is one text."""
+    held, size = [], 0
+    for b in batches:
+        for d, t in zip(b["doc_id"], b["text"]):
+            words = words_of(t)
+            held.append((d, "\x00".join([w for w, _, _ in words]), np.array([s for _, s, _ in words], "i4"), np.array([e for _, _, e in words], "i4")))
+            size += len(held[-1][1])
+            if size > most:
+                yield held
+                held, size = [], 0
+    yield held
+
+
+def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, run: int = 10, share: float = 0.5, block_items: int = BLOCK_ITEMS, short: bool = False, hold_chars: int = HOLD_CHARS) -> DataFrame:
     """(doc_id, item_id, share, first, last): the texts that hold at least ``share`` of a passage's words in runs of ``run`` words or more.
 
-    Every text is read once and whole, for all items at a time: the automaton of a block of ``block_items`` items is built
-    in each worker, so what is sent along is bounded; a table of more items is taken in blocks. ``first`` and ``last`` are
-    offsets of the leaked runs in the original text. Null texts and passages and null ids give nothing, repeated documents
-    each come out, repeated items once; passages under ``run`` words cannot leak; a text may hold many items.
+    Every text is read and cut into words once and whole. Up to ``block_items`` items make one automaton, which each worker
+    builds. More items make several: a task holds the words of ``hold_chars`` characters of text and scans them with one
+    automaton after the other, so what it holds is bounded whatever the number of items, and no text is read again.
+    ``first`` and ``last`` are offsets of the leaked runs in the original text. Null texts and passages and null ids give
+    nothing, repeated documents each come out, repeated items once; passages under ``run`` words cannot leak, unless ``short``
+    says that one that stands whole in a text has leaked; a text may hold many items.
     """
+    spark = documents.sparkSession
     ids = dict(items.dtypes)[item_id], dict(documents.dtypes)[doc_id]
     listed = items.select(F.col(item_id).alias("i"), F.col(passage).alias("p")).filter("i is not null and p is not null").dropDuplicates(["i"])
+    listed = Scratch(spark).save(listed, "items")
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    schema = f"doc_id {ids[1]}, item_id {ids[0]}, share double, first int, last int"
-    blocks = max(1, -(-listed.count() // block_items))
-    out = None
-    for k in range(blocks):
-        rows = [(r["i"], r["p"]) for r in listed.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()]
-
-        def scan(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            known = Passages(rows, run)
-            for b in batches:
-                found = []
-                for d, t in zip(b["doc_id"], b["text"]):
-                    for item, n, lo, hi in known.scan(t):
-                        if n >= share * known.lengths[item]:
-                            found.append((d, item, n / known.lengths[item], lo, hi))
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "share", "first", "last"])
-
-        part = docs.mapInPandas(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    count = max(1, -(-listed.count() // block_items))
+    of_block = lambda k: [(r["i"], r["p"]) for r in listed.filter(F.pmod(F.xxhash64("i"), F.lit(count)) == k).collect()]
+    blocks = [spark.sparkContext.broadcast(of_block(k)) for k in range(count)]
+
+    def found(known: Passages, texts: list[tuple]) -> pd.DataFrame:
+        out = []
+        for d, line, starts, ends in texts:
+            for item, n, lo, hi in known.scan(line.split("\x00") if line else [], starts, ends):
+                if n >= share * known.lengths[item]:
+                    out.append((d, item, n / known.lengths[item], lo, hi))
+        return pd.DataFrame(out, columns=["doc_id", "item_id", "share", "first", "last"])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only = Passages(blocks[0].value, run, short) if len(blocks) == 1 else None
+        for texts in _held(batches, min(hold_chars, 1 << 20) if only else hold_chars):
+            for b in blocks:
+                yield found(only or Passages(b.value, run, short), texts)
+
+    return docs.mapInPandas(scan, f"doc_id {ids[1]}, item_id {ids[0]}, share double, first int, last int")

@@ -70,6 +70,13 @@ def p2_combined(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("zone_id", "attr", "n", F.col("quantiles")[0].alias("p10"), F.col("quantiles")[1].alias("p90"))
 
 
+def p2_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the combined percentiles are within 1 % of the exact ones."""
+    a, b = p2_combined(spark, folder), p2_zone_percentiles(spark, folder).withColumnsRenamed({"n": "_n", "p10": "_10", "p90": "_90"})
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 0.01 * F.abs(F.col(y)) + 1e-12
+    return a.join(b, ["zone_id", "attr"], "full").select("zone_id", "attr", "n", F.coalesce((F.col("n") == F.col("_n")) & near("p10", "_10") & near("p90", "_90"), F.lit(False)).alias("kept"))
+
+
 def _entities(spark: SparkSession, folder: str) -> DataFrame:
     links = table(spark, folder, "station_links").filter(F.lower(F.trim("link_kind")).isin(*SAME))
     return components(links.select(station_id("staid_a").alias("a"), station_id("staid_b").alias("b")), "a", "b")
@@ -106,6 +113,33 @@ def p6_balance(spark: SparkSession, folder: str) -> DataFrame:
     return balance(stations.join(assign_splits(stations, "entity", "area", SHARES), "entity"), "area", "split")
 
 
+def _within(spark: SparkSession, folder: str, **options) -> DataFrame:
+    stations = _stations(spark, folder)
+    largest = stations.groupBy("entity").agg(F.count("*").alias("n")).agg(F.max("n").alias("_most"))
+    got = stations.join(assign_splits(stations, "entity", "area", SHARES, **options), "entity").groupBy("area", "split").agg(F.count("*").alias("n"))
+    goal = F.create_map(*[F.lit(x) for kv in SHARES.items() for x in kv])
+    total = stations.groupBy("area").agg(F.count("*").alias("_all")).withColumn("split", F.explode(F.array(*[F.lit(s) for s in SHARES])))
+    off = F.abs(F.coalesce("n", F.lit(0)) - F.col("_all") * goal[F.col("split")])
+    return total.join(got, ["area", "split"], "left").crossJoin(F.broadcast(largest)).select("area", "split", (off <= F.col("_most")).alias("kept"))
+
+
+def p6_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each split has its share of each class, but for the stations of the largest entity."""
+    return _within(spark, folder)
+
+
+def p6_within_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with small batches placed side by side."""
+    return _within(spark, folder, batch_rows=50)
+
+
+def p6_entities_salted(spark: SparkSession, folder: str) -> DataFrame:
+    """p6_entities by salted joins alone, as beyond the size that is broadcast."""
+    links = table(spark, folder, "station_links").filter(F.lower(F.trim("link_kind")).isin(*SAME))
+    got = components(links.select(station_id("staid_a").alias("a"), station_id("staid_b").alias("b")), "a", "b", limit_rows=0)
+    return got.select(F.col("entity").alias("staid"), F.col("label").alias("entity"))
+
+
 def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a leaked passage, the share of its words and where it stands in the original text."""
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
@@ -116,10 +150,28 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_spans(spark, folder).select("doc_id", "item_id")
 
 
-def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def p7_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """p7_found with ten items to an automaton."""
+    return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage", block_items=10).select("doc_id", "item_id")
+
+
+def p7_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of document and item whose question stands in the text, whole if it has under ten words. Generic questions prove no leak by themselves."""
+    return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "question", short=True).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The test items that leaked: in how many documents, and the largest share of the passage in one."""
+    return p7_spans(spark, folder).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("share").alias("largest"))
+
+
+def _mixture(spark: SparkSession, folder: str, of_corpus: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sources that may be repeated come late: from half their weight on they stay level, then double in the last third; the others the other way round."""
     targets = table(spark, folder, "source_targets")
-    ramps = targets.select("source", F.when(F.col("max_repeats") > 1, 0.5).otherwise(-0.5).alias("ramp"))  # often repeated sources come late
-    return mixture(table(spark, folder, "documents"), "doc_id", "source", "text", targets, ramps=ramps)
+    late, early = ((0.0, 0.5), (0.4, 0.5), (0.7, 1.0), (1.0, 2.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5))
+    points = lambda p: F.array(*[F.struct(F.lit(t).alias("time"), F.lit(w).alias("weight")) for t, w in p])
+    schedule = targets.select("source", F.explode(F.when(F.col("max_repeats") > 1, points(late)).otherwise(points(early))).alias("p")).select("source", "p.*")
+    return mixture(table(spark, folder, "documents"), "doc_id", "source", "text", targets, schedule=schedule, of_corpus=of_corpus)
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,6 +184,20 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
+def p8_whole_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached in a mixture as large as all sources together, in which small sources run out."""
+    return _mixture(spark, folder, of_corpus=1.0)[1]
+
+
+def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each source keeps its repeats and, if it does not run out, its share within half a document or 1 %."""
+    r = _mixture(spark, folder, of_corpus=1.0)[1].filter("source_tokens > 0")
+    whole = r.agg(F.sum("tokens").alias("_t"), F.sum("target_share").alias("_s"), F.sum("source_tokens").alias("_c"))
+    want = F.least(F.col("_c") * F.col("target_share") / F.col("_s"), F.col("source_tokens") * F.col("max_repeats"))
+    ok = (F.col("repeats") <= F.col("max_repeats")) & (F.abs(F.col("tokens") - want) <= F.greatest(want * 0.01, F.lit(2000.0)))
+    return r.crossJoin(whole).select("source", ok.alias("kept"))
+
+
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The scores of every page."""
     return page_scores(table(spark, folder, "documents"), "doc_id", "text", "lang")
@@ -142,7 +208,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return keyword_pages(p9_scores(spark, folder)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_zone_percentiles, p2_station_medians, p2_combined, p6_found, p6_entities, p6_splits, p6_balance, p7_found, p7_spans, p8_mixture, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_zone_percentiles, p2_station_medians, p2_combined, p2_within, p6_found, p6_entities, p6_entities_salted, p6_splits, p6_balance, p6_within, p6_within_batches, p7_found, p7_spans, p7_blocks, p7_questions, p7_items, p8_mixture, p8_shares, p8_whole_corpus, p8_limits, p9_found, p9_scores)}
 
 _PAD = "CASE WHEN length({0}) < 8 THEN lpad({0}, 8, '0') ELSE {0} END"
 
@@ -163,6 +229,11 @@ both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM
 reach AS (SELECT a AS x, b AS y FROM both_ways UNION SELECT r.x, w.b FROM reach r JOIN both_ways w ON w.a = r.y),
 ent AS (SELECT x AS staid, min(y) AS entity FROM reach GROUP BY x)"""
 
+_KEPT = f"""WITH g AS (SELECT {_station('staid')} AS s, max(drain_sqkm) AS a FROM gages GROUP BY 1),
+m AS (SELECT DISTINCT {_station('staid')} AS s FROM split_manifest)
+SELECT DISTINCT CASE WHEN a < 100 THEN 'small' WHEN a < 1000 THEN 'middle' WHEN a >= 1000 THEN 'large' ELSE 'unknown' END AS area, sp.split, true AS kept
+FROM m LEFT JOIN g USING (s) CROSS JOIN (VALUES ('train'), ('val'), ('test')) sp(split) WHERE s IS NOT NULL AND s <> ''"""
+
 SQL = {
     "p2_zone_percentiles": f"WITH {_ZONES} SELECT zone_id, attr, n, p10, p90 FROM zp",
     "p2_station_medians": f"WITH {_MEDIANS} SELECT staid, n, median_ratio FROM rm",
@@ -173,6 +244,11 @@ WHERE abs(CASE m.p WHEN 'p10' THEN s.p10 ELSE s.p90 END - CASE m.p WHEN 'p10' TH
 UNION ALL SELECT DISTINCT 'reconciliation', rm.staid, 'median_ratio' FROM reconciliation r JOIN rm ON rm.staid = {_station('r.staid')}
 WHERE abs(CAST(r.median_ratio AS DOUBLE) - rm.median_ratio) > CAST(0.08 AS DOUBLE) * rm.median_ratio""",
     "p6_entities": f"WITH RECURSIVE {_COMPONENTS} SELECT staid, entity FROM ent",
+    "p6_entities_salted": f"WITH RECURSIVE {_COMPONENTS} SELECT staid, entity FROM ent",
+    "p6_within": _KEPT,
+    "p6_within_batches": _KEPT,
+    "p8_limits": "SELECT DISTINCT t.source, true AS kept FROM (SELECT lower(trim(source)) AS source FROM source_targets WHERE target_share > 0) t WHERE t.source IN (SELECT lower(trim(source)) FROM documents WHERE text <> '')",
+    "p2_within": f"WITH {_ZONES} SELECT zone_id, attr, n, true AS kept FROM zp",
     "p6_found": f"""WITH RECURSIVE {_COMPONENTS},
 m AS (SELECT seed, {_station('staid')} AS s, CASE substr(lower(trim(split_name)), 1, 2) WHEN 'tr' THEN 'train' WHEN 'va' THEN 'val' WHEN 'te' THEN 'test' END AS sp FROM split_manifest)
 SELECT seed, coalesce(ent.entity, m.s) AS entity FROM m LEFT JOIN ent ON ent.staid = m.s GROUP BY ALL HAVING count(DISTINCT sp) > 1""",

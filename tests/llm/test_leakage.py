@@ -36,13 +36,22 @@ def test_against_brute_force(spark):
     i = spark.createDataFrame(items, "item_id long, passage string, question string")
     want = sorted((a, k, round(s, 9)) for a, t in docs if t and a is not None for k, p in enumerate(PASSAGE) for s in [brute(p, t)] if s >= 0.5)
     assert len(want) > 15
-    for block in (2000, 2):
-        got = sorted((r.doc_id, r.item_id, round(r.share, 9)) for r in leaks(d, "doc_id", "text", i, "item_id", "passage", block_items=block).collect())
+    for block, hold in ((2000, 1 << 25), (2, 1 << 25), (1, 500)):
+        got = sorted((r.doc_id, r.item_id, round(r.share, 9)) for r in leaks(d, "doc_id", "text", i, "item_id", "passage", block_items=block, hold_chars=hold).collect())
         assert got == want
     assert leaks(d.limit(0), "doc_id", "text", i, "item_id", "passage").count() == 0
     assert leaks(d, "doc_id", "text", i.limit(0), "item_id", "passage").count() == 0
 
 
+def test_short_items_leak_whole(spark):
+    d = spark.createDataFrame([(1, "so Where did it, occur? there"), (2, "where did it"), (3, PASSAGE[0])], "doc_id long, text string")
+    i = spark.createDataFrame([(1, "Where did it occur?"), (2, ""), (3, PASSAGE[0])], "item_id long, question string")
+    for block in (10, 1):
+        got = {(r.doc_id, r.item_id) for r in leaks(d, "doc_id", "text", i, "item_id", "question", short=True, block_items=block).collect()}
+        assert got == {(1, 1), (3, 3)}
+    assert {(r.doc_id, r.item_id) for r in leaks(d, "doc_id", "text", i, "item_id", "question").collect()} == {(3, 3)}
+
+
 def test_offsets_point_into_the_original(spark):
     text = "Intro <i>here</i>.\n> " + PASSAGE[0].upper().replace(" ", "\n>> ", 3) + "! End"
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
@@ -60,6 +69,9 @@ def test_offsets_point_into_the_original(spark):
         ("hy­dro hy<b>dro</b> &amp; a&shy;b &eacute;t", ["hydro", "hydro", "ab", "et"]),
         ("one<br/>two [three](http://x.y/z) _four_", ["one", "two", "three", "four"]),
         ("ＡＢ \x00 0.48", ["ab", "0", "48"]),
+        ("İ <!-- hidden words here --> seen", ["i", "seen"]),
+        (f'a <img src="{"x " * 900}"> b', ["a", "b"]),
+        (f"a](http://{'x' * 900}) b", ["a", "b"]),
         ("a <!-- b > c --> d <SCRIPT x>e</script > f <style>g <!-- h", ["a", "d", "f", "g", "h"]),
     ],
 )

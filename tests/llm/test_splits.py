@@ -55,4 +55,22 @@ def test_assignment_keeps_groups_whole_and_shares(spark):
     for r in balance(df.join(out, "grp"), "kind", "split").collect():
         if r.kind and r.n > 50:
             assert abs(r.share - shares[r.split]) < 0.05
+    for r in balance(df.join(assign_splits(df, "grp", "kind", shares, batch_rows=40), "grp"), "kind", "split").collect():
+        if r.kind and r.n > 50:
+            assert abs(r.share - shares[r.split]) < 0.05
     assert assign_splits(df.limit(0), "grp", "kind", shares).count() == 0
+
+
+def test_labels_of_small_groups_are_balanced(spark):
+    """A label that no group has most of still gets its shares."""
+    rows = [(g, k) for g in range(600) for k in ["a", "a", "a", *(["rare"] if g % 10 == 0 else [])]]
+    df = spark.createDataFrame(rows, "grp long, kind string")
+    out = assign_splits(df, "grp", "kind", {"train": 0.5, "test": 0.5})
+    got = {(r.kind, r.split): r.n for r in balance(df.join(out, "grp"), "kind", "split").collect()}
+    assert got["rare", "train"] == got["rare", "test"] == 30 and abs(got["a", "train"] - got["a", "test"]) <= 3
+
+
+def test_components_by_salted_joins(spark):
+    links = [("a", "b"), ("b", "c"), ("x", "y"), (None, "z")] + [("hub", f"n{i}") for i in range(50)]
+    df = spark.createDataFrame(links, "p string, q string")
+    assert {r.entity: r.label for r in components(df, "p", "q", limit_rows=0).collect()} == brute(links)
