@@ -65,8 +65,8 @@ def p4_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """The same rows with what is wrong in them."""
     from talweg.functions.common import station_id
 
-    rows = table(spark, folder, "pretrain_rows").select("row_id", station_id("staid").alias("station"), "target_hourly_m3s", "daily_q_m3s")
-    return implausible(rows, "station", "row_id", "target_hourly_m3s", "daily_q_m3s")
+    rows = table(spark, folder, "pretrain_rows").select("row_id", station_id("staid").alias("station"), "day_index", "target_hourly_m3s", "daily_q_m3s")
+    return implausible(rows, "station", "row_id", "target_hourly_m3s", "daily_q_m3s", "day_index")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,3 +67,53 @@ def test_empty(spark):
 def test_a_source_without_a_normal_has_no_spikes(spark, n):
     df = spark.createDataFrame([(i, "x", [1.0] * 11 + [9.0] + [1.0] * 12, None, "") for i in range(n)], SCHEMA)
     assert implausible(df, "staid", "row_id", "hours", "daily").count() == 0
+
+
+def test_a_source_goes_on_where_a_batch_was_cut():
+    import numpy as np
+    from talweg.operators.spikes import _Days
+
+    rng = np.random.default_rng(4)
+    n = 60
+    source = np.array(["a"] * 30 + ["b"] * 30, dtype=object)
+    day = np.r_[np.sort(rng.integers(0, 20, 30)), np.sort(rng.integers(0, 40, 30))]  # repeated and missing days
+    segment = day // 16
+    y = np.cumsum(rng.normal(0, 0.05, (n, 24)), axis=1) + rng.normal(0, 1, (n, 1))
+    y[rng.random((n, 24)) < 0.03] += 3
+    y[rng.random((n, 24)) < 0.05] = np.nan
+    gain, deviation = np.full(n, 0.6), np.full(n, 0.08)
+    whole = _Days(4.12, 3).judge(source, segment, day, y, gain, deviation)
+    assert whole[0].any()
+    for cuts in ([7, 8, 29, 30, 41], range(1, n)):
+        days, parts = _Days(4.12, 3), np.split(np.arange(n), list(cuts))
+        got = [days.judge(source[p], segment[p], day[p], y[p], gain[p], deviation[p]) for p in parts]
+        assert (np.vstack([g[0] for g in got]) == whole[0]).all()
+        assert np.array_equal(np.vstack([g[1] for g in got]), whole[1], equal_nan=True)
+
+
+def test_the_level_is_known_from_the_day_before():
+    import numpy as np
+    from talweg.operators.spikes import LocalLevel
+
+    f = LocalLevel(np.array([0.5]), np.array([0.1]), 4.0, 3)
+    y = np.array([[0.0, 5.0, 5.0, 0.0, 0.0, 0.0, 2.0, 2.0, 2.0, 2.0, 2.0, 9.0]])
+    rows = np.arange(1)
+    sign, _, level, variance = f.run(y, rows, np.array([np.nan]), np.zeros(1))
+    assert sign.tolist() == [[0, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 1]] and level[0] == pytest.approx(2.0)  # an excursion, a level that moved, a last reading withheld
+    forecast, unknown = f.run(y[:, :1] + 2.1, rows, level, variance), f.run(y[:, :1] + 2.1, rows, np.array([np.nan]), np.zeros(1))
+    assert 2.0 < forecast[2][0] < 2.1 and unknown[2][0] == pytest.approx(2.1)
+
+
+def test_long_sources_and_rows_without_a_day(spark):
+    """A spike is found in any segment of a long source, and in rows with no day."""
+    rnd = random.Random(8)
+    rows = [(d, "A", day(rnd, 20), None, d) for d in range(300)]
+    for at in (0, 63, 64, 200):
+        h = list(rows[at][2])
+        h[6] = 80.0
+        rows.append((1000 + at, "A", h, None, at))
+    h = day(rnd, 20)
+    h[9] = 90.0
+    rows += [(2000, "A", h, None, None), (2001, None, h, None, 5)]
+    df = spark.createDataFrame(rows, "row_id long, staid string, hours array<float>, daily float, day int")
+    assert sorted(r.row_id for r in implausible(df, "staid", "row_id", "hours", "daily", "day").collect()) == [1000, 1063, 1064, 1200, 2000]
