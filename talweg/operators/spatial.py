@@ -11,11 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talweg.session import Scratch
+
 EARTH_RADIUS_M = 6371008.8
-#: More points, or more regions, than this in one cell or tile are spread over several tasks.
+#: More points than this in a slab, or in a cube, are spread over several tasks.
 GROUP_ROWS = 50_000
 HOT_CELL_ROWS = 2_000
-#: Slab boundaries kept per tile; the boundaries are vertex abscissae.
+#: Edge of the cubes in radii: larger cubes repeat fewer points, smaller ones compare fewer pairs.
+CUBE_RADII = 2
+#: Boundaries kept inside a slab; they are vertex abscissae.
 MAX_SLABS = 512
 
 
@@ -36,13 +40,14 @@ def great_circle_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Co
 def near(points: DataFrame, id_col: str, lat: str, lng: str, radius_m: float, hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
     """(id_a, id_b, distance_m) for every two usable points with id_a < id_b at most ``radius_m`` apart.
 
-    Points fall into cubes of the unit sphere whose edge is the chord of the radius, so there is no seam at the poles or
+    Points fall into cubes of the unit sphere whose edge is ``CUBE_RADII`` chords of the radius, so there is no seam at the poles or
     at 180 degrees. Each point also goes into those of the 13 forward neighbour cubes that its own circle can reach, which
     finds each pair of cubes once. Cubes with more than ``hot_rows`` points are split on one side and repeated on the
     other. Repeated rows (same id and position) count once, rows without an id are left out, an id never pairs with itself.
     """
     chord = 2 * math.sin(min(radius_m / EARTH_RADIUS_M, math.pi) / 2)
-    width = max(chord * (1 + 1e-9), 2.0**-20)
+    width = max(chord * (1 + 1e-9) * CUBE_RADII, 2.0**-20)
+    far = (chord / width) ** 2
     span = 1 << 21
     la, lo = F.radians("_lat"), F.radians("_lng")
     xyz = {"_x": F.cos(la) * F.cos(lo), "_y": F.cos(la) * F.sin(lo), "_z": F.sin(la)}
@@ -57,7 +62,7 @@ def near(points: DataFrame, id_col: str, lat: str, lng: str, radius_m: float, ho
         frac = F.col(f"_s{axis}") - F.col(f"_i{axis}")
         return F.lit(0.0) if d == 0 else (1 - frac if d > 0 else frac)
 
-    reach = [F.when(F.pow(gap("x", a), 2) + F.pow(gap("y", b), 2) + F.pow(gap("z", c), 2) <= 1.0 + 1e-6, key(a, b, c)) for a, b, c in offsets]
+    reach = [F.when(F.pow(gap("x", a), 2) + F.pow(gap("y", b), 2) + F.pow(gap("z", c), 2) <= far * (1 + 1e-6), key(a, b, c)) for a, b, c in offsets]
     own = pts.select(key(0, 0, 0).alias("_cell"), F.col("_id").alias("_ia"), F.col("_lat").alias("_la"), F.col("_lng").alias("_oa"))
     there = pts.select(F.explode(F.filter(F.array(key(0, 0, 0), *reach), lambda c: c.isNotNull())).alias("_cell"), key(0, 0, 0).alias("_home"), F.col("_id").alias("_ib"), F.col("_lat").alias("_lb"), F.col("_lng").alias("_ob"))
     hot = own.groupBy("_cell").count().filter(F.col("count") > hot_rows).select("_cell", F.ceil(F.col("count") / hot_rows).cast("int").alias("_n"))
@@ -196,26 +201,30 @@ def locate(xs: np.ndarray, ys: np.ndarray, traps: np.ndarray, max_slabs: int = M
     return (np.concatenate(found_p), np.concatenate(found_t)) if found_p else none
 
 
-_BOX = "region_id long, geom binary, x0 double, y0 double, x1 double, y1 double"
-_TILE = 32
-_UNIT = 2.0**-20
+_CUT = "slab int, region_id long, n int, traps binary"
+#: Slabs begin at multiples of 1 / CELLS degrees, so there are 92,161 at most.
+CELLS = 256
+#: A slab that has more trapezoids than so many times ``group_rows`` is split by region.
+TRAPS_PER_ROW = 8
 
 
-def _boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        out = []
-        for rid, geom in zip(rows["region_id"], rows["geom"]):
-            if rings := wkb_rings(bytes(geom)):
-                p = np.vstack(rings)
-                out.append((rid, geom, *p.min(axis=0), *p.max(axis=0)))
-        yield pd.DataFrame(out, columns=["region_id", "geom", "x0", "y0", "x1", "y1"])
+def slabs_of(cells: list[tuple[int, int]], rows: int) -> list[tuple[int, int, int]]:
+    """(cell, slab, parts) of every cell that has points: neighbouring cells make a slab of up to ``rows`` points, a fuller cell is one by itself, in parts."""
+    out: list[tuple[int, int, int]] = []
+    slab, held = -1, rows
+    for cell, n in sorted(cells):
+        if held + n > rows:
+            slab, held = slab + 1, 0
+        held += n
+        out.append((cell, slab, -(-n // rows)))
+    return out
 
 
-def _locate_tile(points: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
+def _locate_slab(points: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
     if not len(points) or not len(regions):
         return pd.DataFrame({"id": [], "region_id": []}).astype("int64")
-    traps, of = trapezoids([wkb_rings(bytes(g)) for g in regions["geom"]])
-    owner = regions["region_id"].to_numpy()[of]
+    traps = np.frombuffer(b"".join(map(bytes, regions["traps"])), "f8").reshape(-1, 10)
+    owner = np.repeat(regions["region_id"].to_numpy(), regions["n"])
     p, t = locate(points["x"].to_numpy(), points["y"].to_numpy(), traps)
     return pd.DataFrame({"id": points["id"].to_numpy()[p], "region_id": owner[t]}).drop_duplicates()
 
@@ -223,38 +232,56 @@ def _locate_tile(points: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
 def within(points: DataFrame, id_col: str, lat: str, lng: str, regions: DataFrame, region_col: str, geom_col: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, region_id): the regions that contain each usable point; holes do not belong to a region.
 
-    Regions are WKB polygons or multipolygons in longitude, latitude. Each goes to the tiles of a grid that is 32 times as
-    wide as the region is (sizes in powers of 4, so a small and a large region never share a grid); a region touches four
-    tiles at most, and a point asks one tile per size that occurs. In a tile the regions are cut into trapezoids and the
-    points are found by binary search (``locate``). Tiles with more than ``group_rows`` points or regions are split.
+    Regions are WKB polygons or multipolygons in longitude, latitude. Longitude is cut into slabs of up to ``group_rows``
+    points. Every region is parsed and cut into trapezoids once; its trapezoids, cut at the slab boundaries, go to the slabs
+    they lie in, and so does each point to its one slab, where its trapezoids are found by binary search (``locate``). A slab
+    that is too full is split: its points where a narrow slab still has more than ``group_rows``, its trapezoids by region. The
+    counts that make the slabs are of 92,161 cells at most, whatever the size of the data.
 
     Repeated regions count once, null, empty or unreadable geometries and null ids are left out; points on an edge belong
     to the region above it or to its right, so regions that share an edge never both contain a point.
     """
+    spark = points.sparkSession
     pts = usable_positions(points.select(F.col(id_col).cast("long").alias("id"), F.col(lat).alias("_a"), F.col(lng).alias("_o")), "_a", "_o")
-    pts = pts.filter(F.col("id").isNotNull()).select("id", F.col("_lng").alias("x"), F.col("_lat").alias("y")).dropDuplicates()
+    pts = pts.filter(F.col("id").isNotNull()).select("id", F.col("_lng").alias("x"), F.col("_lat").alias("y")).dropDuplicates().withColumn("cell", F.floor(F.col("x") * CELLS).cast("int"))
+    cells = [(r["cell"], r["count"]) for r in pts.groupBy("cell").count().collect()]
+    if not cells:
+        return pts.select("id", F.lit(None).cast("long").alias("region_id"))
+    whole = sum(n for _, n in cells)
+    listed = slabs_of(cells, max(1, min(group_rows, max(2000, whole // (2 * spark.sparkContext.defaultParallelism)))))
+    first: dict[int, int] = {}
+    parts: dict[int, int] = {}
+    for cell, slab, n in listed:
+        first.setdefault(slab, cell)
+        parts[slab] = max(n, parts.get(slab, 1))
+    starts = np.array(list(first.values())) / CELLS
+    starts[0] = -np.inf
+    ends = np.r_[starts[1:], np.inf]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            traps, of = trapezoids([wkb_rings(bytes(g)) for g in rows["geom"]])
+            a = np.searchsorted(starts, traps[:, 0], "right") - 1
+            count = np.searchsorted(starts, traps[:, 1], "left") - a
+            t = np.repeat(np.arange(len(traps)), count)
+            slab = np.repeat(a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            o = np.lexsort((slab, of[t]))
+            t, slab = t[o], slab[o]
+            piece = traps[t]
+            piece[:, 0], piece[:, 1] = np.maximum(piece[:, 0], starts[slab]), np.minimum(piece[:, 1], ends[slab])
+            at = np.flatnonzero(np.r_[True, (of[t][1:] != of[t][:-1]) | (slab[1:] != slab[:-1])]) if len(t) else np.empty(0, int)
+            n = np.diff(np.r_[at, len(t)])
+            raw, size = piece.tobytes(), 80
+            packed = [raw[i * size : (i + k) * size] for i, k in zip(at.tolist(), n.tolist())]
+            yield pd.DataFrame({"slab": slab[at], "region_id": rows["region_id"].to_numpy()[of[t][at]], "n": n, "traps": packed})
+
     reg = regions.select(F.col(region_col).cast("long").alias("region_id"), F.col(geom_col).alias("geom")).filter("region_id is not null and geom is not null").dropDuplicates()
-    boxes = reg.mapInPandas(_boxes, _BOX)
-    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(_UNIT))
-    boxes = boxes.withColumn("level", F.ceil(F.log2(extent / _UNIT) / 2).cast("int"))
-    from talweg.session import Scratch
-
-    boxes = Scratch(points.sparkSession).save(boxes, "boxes")
-    levels = sorted(r[0] for r in boxes.select("level").distinct().collect())  # 16 at most
-    if not levels:
-        return pts.limit(0).select("id", F.lit(None).cast("long").alias("region_id"))
-    width = F.pow(F.lit(4.0), F.col("level")) * (_UNIT * _TILE)
-    steps = lambda a, b: F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))
-    tiled = boxes.withColumn("tx", F.explode(steps("x0", "x1"))).withColumn("ty", F.explode(steps("y0", "y1"))).select("level", "tx", "ty", "region_id", "geom")
-    asked = pts.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumns({"tx": F.floor(F.col("x") / width), "ty": F.floor(F.col("y") / width)})
-    tile = ["level", "tx", "ty"]
-    split = lambda df, n: df.groupBy(*tile).count().select(*tile, F.ceil(F.col("count") / group_rows).alias(n))
-    parts = split(tiled, "_nr").join(split(asked, "_np"), tile)  # only tiles that hold both
-    salts = lambda n: F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n)))
-    side = lambda df, own, other, by: (
-        df.join(parts, tile).withColumn(own.replace("_n", "_s"), F.pmod(F.xxhash64(by), F.col(own)) + 1).withColumn(other.replace("_n", "_s"), salts(other)).drop("_nr", "_np")
-    )
-    key = [*tile, "_sp", "_sr"]
-    a, b = side(asked, "_np", "_nr", "id"), side(tiled, "_nr", "_np", "region_id")
-    fn = lambda left, right: _locate_tile(left, right)
-    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(fn, "id long, region_id long").distinct()
+    pieces = Scratch(spark).save(reg.mapInPandas(cut, _CUT), "pieces")
+    many = {r["slab"]: -(-r["n"] // (group_rows * TRAPS_PER_ROW)) for r in pieces.groupBy("slab").agg(F.sum("n").alias("n")).collect()}
+    of_slab = F.broadcast(spark.createDataFrame([(s, p, many[s]) for s, p in parts.items() if s in many], "slab int, np int, nr int"))
+    of_cell = F.broadcast(spark.createDataFrame([(c, s) for c, s, _ in listed], "cell int, slab int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = pts.join(of_cell, "cell").join(of_slab, "slab").select("slab", "id", "x", "y", F.pmod(F.xxhash64("id"), F.col("np")).cast("int").alias("sp"), each("nr").alias("sr"))
+    b = pieces.join(of_slab, "slab").select("slab", "region_id", "n", "traps", F.pmod(F.xxhash64("region_id"), F.col("nr")).cast("int").alias("sr"), each("np").alias("sp"))
+    fn = lambda left, right: _locate_slab(left, right)
+    return a.groupBy("slab", "sp", "sr").cogroup(b.groupBy("slab", "sp", "sr")).applyInPandas(fn, "id long, region_id long").distinct()

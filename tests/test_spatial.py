@@ -82,6 +82,21 @@ def test_few_slabs_find_the_same():
     assert found[0] == found[1] == found[2] == sorted((i, k) for i in range(500) for k in range(40) if inside(rings[k], xs[i], ys[i]))
 
 
+def test_full_cells_are_slabs_of_their_own():
+    cells = [(5, 3), (-4, 2), (7, 25), (6, 4), (9, 1)]
+    assert spatial.slabs_of(cells, 10) == [(-4, 0, 1), (5, 0, 1), (6, 0, 1), (7, 1, 3), (9, 2, 1)]
+
+
+def test_crowded_slabs_are_split(spark, monkeypatch):
+    """All points and regions at one longitude: points in parts, trapezoids in parts, and nothing twice."""
+    monkeypatch.setattr(spatial, "TRAPS_PER_ROW", 2)
+    square = lambda i: [(7.0 - 1e-4, i / 100), (7.0 + 1e-4, i / 100), (7.0 + 1e-4, (i + 2) / 100), (7.0 - 1e-4, (i + 2) / 100)]
+    r = spark.createDataFrame([(i, wkb([[[*square(i), square(i)[0]]]])) for i in range(40)], "comid long, geom binary")
+    p = spark.createDataFrame([(k, k / 150 + 0.001, 7.0) for k in range(60)], "id long, lat double, lng double")
+    want = sorted((k, i) for k in range(60) for i in range(40) if inside([square(i)], 7.0, k / 150 + 0.001))
+    assert sorted(map(tuple, within(p, "id", "lat", "lng", r, "comid", "geom", 6).collect())) == want
+
+
 def test_wkb_of_other_kinds_is_no_region():
     assert wkb_rings(struct.pack("<BIdd", 1, 1, 3.0, 4.0)) == []
     assert spatial.GROUP_ROWS > 0
