@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,88 +66,91 @@ def normal(t: str) -> str:
     return t.lower()
 
 
-#: Counts the texts of a language among its words; no token looks like it.
-TEXTS = ""
-
 #: Ids of the classes that are no words: line end, number, link, rare sign, new word, word said before, start of text.
 LINE, NUMBER, LINK, SIGN, NEW, AGAIN, START = range(7)
 _FIXED = {"\n": LINE, "#": NUMBER, "@": LINK}
+#: A token is written as 30 bits of a checksum; two more tell words, signs and the fixed classes apart. ``TEXTS`` counts the texts of a language among its words.
+_SIGN, _CLASS, TEXTS = 1 << 30, 2 << 30, -1
+#: A text that so many documents have as it is gets its scores to them in parts.
+HOT_COPIES = 200_000
 
 
-class _Words(dict):
-    """Token as written -> the word it counts as, None for links, numbers and longer signs; worked out when first met."""
+class _Codes(dict):
+    """Token as written -> code, worked out when first met; the same on every worker."""
 
-    def __missing__(self, token: str) -> str | None:
+    def __missing__(self, token: str) -> int:
         n = normal(token)
-        self[token] = n if n.isalpha() or len(n) == 1 else None
-        return self[token]
+        code = _CLASS | _FIXED[n] if n in _FIXED else zlib.crc32(n.encode("utf-8", "surrogatepass")) & (_SIGN - 1) | (0 if n[0].isalpha() else _SIGN)
+        self[token] = code
+        return code
 
 
-class _Ids(dict):
-    """Token as written -> id, worked out when first met."""
+def encode(text: str, table: _Codes) -> np.ndarray:
+    """One code per token."""
+    if len(table) > 1_000_000:
+        table.clear()
+    return np.array(list(map(table.__getitem__, raw_tokens(text))), "<u4")
 
-    def __init__(self, known: dict[str, int], base: int):
-        super().__init__()
-        self.known, self.base = known, base
 
-    def __missing__(self, token: str) -> int:
-        n = normal(token)
-        i = self.known.get(n)
-        if i is None:
-            i = SIGN if not n[0].isalpha() else self.base + (hash(n) & 0xFFFFFFFFFFF)
-        self[token] = i
-        return i
+class Texts:
+    """The codes of several texts, one behind the other."""
+
+    def __init__(self, codes: Iterable[bytes]):
+        parts = [np.frombuffer(c, "<u4") for c in codes]
+        self.sizes = np.array([len(p) for p in parts], int)
+        self.flat = np.concatenate(parts).astype("i8") if parts else np.empty(0, "i8")
+        self.ends = np.cumsum(self.sizes)
+        self.of = np.repeat(np.arange(len(parts)), self.sizes)
+
+    def count(self, mask: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of[mask], minlength=len(self.sizes))
 
 
 class Lexicon:
-    """The corpus's own words of every language, and texts as ids."""
+    """The corpus's own words of every language, by their codes, and texts as classes."""
 
-    def __init__(self, words: dict[str, list[str]], common: str):
+    def __init__(self, words: dict[str, list[int]], common: str):
         self.langs = sorted(words, key=lambda k: (k != common, k))
-        vocab = sorted(set().union(*words.values()) - set(_FIXED)) if words else []
-        self.base = START + 1 + len(vocab)
-        self.ids = _FIXED | {w: START + 1 + i for i, w in enumerate(vocab)}
+        vocab = np.array(sorted(set().union(*words.values())) if words else [], "i8")
+        self.codes, self.base = vocab, START + 1 + len(vocab)
         self.own = np.zeros((max(len(self.langs), 1), self.base), bool)
         self.own[:, : START + 1] = True
         for k, lang in enumerate(self.langs):
-            self.own[k, [self.ids[w] for w in words[lang] if w not in _FIXED]] = True
-        self.word = np.array([False] * (START + 1) + [w.isalpha() for w in vocab])
+            self.own[k, START + 1 + np.searchsorted(vocab, np.array(words[lang], "i8"))] = True
+        self.word = np.r_[np.zeros(START + 1, bool), vocab < _SIGN]
         self.dtype = np.dtype("<i2") if self.base < 1 << 15 else np.dtype("<i4")
-        self.table = _Ids(self.ids, self.base)
-
-    def encode(self, text: str) -> np.ndarray:
-        """One id per token; other words get ids from ``base`` on, the same for the same word of a text."""
-        if len(self.table) > 1_000_000:
-            self.table = _Ids(self.ids, self.base)
-        return np.array(list(map(self.table.__getitem__, raw_tokens(text))), "i8")
-
-    def language(self, ids: np.ndarray) -> int:
-        """The language whose own words the text uses most; the commonest language if none."""
-        known = ids[(ids > START) & (ids < self.base)]
-        known = known[self.word[known]]
-        return int(self.own[:, known].sum(axis=1).argmax()) if len(known) else 0
-
-    def said(self, ids: np.ndarray) -> np.ndarray:
-        """How often each word of a text is said."""
-        inside = ids < self.base
-        known = np.zeros(len(ids), bool)
-        known[inside] = self.word[ids[inside]]
-        return np.unique(ids[known | ~inside], return_counts=True)[1]
-
-    def classes(self, ids: np.ndarray, k: int) -> np.ndarray:
+
+    def ids(self, texts: Texts) -> np.ndarray:
+        """Classes and the corpus's own words below ``base``, other words from it on."""
+        flat = texts.flat
+        out = np.where(flat >= _CLASS, flat - _CLASS, np.where(flat >= _SIGN, SIGN, self.base + flat))
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, flat), len(self.codes) - 1)
+            hit = self.codes[at] == flat
+            out[hit] = START + 1 + at[hit]
+        return out
+
+    def languages(self, texts: Texts, ids: np.ndarray) -> np.ndarray:
+        """Of each text the language whose own words it uses most; the commonest language if none."""
+        known = np.flatnonzero(ids < self.base)
+        known = known[self.word[ids[known]]]
+        best, most = np.zeros(len(texts.sizes), int), np.zeros(len(texts.sizes))
+        for k in range(len(self.langs)):
+            n = np.bincount(texts.of[known], weights=self.own[k, ids[known]], minlength=len(best))
+            best, most = np.where(n > most, k, best), np.maximum(n, most)
+        return best
+
+    def classes(self, texts: Texts, ids: np.ndarray, languages: np.ndarray) -> np.ndarray:
         """Own words as they are, others by class: new in this text, or said before; other signs as one class."""
-        out = np.where(ids < self.base, ids, NEW)
-        inside = ids < self.base
-        foreign = ~inside
-        foreign[inside] = ~self.own[k, ids[inside]]
-        sign = np.zeros(len(ids), bool)
-        known = foreign & inside
-        sign[known] = ~self.word[ids[known]]
+        inside = np.flatnonzero(ids < self.base)
+        out, foreign = ids.copy(), np.ones(len(ids), bool)
+        foreign[inside] = ~self.own[languages[texts.of[inside]], ids[inside]]
+        sign = inside[foreign[inside] & ~self.word[ids[inside]]]
         out[sign] = SIGN
-        other = np.flatnonzero(foreign & ~sign)
-        if len(other):
-            out[other] = AGAIN
-            out[other[np.unique(ids[other], return_index=True)[1]]] = NEW
+        foreign[sign] = False
+        other = np.flatnonzero(foreign)
+        out[other] = AGAIN
+        out[other[np.unique(texts.of[other] << 40 | ids[other], return_index=True)[1]]] = NEW
         return out
 
 
@@ -211,68 +214,78 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
 
     Texts of an unknown language are counted with the commonest one. Null and empty texts and null ids do not come out;
     repeated texts come out each.
+
+    A text is cut into tokens once, into codes of four bytes; equal texts are brought together by two 64-bit hashes, counted
+    and scored once, and their scores go back to their documents at the end. What goes to every worker are words and n-grams
+    that a share of a language's texts have, which bounds their number.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
     own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), language(lang).alias("lang")).filter("doc_id is not null and text is not null and text <> ''")
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).collect()  # two-letter codes
-    listed = sorted((-r["n"], r["lang"]) for r in sizes if r["lang"])[:50]
+    same = [F.xxhash64("text").alias("s1"), F.xxhash64(F.lit(1), "text").alias("s2")]
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).collect()  # two-letter codes, 677 at most
+    listed = sorted((-r["n"], r["lang"]) for r in sizes if r["lang"])
     common = listed[0][1] if listed else "en"
-    codes = [k for _, k in listed]
-    own = own.withColumn("lang", F.when(F.col("lang").isin(codes), F.col("lang")).otherwise(common))
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = _Codes()
+        for b in batches:
+            codes = [encode(t, table) for t in b["text"]]
+            few = []
+            for c in codes:
+                said = np.unique(c[c < _SIGN], return_counts=True)[1]
+                few.append(few_share(said, int(said.sum() + ((c == _CLASS | NUMBER) | (c == _CLASS | LINK)).sum())))
+            out = pd.DataFrame({"s1": b["s1"], "s2": b["s2"], "lang": b["lang"], "few": few, "codes": [c.tobytes() for c in codes]})
+            yield out[[len(c) > 0 for c in codes]]
+
+    coded = own.select(*same, F.coalesce("lang", F.lit(common)).alias("lang"), "text").mapInPandas(code, "s1 long, s2 long, lang string, few double, codes binary")
+    texts = scratch.save(coded.groupBy("s1", "s2").agg(F.first("few").alias("few"), F.first("codes").alias("codes"), F.collect_set("lang").alias("langs"), F.count("*").alias("copies")), "texts")
+
     def words_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, Counter] = {}
-        rows, word = 0, _Words()
         for b in batches:
-            for k, t in zip(b["lang"], b["text"]):
-                said = Counter(map(word.__getitem__, raw_tokens(t)))
-                alpha = [n for w, n in said.items() if w is not None and w.isalpha()]
-                if few_share(alpha, sum(alpha) + said["#"] + said["@"] + said[None]) <= FEW_SHARE:
-                    total.setdefault(k, Counter()).update([*said.keys(), TEXTS])
-            rows += len(b)
-            if rows >= 20_000 or len(word) > 1_000_000:
-                yield _counts(total)
-                total, rows, word = {}, 0, _Words()
-        yield _counts(total)
-
-    def _counts(total: dict[str, Counter]) -> pd.DataFrame:
-        return pd.DataFrame([(k, w, n) for k, c in total.items() for w, n in c.items() if w is not None], columns=["lang", "word", "n"])
-
-    of_texts = lambda n: F.col("n") / F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in n.items()], F.lit(1.0))
-    counted = own.select("lang", "text").distinct().mapInPandas(words_in, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = scratch.save(counted, "words")
-    docs = {k: 1 for k in [*codes, common]} | {r["lang"]: r["n"] for r in counted.filter(F.col("word") == TEXTS).collect()}
-    counted = counted.filter((F.col("word") != TEXTS) & (of_texts(docs) >= word_share))
-    words: dict[str, list[str]] = {k: [] for k in docs}
-    for r in counted.collect():  # at most (distinct words per text) / word_share for each language
+            t = Texts(b["codes"])
+            pairs = np.unique(t.of << 32 | t.flat)
+            of, words = pairs >> 32, pairs & 0xFFFFFFFF
+            lists = [set(x) for x in b["langs"]]
+            for k in set().union(*lists):
+                mine = np.array([k in x for x in lists])
+                w = words[mine[of]]
+                w, n = np.unique(w[w < _CLASS], return_counts=True)
+                yield pd.DataFrame({"lang": k, "word": np.r_[TEXTS, w], "n": np.r_[mine.sum(), n]})
+
+    def of_lang(values: dict[str, float], missing: float) -> Column:
+        known = [F.lit(x) for k, v in values.items() for x in (k, float(v))]
+        return F.coalesce(F.try_element_at(F.create_map(*known), F.col("lang")), F.lit(missing)) if known else F.lit(missing)
+
+    learned = texts.filter(F.col("few") <= FEW_SHARE)
+    counted = scratch.save(learned.select("langs", "codes").mapInPandas(words_in, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    docs = {r["lang"]: r["n"] for r in counted.filter(F.col("word") == TEXTS).collect()}
+    words: dict[str, list[int]] = {k: [] for k in {common, *docs}}
+    for r in counted.filter((F.col("word") != TEXTS) & (F.col("n") / of_lang(docs, 1.0) >= word_share)).collect():  # at most (distinct words per text) / word_share for each language
         words[r["lang"]].append(r["word"])
-    scratch.drop("words")
     size = Lexicon(words, common).base
-    kind = dict(own.dtypes)["doc_id"]
+    dtype = Lexicon(words, common).dtype
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = Lexicon(words, common)
         for b in batches:
-            out = []
-            for d, same, t in zip(b["doc_id"], b["same"], b["text"]):
-                ids = lex.encode(t)
-                if not len(ids):
-                    continue
-                k = lex.language(ids)
-                cls = lex.classes(ids, k)
-                new, again, odd = int((cls == NEW).sum()), int((cls == AGAIN).sum()), int(((cls == SIGN) | (cls == LINK)).sum())
-                alpha = new + again + int(lex.word[cls].sum())
-                few = few_share(lex.said(ids), alpha + int(((cls == NUMBER) | (cls == LINK)).sum()))
-                out.append((d, same, lex.langs[k], cls.astype(lex.dtype).tobytes(), len(cls), alpha, again, new + again, (2 * again + new + odd) / len(cls), few))
-            yield pd.DataFrame(out, columns=["doc_id", "same", "lang", "cls", "tokens", "alpha", "again", "other", "odd", "few"])
-
-    rated = own.select("doc_id", F.xxhash64("text").alias("same"), "text").mapInPandas(classify, f"doc_id {kind}, same long, lang string, cls binary, tokens long, alpha long, again long, other long, odd double, few double")
-    rated = scratch.save(rated, "rated")
-    docs, limits = {}, {}
-    learned = scratch.save(rated.filter(F.col("few") <= FEW_SHARE).select("same", "lang", "odd", "cls").dropDuplicates(["same", "lang"]), "learned")
+            t = Texts(b["codes"])
+            ids = lex.ids(t)
+            langs = lex.languages(t, ids)
+            cls = lex.classes(t, ids, langs)
+            new, again, odd = (t.count(m) for m in (cls == NEW, cls == AGAIN, (cls == SIGN) | (cls == LINK)))
+            raw, width = cls.astype(dtype).tobytes(), dtype.itemsize
+            parts = [raw[(e - n) * width : e * width] for e, n in zip(t.ends.tolist(), t.sizes.tolist())]
+            yield pd.DataFrame({
+                "s1": b["s1"], "s2": b["s2"], "copies": b["copies"], "lang": np.array(lex.langs, dtype=object)[langs], "cls": parts, "tokens": t.sizes, "alpha": new + again + t.count(lex.word[cls]),
+                "again": again, "other": new + again, "odd": (2 * again + new + odd) / np.maximum(t.sizes, 1), "few": b["few"],
+            })
+
+    rated = scratch.save(texts.select("s1", "s2", "copies", "codes", "few").mapInPandas(classify, "s1 long, s2 long, copies long, lang string, cls binary, tokens long, alpha long, again long, other long, odd double, few double"), "rated")
+    scratch.drop("words", "texts")
+    learned = rated.filter(F.col("few") <= FEW_SHARE)
+    limits, docs = {}, {}
     for r in learned.groupBy("lang").agg(F.percentile_approx("odd", 1 - trimmed, 1000).alias("q"), F.count("*").alias("n")).collect():
         limits[r["lang"]], docs[r["lang"]] = r["q"], r["n"]
-    limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in limits.items()], F.lit(0.0))
-    dtype = Lexicon(words, common).dtype
 
     def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -282,9 +295,9 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
                     keys, n = np.unique(np.concatenate([e[order] for e in each]), return_counts=True)
                     yield pd.DataFrame({"lang": k, "gram_order": order, "gram": keys, "n": n})
 
-    kept = learned.filter(F.col("odd") <= limit).select("lang", "cls")
+    kept = learned.filter(F.col("odd") <= of_lang(limits, 0.0)).select("lang", "cls")
     grams = kept.mapInPandas(count_grams, "lang string, gram_order int, gram long, n long").groupBy("lang", "gram_order", "gram").agg(F.sum("n").alias("n"))
-    grams = grams.withColumn("share", of_texts(docs)).filter(F.col("share") >= gram_share)
+    grams = grams.withColumn("share", F.col("n") / of_lang(docs, 1.0)).filter(F.col("share") >= gram_share)
     tables: dict[str, list] = {k: [([], []) for _ in range(3)] for k in [*words, *docs]}
     for r in grams.orderBy("gram").collect():  # at most (distinct n-grams per text) / gram_share for each language
         tables[r["lang"]][r["gram_order"]][0].append(r["gram"])
@@ -302,13 +315,17 @@ def page_scores(documents: DataFrame, doc_id: str, text: str, lang: str, word_sh
                 total = np.diff(np.concatenate([[0.0], np.cumsum(s)[ends - 1]]))
                 yield part.drop(columns="cls").assign(surprise=total)
 
-    scored = rated.filter("alpha > 0").select("doc_id", "lang", "tokens", "alpha", "again", "other", "few", "cls").mapInPandas(score, f"doc_id {kind}, lang string, tokens long, alpha long, again long, other long, few double, surprise double")
+    columns = ["s1", "s2", "copies", "lang", "tokens", "alpha", "again", "other", "few"]
+    scored = rated.filter("alpha > 0").select(*columns, "cls").mapInPandas(score, "s1 long, s2 long, copies long, lang string, tokens long, alpha long, again long, other long, few double, surprise double")
     scored = scratch.save(scored, "scored")
     scratch.drop("rated")
-    scratch.drop("learned")
     middle = scored.agg(F.percentile_approx(F.col("surprise") / F.col("tokens"), 0.5, 1000).alias("_m"))
     mean = (F.col("surprise") + PRIOR_TOKENS * F.coalesce("_m", F.lit(0.0))) / (F.col("tokens") + PRIOR_TOKENS)
-    out = scored.crossJoin(middle).withColumn("_mean", mean)
+    parts = F.ceil(F.col("copies") / HOT_COPIES).cast("int")
+    hot = scored.filter(F.col("copies") > HOT_COPIES).select("s1", "s2", parts.alias("_parts"))  # one in HOT_COPIES of the documents at most
+    told = scored.crossJoin(middle).withColumn("_mean", mean).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    asking = own.select("doc_id", *same).join(F.broadcast(hot), ["s1", "s2"], "left").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    out = asking.join(told, ["s1", "s2", "_part"])
     return out.select("doc_id", "lang", "tokens", (1 - F.col("other") / F.col("alpha")).alias("own_share"), (F.col("again") / F.col("alpha")).alias("again_share"), F.col("few").alias("few_share"), F.exp("_mean").alias("perplexity"), (F.col("_mean") - F.col("_m")).alias("excess"))
 
 

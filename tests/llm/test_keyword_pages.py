@@ -1,7 +1,8 @@
 import random
 import time
 
-from talweg.llm.keyword_pages import AGAIN, NEW, NUMBER, SIGN, Lexicon, keyword_pages, language, normal, page_scores, raw_tokens
+import numpy as np
+from talweg.llm.keyword_pages import AGAIN, NEW, NUMBER, SIGN, START, Lexicon, Texts, _Codes, encode, keyword_pages, language, normal, page_scores, raw_tokens
 
 
 def corpus():
@@ -62,11 +63,38 @@ def test_empty(spark):
 
 def test_classes():
     assert [normal(t) for t in raw_tokens('<b>The</b> **flow** <a href="u">x</a>\n\n3.5 m')] == ["the", "flow", "@", "x", "\n", "#", "m"]
-    lex = Lexicon({"en": ["the", ","], "de": ["der", ";"]}, "en")
-    ids = lex.encode("The pump, Pump; 7 der")
-    own = lex.ids
-    assert lex.language(lex.encode("der der the")) == lex.langs.index("de")
-    assert lex.classes(ids, lex.langs.index("en")).tolist() == [own["the"], NEW, own[","], AGAIN, SIGN, NUMBER, NEW]
+    table = _Codes()
+    code = lambda text: int(encode(text, table)[0])
+    lex = Lexicon({"en": [code("the"), code(",")], "de": [code("der"), code(";")]}, "en")
+    texts = Texts([encode(x, table).tobytes() for x in ("The pump, Pump; 7 der", "", "der der the", "pump")])
+    ids = lex.ids(texts)
+    assert texts.sizes.tolist() == [7, 0, 3, 1]
+    assert lex.languages(texts, ids).tolist() == [0, 0, lex.langs.index("de"), 0]
+    own = {w: START + 1 + int(np.searchsorted(lex.codes, code(w))) for w in ("the", ",", "der")}
+    en = [own["the"], NEW, own[","], AGAIN, SIGN, NUMBER, NEW]
+    assert lex.classes(texts, ids, lex.languages(texts, ids)).tolist() == [*en, own["der"], own["der"], NEW, NEW]
+    assert code("the") < 1 << 30 <= code(",") < 2 << 30 <= code("7")
+
+
+def test_more_than_fifty_languages_have_models_of_their_own(spark):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(60):
+        name = f"{chr(97 + k // 26)}{chr(97 + k % 26)}"
+        words = [f"{name}{chr(97 + w)}x" for w in range(26)]
+        rows += [(len(rows) + i, " ".join(rnd.choice(words) for _ in range(40)), name) for i in range(3 + (k == 0))]
+    got = page_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect()
+    assert {(r.doc_id, r.lang) for r in got} == {(r[0], r[2]) for r in rows}
+
+
+def test_many_copies_get_their_scores_in_parts(spark, monkeypatch):
+    from talweg.llm import keyword_pages as kp
+
+    rows, _ = corpus()
+    df = spark.createDataFrame(rows + [(5000 + i, rows[7][1], "en") for i in range(50)], "doc_id long, text string, lang string")
+    want = sorted(map(tuple, page_scores(df, "doc_id", "text", "lang").collect()))
+    monkeypatch.setattr(kp, "HOT_COPIES", 7)
+    assert sorted(map(tuple, page_scores(df, "doc_id", "text", "lang").collect())) == want
 
 
 def test_language(spark):
