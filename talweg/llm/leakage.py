@@ -6,7 +6,7 @@ import html
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -123,18 +123,18 @@ class Passages:
             self.alphabet[word] = chr(n + 0x800 * (n >= 0xD800))
         return self.alphabet[word]
 
-    def scan(self, words: list[str], starts: Sequence[int], ends: Sequence[int]) -> Iterator[tuple[int, int, int, int]]:
-        """(item, words of it that stand in the text in long enough runs, first offset, last offset)."""
+    def scan(self, words: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """(item, words of it that stand in the text in long enough runs, first offset, last offset), from ``words_of`` a text."""
         if self.empty or len(words) < self.least:
             return
         get = self.alphabet.get
-        line = "".join([get(w, "\x00") for w in words])
+        line = "".join([get(w, "\x00") for w, _, _ in words])
         seen: dict[int, set[int]] = defaultdict(set)
         span: dict[int, list[int]] = {}
         for end, (width, places) in self.automaton.iter(line):
             for item, i in places:
                 seen[item].update(range(i, i + width))
-                lo, hi = int(starts[end - width + 1]), int(ends[end])
+                lo, hi = words[end - width + 1][1], words[end][2]
                 s = span.setdefault(item, [lo, hi])
                 s[0], s[1] = min(s[0], lo), max(s[1], hi)
         for item, got in seen.items():
@@ -174,18 +174,22 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     of_block = lambda k: [(r["i"], r["p"]) for r in listed.filter(F.pmod(F.xxhash64("i"), F.lit(count)) == k).collect()]
     blocks = [spark.sparkContext.broadcast(of_block(k)) for k in range(count)]
 
-    def found(known: Passages, texts: list[tuple]) -> pd.DataFrame:
+    def found(known: Passages, texts: Iterable[tuple]) -> pd.DataFrame:
         out = []
-        for d, line, starts, ends in texts:
-            for item, n, lo, hi in known.scan(line.split("\x00") if line else [], starts, ends):
+        for d, words in texts:
+            for item, n, lo, hi in known.scan(words):
                 if n >= share * known.lengths[item]:
                     out.append((d, item, n / known.lengths[item], lo, hi))
         return pd.DataFrame(out, columns=["doc_id", "item_id", "share", "first", "last"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        only = Passages(blocks[0].value, run, short) if len(blocks) == 1 else None
-        for texts in _held(batches, min(hold_chars, 1 << 20) if only else hold_chars):
+        if len(blocks) == 1:
+            only = Passages(blocks[0].value, run, short)
+            for b in batches:
+                yield found(only, ((d, words_of(t)) for d, t in zip(b["doc_id"], b["text"])))
+            return
+        for texts in _held(batches, hold_chars):
             for b in blocks:
-                yield found(only or Passages(b.value, run, short), texts)
+                yield found(Passages(b.value, run, short), ((d, list(zip(line.split("\x00"), starts.tolist(), ends.tolist())) if line else []) for d, line, starts, ends in texts))
 
     return docs.mapInPandas(scan, f"doc_id {ids[1]}, item_id {ids[0]}, share double, first int, last int")
