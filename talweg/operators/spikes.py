@@ -18,9 +18,10 @@ IMPOSSIBLE, SPIKE, STUCK, MEAN_OFF = "impossible", "spike", "stuck", "mean_off"
 NORMAL_99 = 2.5758
 #: Days of a source that one filter goes through, and those it goes through before, to find the level.
 SEGMENT, WARM_UP = 64, 2
-#: Width of the bins of hourly changes, in their logarithm, and the mark of the rows with sums.
-_BIN, _MOMENTS = 0.005, -99_999
-
+#: Width of the bins of hourly changes, in their logarithm, the size under which all changes are one, and the mark of the rows with sums.
+_BIN, _LEAST, _MOMENTS = 0.02, 0.005, -99_999
+#: Rows that a task takes at a time, and bins it counts in before it hands them on.
+_ROWS, _KEYS = 40_000, 1_000_000
 
 
 
@@ -169,6 +170,19 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return out
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Several batches as one, as each call of NumPy costs about the same for few rows."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if len(b):
+            held.append(b)
+        if sum(map(len, held)) >= _ROWS:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def source_norms(rows: DataFrame, ceiling: float, stuck_hours: int) -> tuple[DataFrame, DataFrame]:
     """Per source what is normal: (level offset and share of days with a long repeat), (usual innovation, gain, changes seen).
 
@@ -195,7 +209,15 @@ def source_norms(rows: DataFrame, ceiling: float, stuck_hours: int) -> tuple[Dat
     levels = Scratch(rows.sparkSession).save(levels.select("source", F.coalesce(offset, F.lit(1e-4)).alias("offset"), "long_share"), "levels")
 
     def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        known: dict[str, int] = {}
+        keys, counts, sums = np.empty(0, "i8"), np.empty(0, "i8"), np.empty((3, 0))
+
+        def told() -> Iterator[pd.DataFrame]:
+            names = np.array(list(known), dtype=object)
+            yield pd.DataFrame({"source": names[keys // 100_000], "bin": keys % 100_000 - 50_000, "n": counts, "var": 0.0, "cov": 0.0})
+            yield pd.DataFrame({"source": names, "bin": _MOMENTS, "n": sums[0].astype("i8"), "var": sums[1], "cov": sums[2]})
+
+        for b in _gathered(batches):
             x = _matrix(b["hours"])
             ok = np.isfinite(x) & (x >= 0) & (x < ceiling)
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -203,12 +225,20 @@ def source_norms(rows: DataFrame, ceiling: float, stuck_hours: int) -> tuple[Dat
             one, two = step[:, :-1], step[:, 1:]
             both = (np.abs(one) < 0.5) & (np.abs(two) < 0.5)
             names, code = np.unique(b["source"].to_numpy(), return_inverse=True)
+            code = np.array([known.setdefault(x, len(known)) for x in names], "i8")[code]
             row, col = np.nonzero(~np.isnan(two))
-            bins = np.floor(np.log(np.maximum(np.abs(two[row, col]), 1e-9)) / _BIN).astype("i8")
-            keys, n = np.unique(code[row] * 100_000 + (bins + 50_000), return_counts=True)
-            yield pd.DataFrame({"source": names[keys // 100_000], "bin": keys % 100_000 - 50_000, "n": n, "var": 0.0, "cov": 0.0})
-            sums = [np.bincount(code, weights=np.where(both, y, 0.0).sum(axis=1), minlength=len(names)) for y in (both, one * one, one * two)]
-            yield pd.DataFrame({"source": names, "bin": _MOMENTS, "n": sums[0].astype("i8"), "var": sums[1], "cov": sums[2]})
+            bins = np.floor(np.log(np.maximum(np.abs(two[row, col]), _LEAST)) / _BIN).astype("i8")
+            new, n = np.unique(code[row] * 100_000 + (bins + 50_000), return_counts=True)
+            keys, at = np.unique(np.r_[keys, new], return_inverse=True)
+            counts = np.bincount(at, weights=np.r_[counts, n], minlength=len(keys)).astype("i8")
+            part = np.stack([np.bincount(code, weights=np.where(both, y, 0.0).sum(axis=1), minlength=len(known)) for y in (both, one * one, one * two)])
+            part[:, : sums.shape[1]] += sums
+            sums = part
+            if len(keys) > _KEYS:
+                yield from told()
+                known.clear()
+                keys, counts, sums = np.empty(0, "i8"), np.empty(0, "i8"), np.empty((3, 0))
+        yield from told()
 
     own = sized_join(rows.filter((F.size("hours") >= 3) & F.col("source").isNotNull()).select("source", "hours"), levels, ["source"])
     parts = own.mapInPandas(changes, "source string, bin long, n long, var double, cov double").groupBy("source", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "var", "cov")])
@@ -258,9 +288,7 @@ def implausible(rows: DataFrame, source: str, row_id: str, hours: str, daily: st
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         days = _Days(threshold, spike_hours)
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _gathered(batches):
             x = _matrix(b["hours"])
             length = np.array([0 if a is None else len(a) for a in b["hours"]])
             there = np.arange(x.shape[1])[None, :] < length[:, None]
