@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talweg.functions.common import sized_join
+from talweg.session import Scratch
+
 MATCHES = ("simple", "partial", "full")
 
 
@@ -34,7 +37,7 @@ def reference_states(refs: DataFrame, parents: DataFrame, keys: dict[str, str],
     whatever they are called; only a column ``ref_state`` is replaced.
 
     The keys of the references are made distinct before they meet the parents, so a key that a third of all rows refer to
-    takes part once; only the keys found broken are joined back.
+    takes part once; only the keys found broken are joined back, by broadcast or with the rows salted.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
@@ -62,9 +65,10 @@ def reference_states(refs: DataFrame, parents: DataFrame, keys: dict[str, str],
             .agg(F.min(F.coalesce(F.col("__ref_gone"), F.lit(False))).alias("__ref_gone"), F.min("__ref_pt").alias("__ref_seen"), F.lit(True).alias("__ref_held"))
         )
         broken = asked.join(held, names, "left").filter(F.col("__ref_held").isNull() | F.col("__ref_gone") | (F.col("__ref_seen") > F.col("__ref_first_ref"))).drop("__ref_first_ref")
-        on = reduce(lambda a, b: a & b, [own[k] == broken[n] for k, n in zip(used, names)])
+        broken = Scratch(refs.sparkSession).save(broken, "broken")
         state = F.when(F.col("__ref_held").isNull(), "missing").when(F.col("__ref_gone"), "deleted").when(F.col("__ref_seen") > time, "late")
-        parts.append(own.join(broken, on, "inner").withColumn("ref_state", state).filter(F.col("ref_state").isNotNull()).select(*out_cols, "ref_state"))
+        keyed = own.withColumns({n: F.col(k) for k, n in zip(used, names)})
+        parts.append(sized_join(keyed, broken, names).withColumn("ref_state", state).filter(F.col("ref_state").isNotNull()).select(*out_cols, "ref_state"))
     if not parts:
         return refs.limit(0).withColumn("ref_state", F.lit(None).cast("string"))
     return reduce(DataFrame.unionByName, parts)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.functions.common import whole_number
+from talweg.functions.common import station_id, whole_number
 from talweg.operators.flowlines import downstream_links, reach_status
 from talweg.operators.hierarchy import descendants, hierarchy
 from talweg.operators.references import count_by_period, reference_states
 from talweg.operators.spatial import near, within
 from talweg.operators.spikes import implausible
+from talweg.plans.views import _pad
 from talweg.sources.tables import table
 
 NEAR_M = 1000.0
@@ -56,6 +57,29 @@ def p3_by_month(spark: SparkSession, folder: str) -> DataFrame:
     return count_by_period(p3_states(spark, folder), "src_table", "ref_time")
 
 
+def _outlet_references(spark: SparkSession, folder: str, match: str) -> DataFrame:
+    """Stations with the reach they name, looked up by both in the outlets of the subgraphs; a station may name no reach."""
+    reach = lambda c: F.when(c > 0, c)
+    refs = table(spark, folder, "gages").select("row_id", station_id("staid").alias("station"), reach(F.col("comid")).alias("reach"), "loaded_at")
+    held = table(spark, folder, "gage_subgraphs").select(station_id("staid").alias("station"), reach(whole_number("gage_catchment")).alias("outlet"), F.col("loaded_at").alias("seen"))
+    return reference_states(refs, held, {"station": "station", "reach": "outlet"}, match, "loaded_at", "seen").select("row_id", "ref_state")
+
+
+def p3_partial(spark: SparkSession, folder: str) -> DataFrame:
+    """References of two columns under MATCH PARTIAL: a station without a reach must be found by its id alone."""
+    return _outlet_references(spark, folder, "partial")
+
+
+def p3_full(spark: SparkSession, folder: str) -> DataFrame:
+    """The same under MATCH FULL: a station without a reach is a broken reference."""
+    return _outlet_references(spark, folder, "full")
+
+
+def p3_simple(spark: SparkSession, folder: str) -> DataFrame:
+    """The same under MATCH SIMPLE: a station without a reach is no reference."""
+    return _outlet_references(spark, folder, "simple")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows with spikes, stuck values, impossible readings or a wrong daily mean."""
     return p4_reasons(spark, folder).select("row_id")
@@ -63,8 +87,6 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """The same rows with what is wrong in them."""
-    from talweg.functions.common import station_id
-
     rows = table(spark, folder, "pretrain_rows").select("row_id", station_id("staid").alias("station"), "day_index", "target_hourly_m3s", "daily_q_m3s")
     return implausible(rows, "station", "row_id", "target_hourly_m3s", "daily_q_m3s", "day_index")
 
@@ -100,7 +122,7 @@ def p5_rounds(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy(links, "comid", "parent", finish_nodes=0, sizes=True).select(F.col("id").alias("comid"), F.col("root").alias("root_comid"), "hops", (F.col("size") - 1).alias("n_above"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_near, p3_found, p3_by_month, p4_found, p4_reasons, p5_found, p5_paths, p5_upstream, p5_descendants, p5_rounds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_near, p3_found, p3_by_month, p3_simple, p3_partial, p3_full, p4_found, p4_reasons, p5_found, p5_paths, p5_upstream, p5_descendants, p5_rounds)}
 
 _STATUS = """
 cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY comid ORDER BY loaded_at DESC, fid DESC) AS rn,
@@ -117,6 +139,14 @@ states AS (SELECT src_table, row_key, ref_time, CASE WHEN c.comid IS NULL THEN '
                   WHEN c.first_seen > ref_time THEN 'late' END AS ref_state
            FROM refs LEFT JOIN cur c ON target = c.comid WHERE target > 0)"""
 
+_OUTLETS = """subs AS (SELECT staid, loaded_at, try_cast(CASE WHEN regexp_full_match(trim(gage_catchment), '[+-]?[0-9]{1,3}(,[0-9]{3})+') THEN replace(gage_catchment, ',', '')
+                              ELSE trim(gage_catchment) END AS DOUBLE) AS t FROM gage_subgraphs),
+held AS (SELECT {pad_staid} AS s, CASE WHEN t > 0 THEN CAST(t AS BIGINT) END AS o, loaded_at AS seen FROM subs),
+refs AS (SELECT row_id, {pad_staid} AS s, CASE WHEN comid > 0 THEN comid END AS c, loaded_at AS told FROM gages),
+both_keys AS (SELECT s, o, min(seen) AS seen FROM held WHERE o IS NOT NULL GROUP BY s, o), one_key AS (SELECT s, min(seen) AS seen FROM held GROUP BY s),
+whole AS (SELECT row_id, CASE WHEN h.s IS NULL THEN 'missing' WHEN h.seen > told THEN 'late' END AS ref_state FROM refs LEFT JOIN both_keys h ON h.s = refs.s AND h.o = refs.c WHERE c IS NOT NULL),
+part AS (SELECT row_id, CASE WHEN h.s IS NULL THEN 'missing' WHEN h.seen > told THEN 'late' END AS ref_state FROM refs LEFT JOIN one_key h ON h.s = refs.s WHERE c IS NULL)""".replace("{pad_staid}", _pad("staid"))
+
 _LINKS = f"""{_STATUS},
 named AS (SELECT u, min(comid) AS by_comid FROM (SELECT comid, unnest([up1, up2, up3, up4]) AS u FROM live) WHERE u > 0 GROUP BY u),
 want AS (SELECT l.comid, CASE WHEN l.nextdownid IS NULL THEN n.by_comid ELSE l.nextdownid END AS w FROM live l LEFT JOIN named n ON n.u = l.comid),
@@ -145,6 +175,9 @@ WITH p AS (SELECT DISTINCT row_id, lat_gage AS la, CASE WHEN lng_gage > 180 THEN
 SELECT x.row_id AS id_a, y.row_id AS id_b FROM q x JOIN r y ON x.b = y.bb AND x.row_id < y.row_id
 WHERE 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(y.la - x.la) / 2), 2) + cos(radians(x.la)) * cos(radians(y.la)) * pow(sin(radians(y.lo - x.lo) / 2), 2)))) <= 1000.0""",
     "p3_found": f"WITH {_REFS.strip()} SELECT src_table, row_key, ref_state FROM states WHERE ref_state IS NOT NULL",
+    "p3_simple": f"WITH {_OUTLETS} SELECT * FROM whole WHERE ref_state IS NOT NULL",
+    "p3_partial": f"WITH {_OUTLETS} SELECT * FROM whole WHERE ref_state IS NOT NULL UNION ALL SELECT * FROM part WHERE ref_state IS NOT NULL",
+    "p3_full": f"WITH {_OUTLETS} SELECT * FROM whole WHERE ref_state IS NOT NULL UNION ALL SELECT row_id, 'mixed' FROM part",
     "p3_by_month": f"WITH {_REFS.strip()} SELECT src_table, CAST(date_trunc('month', ref_time) AS DATE) AS period, ref_state, count(*) AS n FROM states WHERE ref_state IS NOT NULL GROUP BY ALL",
     "p5_found": f"{_FOUND} SELECT comid, root_comid, hops FROM found",
     "p5_paths": f"""{_TREE},
