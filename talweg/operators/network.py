@@ -216,18 +216,27 @@ def subdivided_edges(plan: DataFrame, links: DataFrame) -> DataFrame:
     return inner.unionByName(outer)
 
 
-def pack_conflicts(pairs: list[tuple[int, int]], sizes: dict[int, float]) -> dict[int, int]:
-    """First-fit-decreasing rounds for probes, no two conflicting ones in a round. For the few hundred probes of a plan; on the driver."""
-    clash: dict[int, set[int]] = {k: set() for k in sizes}
-    for a, b in pairs:
-        clash.setdefault(a, set()).add(b)
-        clash.setdefault(b, set()).add(a)
-    rounds: list[set[int]] = []
-    out: dict[int, int] = {}
-    for k in sorted(clash, key=lambda k: (-sizes.get(k, 0), k)):
-        at = next((i for i, r in enumerate(rounds) if not r & clash[k]), len(rounds))
-        if at == len(rounds):
-            rounds.append(set())
-        rounds[at].add(k)
-        out[k] = at
-    return out
+def conflict_rounds(conflicts: DataFrame, nodes: DataFrame, size: str = "size") -> DataFrame:
+    """(node, round): no two nodes in conflict (a, b) share a round. Any number of nodes, larger ones first.
+
+    Independent sets: of the nodes without a round those that come before all their open neighbours, by size and then by a
+    hash, take at once the first round that no neighbour has. Only numbers of rows reach the driver.
+    """
+    from talweg.session import Scratch
+
+    scratch = Scratch(nodes.sparkSession)
+    both = conflicts.filter("a <> b").select("a", "b").union(conflicts.filter("a <> b").select("b", "a")).distinct()
+    both = scratch.save(both.toDF("node", "other"), "both")
+    rank = F.struct(F.col(size).cast("double").alias("s"), F.xxhash64("node").alias("h"), F.col("node").alias("i"))
+    left = scratch.save(nodes.groupBy("node").agg(F.max(size).alias(size)).select("node", rank.alias("rank"), F.lit(None).cast("int").alias("round")), "open0")
+    k = 0
+    while left.filter("round is null").limit(1).count():
+        k += 1
+        near = both.join(left.select(F.col("node").alias("other"), F.col("rank").alias("_r"), F.col("round").alias("_t")), "other")
+        seen = near.groupBy("node").agg(F.max(F.when(F.col("_t").isNull(), F.col("_r"))).alias("_open"), F.array_sort(F.collect_set("_t")).alias("_taken"))
+        taken = F.coalesce("_taken", F.array().cast("array<int>"))
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(taken)), taken))
+        first = F.col("_open").isNull() | (F.col("rank") > F.col("_open"))
+        left = scratch.save(left.join(seen, "node", "left").select("node", "rank", F.coalesce("round", F.when(first, free)).alias("round")), f"open{k}")
+        scratch.drop(f"open{k - 1}")
+    return left.select("node", "round")

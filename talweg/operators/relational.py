@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talweg.functions.ranks import row_ranks
+from talweg.session import Scratch
+
 
 def hits_and_misses(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Every requested id with ``found``."""
@@ -84,13 +87,16 @@ def differences(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 def stratified_split(rows: DataFrame, key: str, size: str, seed: int = 42) -> DataFrame:
     """(key, tercile, split): terciles by size, in each the first 10 % of a seeded order to val, the next 20 % to test, the rest to train.
 
-    A list of gauges; the terciles come from ranks over the whole list.
+    The ranks over the whole table and those inside a tercile both come by ranges, so no task holds more than one.
     """
-    n = rows.agg(F.count("*").alias("_n"))
-    rank = F.row_number().over(Window.orderBy(size, key))
-    t = rows.select(key, size).crossJoin(n).withColumn("tercile", F.floor((rank - 1) / F.ceil(F.col("_n") / 3)).cast("int"))
-    w = Window.partitionBy("tercile").orderBy(F.sha2(F.concat_ws("|", F.col(key), F.lit(str(seed))), 256), key)
-    m = F.count("*").over(Window.partitionBy("tercile"))
-    i, n_val, n_test = F.row_number().over(w), F.round(m * 0.10), F.round(m * 0.20)
+    scratch = Scratch(rows.sparkSession)
+    own = scratch.save(rows.select(key, size), "own")
+    third = -(-own.count() // 3) or 1
+    t = row_ranks(own, [size, key]).select(key, F.floor(F.col("rank") / third).cast("int").alias("tercile"))
+    t = scratch.save(t.withColumn("_o", F.sha2(F.concat_ws("|", F.col(key), F.lit(str(seed))), 256)), "terciles")
+    sizes = t.groupBy("tercile").agg(F.count("*").alias("_m"))  # three rows
+    starts = sizes.withColumn("_s", F.coalesce(F.sum("_m").over(Window.orderBy("tercile").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    i = F.col("rank") - F.col("_s") + 1
+    n_val, n_test = F.round(F.col("_m") * 0.10), F.round(F.col("_m") * 0.20)
     split = F.when(i <= n_val, "val").when(i <= n_val + n_test, "test").otherwise("train")
-    return t.select(key, "tercile", split.alias("split"))
+    return row_ranks(t, ["tercile", "_o", key]).join(F.broadcast(starts), "tercile").select(key, "tercile", split.alias("split"))

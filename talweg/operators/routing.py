@@ -35,13 +35,18 @@ def _matrix(rows: pd.DataFrame, ids: pd.Index, steps: int, value: str) -> np.nda
 
 
 def route_group(reaches: pd.DataFrame, forcing: pd.DataFrame, steps: int, **options) -> pd.DataFrame:
-    """Route one group of reaches; ``forcing`` has rows (comid, t, q_lateral, q_boundary)."""
+    """Route one group of reaches; ``forcing`` has rows (comid, t, q_lateral, q_boundary). A column ``q_start`` of the reaches is the state to start from; with a boolean column ``keep`` only the flow of those reaches comes out."""
     if not len(reaches):
         return pd.DataFrame({"comid": [], "t": [], "q": []})
     ids, net, own = _arrays(reaches)
     forcing = forcing.fillna({"q_lateral": 0.0, "q_boundary": 0.0})
+    if "q_start" in reaches:
+        options = options | {"start": reaches.set_index("comid")["q_start"].reindex(ids).to_numpy("f8")}
     qs = route(net, _matrix(forcing, ids, steps, "q_lateral"), own["params"], own["length"], own["slope"], pieces=own["pieces"], boundary=_matrix(forcing, ids, steps, "q_boundary"), **options)
     q = np.stack([x.value for x in qs])
+    if "keep" in reaches:
+        kept = reaches.set_index("comid")["keep"].reindex(ids).to_numpy(bool)
+        ids, q = ids[kept], q[:, kept]
     return pd.DataFrame({"comid": np.tile(ids.to_numpy(), steps), "t": np.repeat(np.arange(steps), len(ids)), "q": q.ravel()})
 
 
@@ -61,6 +66,30 @@ def route_basins(reaches: DataFrame, forcing: DataFrame, steps: int, basin: str
     return reaches.groupBy("_group").cogroup(keyed.groupBy("_to")).applyInPandas(fn, OUT)
 
 
+def route_chunks(reaches: DataFrame, forcing: DataFrame, steps: int, chunk: int, keep: DataFrame | None = None, **options) -> DataFrame:
+    """(comid, t, q) of ``route_basins``, ``chunk`` hours at a time: the state at the end of a chunk starts the next, so a run of years needs the memory of a chunk.
+
+    ``keep`` (comid): whose flow is kept; of the others only the last hour of a chunk is written.
+    """
+    scratch = Scratch(reaches.sparkSession)
+    own = reaches.withColumn("keep", F.lit(True))
+    names: list[str] = []
+    state: DataFrame | None = None
+    for first in range(0, steps, chunk):
+        begin, end = max(first - 1, 0), min(first + chunk, steps)
+        part = forcing.filter((F.col("t") >= begin) & (F.col("t") < end)).withColumn("t", F.col("t") - begin)
+        net = own if state is None else own.join(state, "comid")
+        got = route_basins(net, part, end - begin, **options).withColumn("t", F.col("t") + begin).filter(F.col("t") >= first)
+        got = scratch.save(got, f"whole{first}")
+        state = scratch.save(got.filter(F.col("t") == end - 1).select("comid", F.col("q").alias("q_start")), f"state{first}")
+        names.append(f"whole{first}")
+        if keep is not None:
+            scratch.save(got.join(keep.select("comid").distinct(), "comid", "left_semi"), f"kept{first}")
+            scratch.drop(f"whole{first}")
+            names[-1] = f"kept{first}"
+    return scratch.read(*names, schema=OUT) if names else reaches.sparkSession.createDataFrame([], OUT)
+
+
 def bands(paths: DataFrame, height: int) -> DataFrame:
     """(comid, band, part): sub-basins of at most ``height`` reaches in depth. Band b holds the reaches b * height or more, under (b + 1) * height, steps from the outlet."""
     good = paths.filter("hops >= 0")
@@ -113,16 +142,18 @@ def gauge_flow(flow: DataFrame, outlets: DataFrame) -> DataFrame:
 def route_variants(reaches: DataFrame, forcing: DataFrame, steps: int, variants: DataFrame, basin: str = "basin", **options) -> DataFrame:
     """(variant, comid, t, q): the network routed once per variant, all of them in one job.
 
-    ``variants`` (variant long, comid, n_factor): per variant the reaches whose roughness is scaled; a null comid scales
-    all. A list of bounded size, written by hand or by a plan. A reach gets a number of its own in each variant.
+    ``variants`` (variant long, comid, n_factor[, p_factor]): per variant the reaches whose roughness is scaled; a null comid
+    scales all, there also the width parameter if ``p_factor`` is given. A list of bounded size, written by hand or by a plan. A reach gets a number of its own in each variant.
     """
     listed = variants.select("variant").distinct()
     width = reaches.agg(F.max("comid")).first()[0] + 1
     own = reaches.crossJoin(F.broadcast(listed))
     scale = variants.filter("comid is not null").groupBy("variant", "comid").agg(F.max("n_factor").alias("_f"))
-    whole = variants.filter("comid is null").groupBy("variant").agg(F.max("n_factor").alias("_w"))
+    wide = F.max("p_factor") if "p_factor" in variants.columns else F.lit(1.0)
+    whole = variants.filter("comid is null").groupBy("variant").agg(F.max("n_factor").alias("_w"), wide.alias("_p"))
+    p = F.col("p_spatial") if "p_spatial" in reaches.columns else F.lit(FROZEN["p_spatial"])
     n = F.col("n") if "n" in reaches.columns else F.lit(FROZEN["n"])
-    own = own.join(scale, ["variant", "comid"], "left").join(F.broadcast(whole), "variant", "left").withColumn("n", n * F.coalesce("_f", "_w", F.lit(1.0))).drop("_f", "_w")
+    own = own.join(scale, ["variant", "comid"], "left").join(F.broadcast(whole), "variant", "left").withColumns({"n": n * F.coalesce("_f", "_w", F.lit(1.0)), "p_spatial": p * F.coalesce("_p", F.lit(1.0))}).drop("_f", "_w", "_p")
     shift = F.col("variant") * width
     own = own.withColumns({"comid": F.col("comid") + shift, "parent": F.col("parent") + shift, basin: F.struct(F.col("variant"), F.col(basin)).cast("string")})
     drive = forcing.crossJoin(F.broadcast(listed)).withColumn("comid", F.col("comid") + shift).drop("variant")

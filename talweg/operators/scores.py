@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.functions.common import safe_div
+from talweg.functions.ranks import value_ranks
+from talweg.session import Scratch
 
 
 def finite_pairs(rows: DataFrame, pred: str = "pred", obs: str = "obs") -> DataFrame:
@@ -59,6 +61,16 @@ def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return rows.select(*by, rank(a).alias("_a"), rank(b).alias("_b")).groupBy(*by).agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
 
 
+def spearman_of_all(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(rho, n) over the whole table, with average ranks for ties: ranks come by ranges of the values, so no task holds all rows. Rows with a null do not count."""
+    scratch = Scratch(rows.sparkSession)
+    own = scratch.save(rows.select(F.col(a).alias("_va"), F.col(b).alias("_vb")).filter("_va is not null and _vb is not null"), "pairs")
+    for c in ("_va", "_vb"):
+        r = value_ranks(own.select(c), [], c).select(c, (F.col("before") + (F.col("count") + 1) / 2).alias(f"{c}_rank"))
+        own = own.join(r, c)
+    return own.agg(F.corr("_va_rank", "_vb_rank").alias("rho"), F.count("*").alias("n"))
+
+
 def hydrograph_loss(eps: float = 0.1, nnse_weight: float = 1.0, kge_weight: float = 1.0) -> Column:
     """Weighted 1 - NNSE and 1 - KGE of one group, from ``moments``, with ``eps`` in the denominators."""
     sp, so = F.sqrt(F.col("vp") + eps), F.sqrt(F.col("vo") + eps)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talweg.functions.common import sized_join
+from talweg.session import Scratch
+
 
 def day_axis(first: Column, last: Column) -> Column:
     """The inclusive daily axis as an array."""
@@ -56,10 +59,10 @@ def area_pool(cells: DataFrame, by: str, pos: str, value: str, n_bins: int) -> D
 
 def standardise(rows: DataFrame, by: str, value: str, out: str = "z", log: bool = False) -> DataFrame:
     """Adds the z-score within the group, of log1p if asked; 0 where the deviation is under 1e-6."""
-    w = Window.partitionBy(by)
     x = F.log1p(value) if log else F.col(value)
-    sd = F.stddev_pop(x).over(w)
-    return rows.withColumn(out, F.when(sd < 1e-6, 0.0).otherwise((x - F.avg(x).over(w)) / F.when(sd >= 1e-6, sd)))
+    norms = Scratch(rows.sparkSession).save(rows.groupBy(by).agg(F.stddev_pop(x).alias("_sd"), F.avg(x).alias("_mean")), "norms")
+    got = sized_join(rows, norms, [by], "left")
+    return got.withColumn(out, F.when(F.col("_sd") < 1e-6, 0.0).otherwise((x - F.col("_mean")) / F.when(F.col("_sd") >= 1e-6, F.col("_sd")))).drop("_sd", "_mean")
 
 
 def day_runs(days: DataFrame, by: str, day: str, length: int) -> DataFrame:

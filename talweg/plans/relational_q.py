@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import physics as ph
 from talweg.functions.common import finite, station_id
+from talweg.functions.ranks import interpolated, order_statistics
 from talweg.operators import relational as rel
 from talweg.plans import views as v
 from talweg.sources.tables import table
@@ -146,7 +147,7 @@ def x23_decode(spark: S, d: str) -> DataFrame:
 
 def x24_power_law_n(spark: S, d: str) -> DataFrame:
     a = v.attributes(spark, d).select("comid", finite("log10_uparea").alias("x")).filter("x > -100")
-    e = a.agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("e"))
+    e = order_statistics(a, [], "x", {"lo": interpolated(0.01), "hi": interpolated(0.99)}).select(F.array("lo", "hi").alias("e"))
     y = F.log10(F.lit(0.15)) + (F.col("x") - F.col("e")[0]) * (F.log10(F.lit(0.015)) - F.log10(F.lit(0.15))) / (F.col("e")[1] - F.col("e")[0])
     return a.crossJoin(F.broadcast(e)).select("comid", F.greatest(F.lit(0.015), F.least(F.lit(0.15), F.pow(F.lit(10.0), y))).alias("n"))
 
@@ -380,7 +381,7 @@ def l10_probe_sample(spark: S, d: str) -> DataFrame:
 
 def l11_terciles(spark: S, d: str) -> DataFrame:
     a = v.attributes(spark, d).select("comid", finite("log10_uparea").alias("x")).filter("x > -100")
-    e = a.agg(F.percentile("x", F.array(F.lit(0.33), F.lit(0.67))).alias("e"))
+    e = order_statistics(a, [], "x", {"lo": interpolated(0.33), "hi": interpolated(0.67)}).select(F.array("lo", "hi").alias("e"))
     return a.crossJoin(F.broadcast(e)).select("comid", F.when(F.col("x") <= F.col("e")[0], 0).when(F.col("x") <= F.col("e")[1], 1).otherwise(2).alias("tercile"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talweg.functions.common import finite, nearest_rank, rank_pick, safe_div, station_id, upper_median
+from talweg.functions.common import finite, safe_div, station_id
+from talweg.functions.ranks import interpolated, nearest, order_statistics, upper_middle
 from talweg.operators import scores as sc
 from talweg.operators import series as se
 from talweg.operators.network import summed_above
@@ -13,6 +14,7 @@ from talweg.operators.relational import differences
 from talweg.plans import views as v
 from talweg.plans.network_q import _GAUGE, _gauge_reach, reach_paths
 from talweg.plans.relational_q import _CLEAN, _clean_days
+from talweg.session import Scratch
 from talweg.sources.tables import table
 
 S = SparkSession
@@ -55,16 +57,18 @@ def _metric_lists(spark: S, d: str) -> DataFrame:
 
 
 def a9_summary(spark: S, d: str) -> DataFrame:
-    g = _metric_lists(spark, d).groupBy("metric").agg(F.avg("x").alias("mean"), F.count("*").alias("n"), F.collect_list("x").alias("l"))
-    return g.select("metric", "mean", "n", *[nearest_rank(F.col("l"), p).alias(c) for c, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))])
+    m = Scratch(spark).save(_metric_lists(spark, d), "metrics")
+    return order_statistics(m, ["metric"], "x", {"q25": nearest(0.25), "median": nearest(0.5), "q75": nearest(0.75)}).join(m.groupBy("metric").agg(F.avg("x").alias("mean")), "metric")
 
 
 def a10_run_summary(spark: S, d: str) -> DataFrame:
-    return _metric_lists(spark, d).groupBy("metric").agg(upper_median(F.collect_list("x")).alias("median"), F.avg("x").alias("mean"), F.count("*").alias("n"))
+    m = Scratch(spark).save(_metric_lists(spark, d), "metrics")
+    return order_statistics(m, ["metric"], "x", {"median": upper_middle}).join(m.groupBy("metric").agg(F.avg("x").alias("mean")), "metric")
 
 
 def a11_floor_share(spark: S, d: str) -> DataFrame:
-    return v.reach(spark, d).agg(F.median("length_m").alias("median"), F.avg((F.col("length_m") <= 500).cast("double")).alias("at_floor"))
+    share = v.reach(spark, d).agg(F.avg((F.col("length_m") <= 500).cast("double")).alias("at_floor"))
+    return order_statistics(v.reach(spark, d), [], "length_m", {"median": interpolated(0.5)}).drop("n").crossJoin(F.broadcast(share))
 
 
 def a12_observation_spread(spark: S, d: str) -> DataFrame:
@@ -113,8 +117,10 @@ def a20_component_loss(spark: S, d: str) -> DataFrame:
 def a21_reconciliation(spark: S, d: str) -> DataFrame:
     """Per station the upper median of the ratio, the correlation, the days in common and whether it is kept."""
     p = v.pairs(spark, d).filter("pred > 0 and obs > 0")
-    g = p.groupBy("staid").agg(upper_median(F.collect_list(F.col("pred") / F.col("obs"))).alias("m"), F.corr("pred", "obs").alias("r"), F.var_pop("pred").alias("vp"), F.var_pop("obs").alias("vo"), F.count("*").alias("n_overlap_days"))
+    p = Scratch(spark).save(p.withColumn("ratio", F.col("pred") / F.col("obs")), "ratios")
+    g = p.groupBy("staid").agg(F.corr("pred", "obs").alias("r"), F.var_pop("pred").alias("vp"), F.var_pop("obs").alias("vo"), F.count("*").alias("n_overlap_days"))
     r = F.when((F.col("vp") <= 0) | (F.col("vo") <= 0), 0.0).otherwise(F.col("r"))
+    g = g.join(order_statistics(p, ["staid"], "ratio", {"m": upper_middle}).drop("n"), "staid")
     enough = F.col("n_overlap_days") >= 30
     g = g.select("staid", F.when(enough, F.col("m")).alias("median_ratio"), F.when(enough, r).alias("correlation"), "n_overlap_days")
     return g.withColumn("is_kept", F.coalesce(F.col("median_ratio").between(0.9, 1.1) & (F.col("correlation") >= 0.9), F.lit(False)))
@@ -170,8 +176,7 @@ def a29_relative_spread(spark: S, d: str) -> DataFrame:
 
 def a30_percentiles(spark: S, d: str) -> DataFrame:
     a = v.attributes(spark, d).select("zone_id", finite("aridity").alias("x")).filter("x is not null")
-    g = a.groupBy("zone_id").agg(F.percentile("x", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("q"))
-    return g.select("zone_id", *[F.col("q")[i].alias(n) for i, n in enumerate(("p5", "p25", "p50", "p75", "p95"))])
+    return order_statistics(a, ["zone_id"], "x", {f"p{p}": interpolated(p / 100) for p in (5, 25, 50, 75, 95)}).drop("n")
 
 
 def _profile(spark: S, d: str) -> DataFrame:
@@ -179,13 +184,16 @@ def _profile(spark: S, d: str) -> DataFrame:
 
 
 def _edges_of(p: DataFrame, n: int) -> DataFrame:
-    return p.agg(F.percentile("x", F.array(*[F.lit(i / n) for i in range(1, n)])).alias("e"))
+    names = {f"e{i}": interpolated(i / n) for i in range(1, n)}
+    return order_statistics(p, [], "x", names).select(F.array(*names).alias("e"))
 
 
 def a31_binned_profile(spark: S, d: str) -> DataFrame:
     p = _profile(spark, d)
     b = p.crossJoin(F.broadcast(_edges_of(p, 10))).withColumn("bin", F.size(F.filter("e", lambda e: e <= F.col("x"))))
-    return b.groupBy("bin").agg(F.median("x").alias("x_median"), F.median("y").alias("y_median"), F.count("*").alias("n"))
+    b = Scratch(spark).save(b, "bins")
+    middle = lambda c: order_statistics(b, ["bin"], c, {f"{c}_median": interpolated(0.5)})
+    return middle("x").join(middle("y").drop("n"), "bin")
 
 
 def a32_loglog_slope(spark: S, d: str) -> DataFrame:
@@ -223,7 +231,7 @@ def a35_concentration(spark: S, d: str) -> DataFrame:
 def a36_quintile_medians(spark: S, d: str) -> DataFrame:
     p = _profile(spark, d)
     b = p.crossJoin(F.broadcast(_edges_of(p, 5))).withColumn("quintile", F.size(F.filter("e", lambda e: e < F.col("x"))))
-    return b.groupBy("quintile").agg(F.median("y").alias("y_median"))
+    return order_statistics(b, ["quintile"], "y", {"y_median": interpolated(0.5)}).drop("n")
 
 
 def a37_pivot(spark: S, d: str) -> DataFrame:
@@ -244,10 +252,11 @@ def a39_warmup_strata(spark: S, d: str) -> DataFrame:
     """Error by tercile of the stations' level and by warm-up."""
     p = v.pairs(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("staid").orderBy("day")))
     lv = p.groupBy("staid").agg(F.avg("obs").alias("level"))
-    e = lv.agg(F.percentile("level", F.array(F.lit(0.33), F.lit(0.66))).alias("e"))
+    e = order_statistics(lv, [], "level", {"a": interpolated(0.33), "b": interpolated(0.66)}).select(F.array("a", "b").alias("e"))
     s = lv.crossJoin(F.broadcast(e)).select("staid", F.when(F.col("level") <= F.col("e")[0], "small").when(F.col("level") <= F.col("e")[1], "mid").otherwise("large").alias("stratum"))
     w = p.join(s, "staid").withColumn("warmup", F.explode(F.array(*[F.lit(k) for k in (0, 5, 30)]))).filter("i > warmup")
-    return w.groupBy("stratum", "warmup").agg(F.avg(F.abs(F.col("pred") - F.col("obs"))).alias("mean"), F.median(F.abs(F.col("pred") - F.col("obs"))).alias("median"))
+    w = Scratch(spark).save(w.select("stratum", "warmup", F.abs(F.col("pred") - F.col("obs")).alias("x")), "errors")
+    return order_statistics(w, ["stratum", "warmup"], "x", {"median": interpolated(0.5)}).drop("n").join(w.groupBy("stratum", "warmup").agg(F.avg("x").alias("mean")), ["stratum", "warmup"])
 
 
 def a40_area_histogram(spark: S, d: str) -> DataFrame:
@@ -266,15 +275,18 @@ def a42_verdicts(spark: S, d: str) -> DataFrame:
 
 
 def a43_detection(spark: S, d: str) -> DataFrame:
-    """Is a station's mean shift above the 99th percentile of the noise of its days?"""
-    p = v.pairs(spark, d).withColumn("e", F.col("pred") - F.col("obs"))
-    m = p.groupBy("staid").agg(F.avg("e").alias("mean"), F.max(F.abs("e")).alias("peak"), F.percentile(F.abs("e"), F.lit(0.99)).alias("p99"))
-    return m.select("staid", "mean", "peak", (F.abs("mean") > F.col("p99") / 4).alias("detected"))
+    """Is a probe's mean shift above the noise of two baselines (the 99th percentile of their distance) and above 5 % of the baseline's mean?
+
+    The probe is ``pred``, the first baseline ``obs``, the second the same in steps of a tenth.
+    """
+    p = v.pairs(spark, d).withColumns({"e": F.col("pred") - F.col("obs"), "noise": F.abs(F.col("obs") - F.floor(F.col("obs") * 10) / 10)})
+    m = p.groupBy("staid").agg(F.avg("e").alias("mean"), F.max(F.abs("e")).alias("peak"), F.percentile("noise", F.lit(0.99)).alias("noise"), (F.avg("obs") * 0.05).alias("band"))
+    return m.select("staid", "mean", "peak", "noise", "band", ((F.abs("mean") > F.col("noise")) & (F.abs("mean") > F.col("band"))).alias("detected"))
 
 
 def a44_grid_medians(spark: S, d: str) -> DataFrame:
     p = _profile(spark, d).withColumns({"bx": F.floor("x"), "by": F.floor(F.col("y") * 2)})
-    return p.groupBy("bx", "by").agg(F.median("y").alias("y_median"), F.count("*").alias("n"))
+    return order_statistics(p, ["bx", "by"], "y", {"y_median": interpolated(0.5)})
 
 
 def a45_lock_differences(spark: S, d: str) -> DataFrame:
@@ -286,7 +298,7 @@ def a45_lock_differences(spark: S, d: str) -> DataFrame:
 def a46_network_medians(spark: S, d: str) -> DataFrame:
     """The median slope above each gauge, and its rank correlation with the size of its network."""
     m = _gauge_reach(spark, d).join(v.reach(spark, d).select("comid", "slope"), "comid").groupBy("staid").agg(F.median("slope").alias("m"), F.count("*").alias("k"))
-    return sc.spearman(m.withColumn("all", F.lit(0)), "m", "k", ["all"]).select("rho", "n")
+    return sc.spearman_of_all(m, "m", "k")
 
 
 def a47_plan_report(spark: S, d: str) -> DataFrame:
@@ -388,7 +400,8 @@ def t18_day_vectors(spark: S, d: str) -> DataFrame:
 def t21_decay(spark: S, d: str) -> DataFrame:
     p = v.pairs(spark, d).withColumn("day_idx", F.row_number().over(Window.partitionBy("staid").orderBy("day")) - 1)
     e = F.abs(F.col("pred") - F.col("obs"))
-    return p.groupBy("day_idx").agg(F.avg(e).alias("mean"), F.median(e).alias("median"))
+    p = Scratch(spark).save(p.select("day_idx", e.alias("x")), "errors")
+    return order_statistics(p, ["day_idx"], "x", {"median": interpolated(0.5)}).drop("n").join(p.groupBy("day_idx").agg(F.avg("x").alias("mean")), "day_idx")
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "at" and k[1].isdigit()}
@@ -454,7 +467,7 @@ SQL = {
     "a40_area_histogram": "SELECT CASE WHEN drain_sqkm <= 100 THEN '<100' WHEN drain_sqkm <= 500 THEN '100-500' WHEN drain_sqkm <= 1000 THEN '500-1k' WHEN drain_sqkm <= 5000 THEN '1k-5k' WHEN drain_sqkm <= 10000 THEN '5k-10k' ELSE '>=10k' END AS bin, count(*) AS n FROM gages GROUP BY 1",
     "a41_water_years": _P + " SELECT staid, CAST(year(day + INTERVAL 3 MONTH) AS INTEGER) AS water_year, count(obs) AS n FROM pairs GROUP BY ALL",
     "a42_verdicts": _P + ", m AS (SELECT staid, median(abs(pred / obs - 1)) AS error FROM pairs WHERE obs > 0 GROUP BY staid) SELECT staid, error, CASE WHEN error < CAST(0.1 AS DOUBLE) THEN 'recovered' WHEN error < CAST(0.5 AS DOUBLE) THEN 'partly' ELSE 'not' END AS verdict FROM m",
-    "a43_detection": _P + " SELECT staid, avg(pred - obs) AS mean, max(abs(pred - obs)) AS peak, abs(avg(pred - obs)) > quantile_cont(abs(pred - obs), 0.99) / 4 AS detected FROM pairs GROUP BY staid",
+    "a43_detection": _P + ", m AS (SELECT staid, avg(pred - obs) AS mean, max(abs(pred - obs)) AS peak, quantile_cont(abs(obs - floor(obs * 10) / 10), 0.99) AS noise, avg(obs) * CAST(0.05 AS DOUBLE) AS band FROM pairs GROUP BY staid) SELECT *, abs(mean) > noise AND abs(mean) > band AS detected FROM m",
     "a44_grid_medians": _PROF + " SELECT CAST(floor(x) AS BIGINT) AS bx, CAST(floor(y * 2) AS BIGINT) AS by, median(y) AS y_median, count(*) AS n FROM p GROUP BY 1, 2",
     "a45_lock_differences": "WITH t AS (SELECT zone_id, year(loaded_at) < 2024 AS old, CAST(count(*) AS VARCHAR) AS n FROM reach_attributes GROUP BY ALL) SELECT zone_id, a.n AS \"left\", b.n AS \"right\", CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS state FROM (SELECT * FROM t WHERE old) a FULL JOIN (SELECT * FROM t WHERE NOT old) b USING (zone_id) WHERE a.n IS DISTINCT FROM b.n",
     "a46_network_medians": _GAUGE + f", m AS (SELECT staid, median(slope) AS m, count(*) AS k FROM gr JOIN reach USING (comid) GROUP BY staid), r AS (SELECT {_AVGRANK.format(g='1', c='m')} AS a, {_AVGRANK.format(g='1', c='k')} AS b FROM m) SELECT corr(a, b) AS rho, count(*) AS n FROM r",

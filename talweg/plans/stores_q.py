@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talweg.functions.common import finite, station_id
+from talweg.functions.ranks import interpolated, order_statistics
 from talweg.operators import model as mo
 from talweg.plans import views as v
 from talweg.plans import workflow as wf
@@ -101,8 +102,7 @@ def m4_parameter_summary(spark: S, d: str) -> DataFrame:
 
     p = m1_head(spark, d).select(denormalize(F.col("n"), *RANGES["n"]).alias("n"), denormalize(F.col("q_spatial"), *RANGES["q_spatial"]).alias("q_spatial"), denormalize(F.col("p_spatial"), *RANGES["p_spatial"], True).alias("p_spatial"))
     long = p.select(F.explode(F.array(*[F.struct(F.lit(c).alias("parameter"), F.col(c).alias("x")) for c in p.columns])).alias("s")).select("s.*")
-    q = long.groupBy("parameter").agg(F.percentile("x", F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95)])).alias("q"))
-    return q.select("parameter", F.col("q")[0].alias("p5"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95"))
+    return order_statistics(long, ["parameter"], "x", {f"p{p}": interpolated(p / 100) for p in (5, 50, 95)}).drop("n")
 
 
 def s24_arrays_as_series(spark: S, d: str) -> DataFrame:

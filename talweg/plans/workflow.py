@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import json
 import shutil
 import time
 from collections.abc import Callable
@@ -61,6 +63,56 @@ class Config:
         return self
 
 
+def parse_yaml(text: str) -> dict:
+    """The part of YAML that configurations use: nested mappings by indentation, lists of scalars in brackets, scalars, comments."""
+
+    def scalar(x: str):
+        x = x.strip()
+        if x.startswith("[") and x.endswith("]"):
+            return [scalar(y) for y in x[1:-1].split(",") if y.strip()]
+        if len(x) > 1 and x[0] == x[-1] and x[0] in "\"'":
+            return x[1:-1]
+        if x.lower() in ("null", "~", ""):
+            return None
+        if x.lower() in ("true", "false"):
+            return x.lower() == "true"
+        for kind in (int, float):
+            with contextlib.suppress(ValueError):
+                return kind(x)
+        return x
+
+    root: dict = {}
+    levels: list[tuple[int, dict]] = [(-1, root)]
+    for number, line in enumerate(text.splitlines(), 1):
+        bare = line.split(" #")[0].rstrip()
+        if not bare.strip() or bare.lstrip().startswith("#"):
+            continue
+        depth = len(bare) - len(bare.lstrip())
+        key, colon, value = bare.strip().partition(":")
+        if not colon or "\t" in bare[:depth]:
+            raise ValueError(f"line {number} is no mapping: {line}")
+        while levels[-1][0] >= depth:
+            levels.pop()
+        here = levels[-1][1]
+        if key in here:
+            raise ValueError(f"line {number}: {key} is given twice")
+        if value.strip():
+            here[key] = scalar(value)
+        else:
+            here[key] = {}
+            levels.append((depth, here[key]))
+    return root
+
+
+def load_config(path: str, mode: str | None = None) -> Config:
+    """A configuration from a YAML or JSON file; ``mode`` overrides the one in the file."""
+    text = Path(path).read_text()
+    values = json.loads(text) if path.endswith(".json") else parse_yaml(text)
+    if isinstance(values.get("ranges"), dict):
+        values["ranges"] = dict(RANGES) | {k: tuple(v) for k, v in values["ranges"].items()}
+    return Config.load(values | ({"mode": mode} if mode else {}))
+
+
 def fingerprint(path: str, known: dict | None = None) -> dict:
     """Size, times and content hash of a file or folder; if size and times are as known, the known hash is kept."""
     root = Path(path)
@@ -133,6 +185,58 @@ def status(root: str) -> list[str]:
     return sorted((p.parent.name for p in Path(root).glob("*/manifest.json")), reverse=True)
 
 
+def show(root: str, run_id: str) -> dict:
+    """The manifest of a run; an unknown run is an error."""
+    path = Path(root, run_id, "manifest.json")
+    if not path.is_file():
+        raise ValueError(f"no run {run_id}")
+    return json.loads(path.read_text())
+
+
+class Groups:
+    """Named groups of sources, kept in one file of a workspace: import checks them, save adds one, use picks the current one."""
+
+    def __init__(self, workspace: str):
+        self.path = Path(workspace, "groups.json")
+        self.path.parent.mkdir(parents=True, exist_ok=True)
+
+    def _read(self) -> dict:
+        return json.loads(self.path.read_text()) if self.path.exists() else {"current": None, "groups": {}}
+
+    def save(self, name: str, sources: dict[str, str]) -> dict:
+        """Register a group with the fingerprints of its sources; a source that is not there is an error."""
+        lost = sorted(k for k, p in sources.items() if not Path(p).exists())
+        if lost or not name.strip():
+            raise ValueError(f"group {name!r}: sources not found {lost}")
+        all_ = self._read()
+        all_["groups"][name] = {k: {"path": p} | fingerprint(p) for k, p in sources.items()}
+        write_json(str(self.path), all_)
+        return all_["groups"][name]
+
+    def load(self, path: str) -> list[str]:
+        """Import the groups of a YAML or JSON file {group: {source: path}}; all are checked before any is registered."""
+        text = Path(path).read_text()
+        given = json.loads(text) if path.endswith(".json") else parse_yaml(text)
+        for name, sources in given.items():
+            lost = sorted(k for k, p in sources.items() if not Path(p).exists())
+            if lost:
+                raise ValueError(f"group {name!r}: sources not found {lost}")
+        for name, sources in given.items():
+            self.save(name, sources)
+        return sorted(given)
+
+    def use(self, name: str) -> None:
+        all_ = self._read()
+        if name not in all_["groups"]:
+            raise ValueError(f"no group {name!r}")
+        write_json(str(self.path), all_ | {"current": name})
+
+    def list(self) -> list[tuple[str, bool, int]]:
+        """(name, in use, number of sources), by name."""
+        all_ = self._read()
+        return [(k, k == all_["current"], len(g)) for k, g in sorted(all_["groups"].items())]
+
+
 def gc(root: str, keep: int | None = None, prefix: str | None = None) -> list[str]:
     """Remove all but the newest ``keep`` runs, of those with ``prefix``; without a filter nothing goes."""
     if keep is None and prefix is None:

@@ -137,3 +137,33 @@ def read_fabric(spark: SparkSession, path: str, layer: str | None = None) -> Dat
     if kind == ".parquet":
         return spark.read.parquet(path)
     raise ValueError(f"no reader for {path}")
+
+
+def _rows(df: DataFrame) -> Iterator[tuple]:
+    """The eight columns row by row, a partition at a time on the driver: these files are written by one process."""
+    for r in df.select(*[n for _, n, _ in FIELDS]).toLocalIterator():
+        yield tuple(r)
+
+
+def write_dbf(df: DataFrame, path: str, width: int = 24) -> None:
+    """A reach table as a dBASE file on a local or mounted path; a null double is left blank."""
+    n = df.count()
+    head = struct.pack("<BBBBIHH20x", 3, 100, 1, 1, n, 32 + 32 * len(FIELDS) + 1, 1 + width * len(FIELDS))
+    with open(path, "wb") as f:
+        f.write(head)
+        for name, _, _ in FIELDS:
+            f.write(name.encode("ascii").ljust(11, b"\x00") + b"N" + b"\x00" * 4 + bytes([width]) + b"\x00" * 15)
+        f.write(b"\x0d")
+        for r in _rows(df):
+            f.write(b" " + b"".join(("" if x is None else repr(x)).rjust(width).encode("ascii") for x in r))
+        f.write(b"\x1a")
+
+
+def write_gpkg(df: DataFrame, path: str, layer: str) -> None:
+    """A reach table as a layer of a GeoPackage, without geometry; other layers of the file stay."""
+    types = {"long": "INTEGER", "double": "REAL"}
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE IF NOT EXISTS gpkg_contents (table_name TEXT, data_type TEXT)")
+        c.execute("INSERT INTO gpkg_contents VALUES (?, 'features')", (layer,))
+        c.execute(f'CREATE TABLE "{layer}" (fid INTEGER PRIMARY KEY, geom BLOB, ' + ", ".join(f'"{n}" {types[t]}' for n, _, t in FIELDS) + ")")
+        c.executemany(f'INSERT INTO "{layer}" VALUES (NULL, NULL, {", ".join("?" * len(FIELDS))})', _rows(df))

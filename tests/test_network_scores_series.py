@@ -58,7 +58,12 @@ def test_subdivision_keeps_length_and_runs(spark):
     p = net.subdivide(plan).groupBy("comid").agg(F.sum("length_m").alias("l"), F.count("*").alias("n")).join(plan, "comid")
     assert p.filter("abs(l - length_eff) > 1e-6 or n <> pieces").count() == 0
     assert net.subdivided_edges(plan, r).count() == plan.agg(F.sum(F.col("pieces") - 1)).first()[0] + 7
-    assert net.pack_conflicts([(1, 2), (2, 3)], {1: 5, 2: 9, 3: 5, 4: 1}) == {2: 0, 1: 1, 3: 1, 4: 0}
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 4)], "a long, b long")
+    nodes = spark.createDataFrame([(1, 5), (2, 9), (3, 5), (4, 1)], "node long, size long")
+    assert {tuple(x) for x in net.conflict_rounds(pairs, nodes).collect()} == {(2, 0), (1, 1), (3, 1), (4, 0)}
+    star = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(1, 29)], "a long, b long")
+    got = {r.node: r["round"] for r in net.conflict_rounds(star, spark.range(30).select(F.col("id").alias("node"), F.lit(1).alias("size"))).collect()}
+    assert len(got) == 30 and all(got[a] != got[b] for a, b in [(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(1, 29)])
 
 
 def test_scores_by_hand(spark):
