@@ -153,7 +153,7 @@ def bin_counts(values: DataFrame, keys: list[str], value: str, error: float = 0.
 
 
 def percentiles_of_bins(counts: DataFrame, keys: list[str], probs: list[float], error: float = 0.01) -> DataFrame:
-    """(keys, n, quantiles) of combined summaries, each the value of rank floor((n - 1) p) within a relative ``error``."""
+    """(keys, n, quantiles) of combined summaries: linear between the values of the two ranks next to (n - 1) p, each of them within a relative ``error``."""
     from pyspark.sql import Window
 
     gamma = (1 + error) / (1 - error)
@@ -161,5 +161,9 @@ def percentiles_of_bins(counts: DataFrame, keys: list[str], probs: list[float],
     summed = counts.groupBy(*keys, "sign", "bin").agg(F.sum("n").alias("n")).withColumn("mid", middle)
     w = Window.partitionBy(*keys)
     ranked = summed.withColumns({"total": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("mid").rowsBetween(Window.unboundedPreceding, 0))})
-    picks = [F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * p), F.col("mid"))) for p in probs]
-    return ranked.groupBy(*keys).agg(F.first("total").alias("n"), F.array(*picks).alias("quantiles"))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("mid")))
+    place = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
+    picks = [at(f(x)).alias(f"_{n}{i}") for i, x in enumerate(place) for n, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = ranked.groupBy(*keys, "total").agg(*picks)
+    between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (x - F.floor(x)) for i, x in enumerate(place)]
+    return found.select(*keys, F.col("total").alias("n"), F.array(*between).alias("quantiles"))
