@@ -61,18 +61,21 @@ def nearest_rank(values: Column, p: float) -> Column:
     return rank_pick(values, F.round((F.size(values) - 1) * F.lit(float(p))))
 
 
-def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit_rows: int = 200_000, salts: int = 16, rows: int | None = None) -> DataFrame:
+def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit_rows: int = 200_000, hot_rows: int = 500_000, rows: int | None = None) -> DataFrame:
     """Join where ``small`` has one row per key and ``big`` may hold a third of its rows under one key.
 
     ``small`` should be a written table: its rows are counted, unless ``rows`` says how many there are, and up to
-    ``limit_rows`` it is broadcast. Beyond that the
-    rows of ``big`` are salted by a hash of the row and its partition, so that a task run again salts them the same whatever
-    the order of its rows, and ``small`` is repeated once per salt, so that a hot key spreads over ``salts`` tasks.
+    ``limit_rows`` it is broadcast. Beyond that both sides are shuffled, and keys with more than ``hot_rows`` rows in ``big``
+    are salted: their rows by a hash of the row and its partition, so that a task run again salts them the same whatever the
+    order of its rows, and their one row of ``small`` once per salt. No other row of ``small`` is repeated; of hot keys there
+    are at most as many as ``big`` has rows by ``hot_rows``.
     Only inner and left joins (a salted anti or semi join is the same with a flag column).
     """
     if (small.limit(limit_rows + 1).count() if rows is None else rows) <= limit_rows:
         return big.join(F.broadcast(small), keys, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = F.broadcast(big.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     plain = [F.col(f"`{c}`") for c, t in big.dtypes if "map<" not in t]
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(salts)).cast("int"))
+    spread = big.withColumn("_hash", F.xxhash64(F.spark_partition_id(), *plain)).join(hot, keys, "left").withColumn("_salt", F.pmod("_hash", parts).cast("int")).drop("_hash", "_parts")
     return spread.join(salted, [*keys, "_salt"], how).drop("_salt")

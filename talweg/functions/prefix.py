@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +11,16 @@ from talweg.functions.common import sized_join
 from talweg.session import Scratch
 
 
-def running_total(df: DataFrame, group: list[str], order_key: Column, tie: list[str], weight: str, out: str, buckets: int = 1024) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], order_key: Column, tie: list[str], weight: str, out: str, rows_per_bucket: int = 50_000) -> DataFrame:
     """Adds ``out``: the sum of ``weight`` over the rows before this one in its group, in the order of a 64-bit hash key.
 
-    ``order_key`` is a long that spreads evenly (a hash); ``tie`` makes the order total. Each group is cut into
-    ``buckets`` ranges of the key, the ranges' sums are added up, and the window inside a range starts from there. So a
-    group with a third of all rows is summed by many tasks. Null weights count as 0.
+    ``order_key`` is a long that spreads evenly (a hash); ``tie`` makes the order total. Each group is cut into ranges of the
+    key, so many that one of them would have about ``rows_per_bucket`` rows if the group had all; the ranges' sums are added
+    up, and the window inside a range starts from there. So a group with a third of all rows is summed by many tasks. Null
+    weights count as 0.
     """
-    at = df.withColumn("_k", order_key).withColumn("_b", F.shiftrightunsigned("_k", 64 - (buckets.bit_length() - 1)).cast("int"))
+    bits = max(0, math.ceil(math.log2(max(1, df.count() / rows_per_bucket))))
+    at = df.withColumn("_k", order_key).withColumn("_b", (F.shiftrightunsigned("_k", 64 - bits) if bits else F.lit(0)).cast("int"))
     at = at.withColumn("_w", F.coalesce(F.col(weight), F.lit(0)))
     scratch = Scratch(df.sparkSession)
     sums = at.groupBy(*group, "_b").agg(F.sum("_w").alias("_s"))

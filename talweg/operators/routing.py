@@ -14,6 +14,8 @@ from talweg.session import Scratch
 
 #: Reaches that one call of the recurrence takes at least, if they are there: small basins are routed together.
 GROUP_REACHES = 4000
+#: A basin of more reaches than this is cut into sub-basins.
+WHOLE_REACHES = 200_000
 OUT = "comid long, t int, q double"
 
 
@@ -90,6 +92,21 @@ def route_chunks(reaches: DataFrame, forcing: DataFrame, steps: int, chunk: int,
     return scratch.read(*names, schema=OUT) if names else reaches.sparkSession.createDataFrame([], OUT)
 
 
+def route_network(reaches: DataFrame, forcing: DataFrame, steps: int, most: int = WHOLE_REACHES, height: int = 64, **options) -> DataFrame:
+    """(comid, t, q) by whichever way fits: whole basins where none has more than ``most`` reaches, else sub-basins in bands.
+
+    ``reaches``: comid, parent and the rest as for ``route_basins``; the basins come from the links.
+    """
+    scratch = Scratch(reaches.sparkSession)
+    tops = scratch.save(hierarchy(reaches, "comid", "parent").select(F.col("id").alias("comid"), F.col("root").alias("basin"), "hops"), "tops")
+    if tops.filter("hops < 0").limit(1).count():
+        raise ValueError("the network has a loop")
+    largest = tops.groupBy("basin").count().agg(F.max("count")).first()[0] or 0
+    if largest <= most:
+        return route_basins(reaches.drop("basin").join(tops.select("comid", "basin"), "comid"), forcing, steps, **options)
+    return route_in_bands(reaches.drop("basin"), forcing, hierarchy(reaches, "comid", "parent", with_paths=True), steps, height, **options)
+
+
 def bands(paths: DataFrame, height: int) -> DataFrame:
     """(comid, band, part): sub-basins of at most ``height`` reaches in depth. Band b holds the reaches b * height or more, under (b + 1) * height, steps from the outlet."""
     good = paths.filter("hops >= 0")

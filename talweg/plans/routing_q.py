@@ -112,9 +112,9 @@ def m9_reach_gradients(spark: S, d: str) -> DataFrame:
 
 
 def r12_route(spark: S, d: str) -> DataFrame:
-    """48 hours with constant parameters, a task per basin; flow of the last hour."""
-    _, net = _network(spark, d)
-    return ro.route_basins(net, _forcing(spark, d), STEPS).filter(F.col("t") == STEPS - 1).select("comid", "q")
+    """48 hours with constant parameters, basins whole where they fit a task; flow of the last hour."""
+    reaches = v.reach(spark, d).select("comid", "parent", "length_m", F.greatest("slope", F.lit(1e-3)).alias("slope"))
+    return ro.route_network(reaches, _forcing(spark, d), STEPS).filter(F.col("t") == STEPS - 1).select("comid", "q")
 
 
 def r12_route_in_bands(spark: S, d: str) -> DataFrame:

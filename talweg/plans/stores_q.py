@@ -224,18 +224,18 @@ def w2_sessions_stream(spark: S, d: str) -> DataFrame:
 
 
 def w3_routing_stream(spark: S, d: str) -> DataFrame:
-    """Hours of lateral inflow in three files, routed as they come, with state carried over; all basins, each whole. The network goes to every worker."""
+    """Hours of lateral inflow in three files, routed as they come, with state carried over; all basins, each whole."""
     from talweg.plans.network_q import reach_paths
 
     ids = reach_paths(spark, d).select(F.col("id").alias("comid"), F.col("root").alias("basin"))
     net = v.reach(spark, d).join(ids, "comid").select("basin", "comid", "parent", "length_m", F.greatest("slope", F.lit(1e-3)).alias("slope"))
-    network = net.toPandas()  # a row of five numbers per reach
     scratch = Scratch(spark)
+    net = scratch.save(net, "network")
     hours = net.select("basin", "comid", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("t")).withColumn("q_lateral", 1 + F.sin(F.col("t") + F.pmod(F.col("comid"), F.lit(4))) / 2)
     for k in range(3):
         hours.filter((F.col("t") >= 4 * k) & (F.col("t") < 4 * k + 4)).coalesce(1).write.parquet(scratch.path(f"in/b{k}"))
     stream = spark.readStream.schema("basin long, comid long, t int, q_lateral double").option("maxFilesPerTrigger", 1).parquet(scratch.path("in/*"))
-    return flows.run_to_end(spark, flows.route_stream(stream, network))
+    return flows.run_to_end(spark, flows.route_stream(stream, net))
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "skmcw" and k[1].isdigit()}

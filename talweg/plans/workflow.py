@@ -83,6 +83,7 @@ def parse_yaml(text: str) -> dict:
 
     root: dict = {}
     levels: list[tuple[int, dict]] = [(-1, root)]
+    open_: list[tuple[dict, str]] = []
     for number, line in enumerate(text.splitlines(), 1):
         bare = line.split(" #")[0].rstrip()
         if not bare.strip() or bare.lstrip().startswith("#"):
@@ -101,6 +102,9 @@ def parse_yaml(text: str) -> dict:
         else:
             here[key] = {}
             levels.append((depth, here[key]))
+            open_.append((here, key))
+    for here, key in open_:
+        here[key] = here[key] or None
     return root
 
 

@@ -25,20 +25,22 @@ def sessions_stream(rows: DataFrame, by: str, ts: str, gap: str = "1 day", late:
     return rows.withWatermark(ts, late).groupBy(by, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last")).select(by, "first", "last", "n")
 
 
-def route_stream(forcing: DataFrame, network: pd.DataFrame) -> DataFrame:
+def route_stream(forcing: DataFrame, network: DataFrame) -> DataFrame:
     """(basin, comid, t, q): routing that goes on where the last batch ended.
 
-    ``forcing``: basin, comid, t, q_lateral, each batch whole hours in order; an hour that arrives after a later one is an
-    error. The state of a basin is its discharge, its last lateral inflow and its hour. ``network`` (basin, comid, parent, length_m, slope)
-    is the part of the river that the stream feeds and goes to every worker: for networks of bounded size.
+    ``forcing``: basin, comid, t, q_lateral, each batch whole hours of whole basins in order; an hour that arrives after a later
+    one, or a batch without some reach of its basin, is an error. ``network`` (basin, comid, parent, length_m, slope) is a table
+    that the stream is joined with, so a task sees the basins it routes and no more. The state of a basin is its discharge,
+    its last lateral inflow and its hour.
     """
-    parts = {b: r.sort_values("comid", ignore_index=True) for b, r in network.groupby("basin")}
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reach = parts[key[0]]
+        rows = pd.concat(list(batches))
+        reach = rows.drop_duplicates("comid").sort_values("comid", ignore_index=True)
         ids = pd.Index(reach["comid"])
         net = Network(ids.get_indexer(reach["parent"].fillna(-1).astype("int64")))
-        rows = pd.concat(list(batches))
+        if (state.exists and len(state.get[0]) != len(ids)) or (net.parent < 0).sum() != reach["parent"].isna().sum():
+            raise ValueError(f"basin {key[0]}: a batch lacks reaches")
         hours = np.sort(rows["t"].unique())
         m = np.zeros((len(hours), len(ids)))
         np.add.at(m, (np.searchsorted(hours, rows["t"]), ids.get_indexer(rows["comid"])), rows["q_lateral"].to_numpy("f8"))
@@ -55,7 +57,8 @@ def route_stream(forcing: DataFrame, network: pd.DataFrame) -> DataFrame:
         out = np.stack([x.value for x in qs])
         yield pd.DataFrame({"basin": key[0], "comid": np.tile(ids, len(hours)), "t": np.repeat(hours, len(ids)), "q": out.ravel()})
 
-    return forcing.groupBy("basin").applyInPandasWithState(advance, "basin long, comid long, t int, q double", "q array<double>, last array<double>, t int", "append", GroupStateTimeout.NoTimeout)
+    placed = forcing.join(network.select("basin", "comid", "parent", "length_m", "slope"), ["basin", "comid"])
+    return placed.groupBy("basin").applyInPandasWithState(advance, "basin long, comid long, t int, q double", "q array<double>, last array<double>, t int", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:

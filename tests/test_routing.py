@@ -106,7 +106,13 @@ def test_columns_closed_form_and_bands_agree_with_numpy(spark):
     whole = np.stack([x.value for x in route(net, lateral, PARAMS, length, slope)])
     basins = {(r.comid, r.t): r.q for r in ro.route_basins(reach.withColumn("basin", F.lit(1)), force, 10).collect()}
     banded = {(r.comid, r.t): r.q for r in ro.route_in_bands(reach, force, paths, 10, height=3).collect()}
+    chunked = {(r.comid, r.t): r.q for r in ro.route_chunks(reach.withColumn("basin", F.lit(1)), force, 10, 3).collect()}
+    chosen = [{(r.comid, r.t): r.q for r in ro.route_network(reach, force, 10, most=most, height=4).collect()} for most in (10, 1000)]
+    kept = ro.route_chunks(reach.withColumn("basin", F.lit(1)), force, 10, 4, keep=reach.filter("comid in (0, 7)").select("comid"))
+    assert {(r.comid, r.t) for r in kept.collect()} == {(c, t) for c in (0, 7) for t in range(10)}
     for t in range(10):
         for i in range(50):
+            for other in (chunked, *chosen):
+                assert other[i, t] == pytest.approx(whole[t, i], rel=1e-12)
             assert basins[i, t] == pytest.approx(whole[t, i], rel=1e-12)
             assert banded[i, t] == pytest.approx(whole[t, i], rel=1e-12)

@@ -13,9 +13,10 @@ def test_the_salted_way_gives_the_same(spark, how):
     rows = lambda df: sorted(map(tuple, df.select("k", "x", "v").collect()), key=str)
     want = rows(big.join(small, "k", how))
     assert rows(sized_join(big, small, ["k"], how)) == want
-    salted = sized_join(big, small, ["k"], how, limit_rows=0)
-    assert "_salt" in salted._jdf.queryExecution().toString() and rows(salted) == want
-    assert salted.columns == big.join(small, "k", how).columns
+    for hot in (1, 100, 10_000):
+        salted = sized_join(big, small, ["k"], how, limit_rows=0, hot_rows=hot)
+        assert "_salt" in salted._jdf.queryExecution().toString() and rows(salted) == want
+        assert salted.columns == big.join(small, "k", how).columns
 
 
 def test_the_salted_way_with_empty_sides(spark):
