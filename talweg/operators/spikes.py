@@ -275,13 +275,14 @@ def implausible(rows: DataFrame, source: str, row_id: str, hours: str, daily: st
     * mean_off - by rule: ``daily`` is not null and ``mean_off`` or more away from the mean of the possible hours of its row; with
       no possible hour there is nothing to compare.
 
-    The filter of a source goes on from day to day (``day``: a number of days; missing days widen its forecast). Sources are
+    The filter of a source goes on from day to day (``day``: a number of days, or a date; missing days widen its forecast). Sources are
     cut into segments of ``SEGMENT`` days; each begins with the last ``WARM_UP`` days of the one before, so a source with a third
     of all rows is filtered by many tasks. Rows of one day start from the same level and each is judged: every repeated row
     comes out. Rows without a day, or all if none is named, are filtered on their own. Rows with a null or empty array count
     for nothing; rows with a null source have no norms and only get impossible and mean_off. No rows in, no rows out.
     """
-    when = F.col(day).cast("long") if day else F.lit(None).cast("long")
+    dated = day and dict(rows.dtypes)[day] in ("date", "timestamp", "timestamp_ntz")
+    when = F.lit(None).cast("long") if not day else F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") if dated else F.col(day).cast("long")
     base = rows.select(F.col(row_id).alias("row_id"), F.col(source).cast("string").alias("source"), F.col(hours).alias("hours"), (F.col(daily) if daily else F.lit(None)).cast("double").alias("daily"), when.alias("day"))
     levels, steps = source_norms(base, ceiling, stuck_hours)
     norms = Scratch(rows.sparkSession).save(levels.join(steps, "source", "left"), "norms")

@@ -91,6 +91,13 @@ def p4_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return implausible(rows, "station", "row_id", "target_hourly_m3s", "daily_q_m3s", "day_index")
 
 
+def p4_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that break a rule: impossible readings, or a daily value that is not their mean."""
+    f = F.col("flags")
+    flags = p4_reasons(spark, folder).select("row_id", f.contains("impossible").alias("impossible"), f.contains("mean_off").alias("mean_off"))
+    return flags.filter("impossible or mean_off")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Outlet of every live reach and the number of steps to it."""
     links = downstream_links(table(spark, folder, "flowlines"))
@@ -122,7 +129,7 @@ def p5_rounds(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy(links, "comid", "parent", finish_nodes=0, sizes=True).select(F.col("id").alias("comid"), F.col("root").alias("root_comid"), "hops", (F.col("size") - 1).alias("n_above"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_near, p3_found, p3_by_month, p3_simple, p3_partial, p3_full, p4_found, p4_reasons, p5_found, p5_paths, p5_upstream, p5_descendants, p5_rounds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_near, p3_found, p3_by_month, p3_simple, p3_partial, p3_full, p4_found, p4_reasons, p4_rules, p5_found, p5_paths, p5_upstream, p5_descendants, p5_rounds)}
 
 _STATUS = """
 cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY comid ORDER BY loaded_at DESC, fid DESC) AS rn,
@@ -179,6 +186,9 @@ WHERE 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(y.la - x.la) / 2), 2)
     "p3_partial": f"WITH {_OUTLETS} SELECT * FROM whole WHERE ref_state IS NOT NULL UNION ALL SELECT * FROM part WHERE ref_state IS NOT NULL",
     "p3_full": f"WITH {_OUTLETS} SELECT * FROM whole WHERE ref_state IS NOT NULL UNION ALL SELECT row_id, 'mixed' FROM part",
     "p3_by_month": f"WITH {_REFS.strip()} SELECT src_table, CAST(date_trunc('month', ref_time) AS DATE) AS period, ref_state, count(*) AS n FROM states WHERE ref_state IS NOT NULL GROUP BY ALL",
+    "p4_rules": """WITH r AS (SELECT row_id, daily_q_m3s AS d, target_hourly_m3s AS h, [CAST(x AS DOUBLE) FOR x IN target_hourly_m3s IF x IS NOT NULL AND isfinite(x) AND x >= 0 AND x < 400000] AS ok FROM pretrain_rows),
+s AS (SELECT row_id, len(ok) < len(h) AS impossible, d IS NOT NULL AND len(ok) > 0 AND CAST(d AS DOUBLE) <> list_sum(ok) / len(ok) AND (isnan(d) OR abs(CAST(d AS DOUBLE) - list_sum(ok) / len(ok)) >= CAST(0.01 AS DOUBLE) * abs(list_sum(ok) / len(ok))) AS mean_off FROM r)
+SELECT row_id, impossible, mean_off FROM s WHERE impossible OR mean_off""",
     "p5_found": f"{_FOUND} SELECT comid, root_comid, hops FROM found",
     "p5_paths": f"""{_TREE},
 path AS (SELECT comid AS node, CAST(comid AS VARCHAR) AS p FROM link WHERE parent IS NULL

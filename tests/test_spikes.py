@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from talweg.operators.spikes import implausible
 
 SCHEMA = "row_id long, staid string, hours array<float>, daily float, source string"
@@ -117,3 +118,5 @@ def test_long_sources_and_rows_without_a_day(spark):
     rows += [(2000, "A", h, None, None), (2001, None, h, None, 5)]
     df = spark.createDataFrame(rows, "row_id long, staid string, hours array<float>, daily float, day int")
     assert sorted(r.row_id for r in implausible(df, "staid", "row_id", "hours", "daily", "day").collect()) == [1000, 1063, 1064, 1200, 2000]
+    dated = df.withColumn("segment", F.date_add(F.lit("2001-05-05").cast("date"), F.col("day"))).drop("day")
+    assert sorted(r.row_id for r in implausible(dated, "staid", "row_id", "hours", "daily", "segment").collect()) == [1000, 1063, 1064, 1200, 2000]
