@@ -180,7 +180,6 @@ def hierarchy(links: DataFrame, id_col: str, parent_col: str, with_paths: bool =
     given = [f"b_{s}" for s in named] + [f"c_{s}" for s in named if s in got.scaled]
     raw = links.select(F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent"), *values).filter(F.col("id").isNotNull())
     nodes = raw.groupBy("id").agg(F.min("parent").alias("parent"), *[F.min(c).alias(c) for c in given])
-    nodes = scratch.save(nodes, "nodes")
     known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
     kids = nodes.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("k"))
     start = {"w": F.lit(1).cast("long"), "low": F.col("id"), "k": F.coalesce("k", F.lit(0)).cast("long")}
@@ -210,7 +209,6 @@ def hierarchy(links: DataFrame, id_col: str, parent_col: str, with_paths: bool =
         scratch.save(_answer(own, scratch.read(*done, schema=got.schema()), scratch.read(f"lifted{r}") if got.up else None, got), f"done{r}")
         scratch.drop(f"round{r}", *([f"lifted{r}"] if got.up else []))
         done.append(f"done{r}")
-    scratch.drop("nodes")
     out = scratch.read(*done, schema=got.schema())
     fine = lambda c: F.when(F.col("hops") >= 0, F.col(c))
     extra = [fine("size").cast("long").alias("size"), fine("height").alias("height")] if sizes else []

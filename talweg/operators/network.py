@@ -102,17 +102,15 @@ def source_tree(links: DataFrame, nearest: DataFrame) -> DataFrame:
     after = links.select("comid", "parent").join(sources, "comid", "left_semi")
     step = after.join(nearest.select(F.col("comid").alias("parent"), F.col("source").alias("next"), (F.col("hops") + 1).alias("far")), "parent", "left").select("comid", "next", F.coalesce("far", F.lit(0)).alias("far"))
     step = scratch.save(step, "step")
-    paths = scratch.save(hierarchy(step, "comid", "next", with_paths=True).filter("hops >= 0").select(F.col("id").alias("source"), F.explode("path").alias("below")), "below")
-    depth = scratch.save(paths.join(step.withColumnRenamed("comid", "below"), "below").groupBy("source").agg(F.sum("far").alias("_d")), "depth")
+    paths = hierarchy(step, "comid", "next", with_paths=True).filter("hops >= 0").select(F.col("id").alias("source"), F.explode("path").alias("below"))
+    depth = paths.join(step.withColumnRenamed("comid", "below"), "below").groupBy("source").agg(F.sum("far").alias("_d"))
     return paths.join(depth, "source").join(depth.select(F.col("source").alias("below"), F.col("_d").alias("_e")), "below").select("source", "below", (F.col("_d") - F.col("_e")).alias("hops"))
 
 
 def gauge_reaches(links: DataFrame, gauges: DataFrame) -> DataFrame:
     """(staid, comid, hops): every reach above each gauge's outlet, the outlet included; gauges on unknown reaches have none."""
-    from talweg.session import Scratch
-
     own = gauges.select("staid", F.col("comid").alias("below")).filter("below is not null").distinct()
-    nearest = Scratch(links.sparkSession).save(cut_at(links, own.select(F.col("below").alias("comid"))), "nearest")
+    nearest = cut_at(links, own.select(F.col("below").alias("comid")))
     tree = source_tree(links, nearest).withColumnRenamed("hops", "_more").join(own, "below")
     return nearest.join(tree, "source").select("staid", "comid", (F.col("hops") + F.col("_more")).alias("hops"))
 
@@ -122,10 +120,8 @@ def summed_above(links: DataFrame, gauges: DataFrame, values: DataFrame, value:
 
     Values are added up to the next gauge down the river first, and only those sums are handed on from gauge to gauge.
     """
-    from talweg.session import Scratch
-
     own = gauges.select("staid", F.col("comid").alias("below")).filter("below is not null").distinct()
-    nearest = Scratch(links.sparkSession).save(cut_at(links, own.select(F.col("below").alias("comid"))), "nearest")
+    nearest = cut_at(links, own.select(F.col("below").alias("comid")))
     part = values.join(nearest.select("comid", "source"), "comid").groupBy("source", *by).agg(F.sum(value).alias("_v"))
     tree = source_tree(links, nearest).join(own, "below").select("source", "staid")
     return part.join(tree, "source").groupBy("staid", *by).agg(F.sum("_v").alias("total"))
