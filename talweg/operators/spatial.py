@@ -112,8 +112,8 @@ def wkb_rings(blob: bytes) -> list[np.ndarray]:
         return []
 
 
-def trapezoids(regions: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Trapezoidal decomposition of regions, given by their rings, under the even-odd rule: trapezoids and the index of the region of each.
+def trapezoids(regions: list[list[np.ndarray]], low: float = -math.inf, high: float = math.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Trapezoidal decomposition of regions, given by their rings, under the even-odd rule: trapezoids and the index of the region of each; only what lies between ``low`` and ``high``.
 
     A trapezoid is x_left, x_right, lower edge, upper edge, an edge x1, y1, x2, y2 with x1 < x2. The slabs of a region are
     those between its neighbouring vertex abscissae; inside one its edges are ordered and pair up.
@@ -124,12 +124,12 @@ def trapezoids(regions: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]
     start = np.vstack([r for _, r in rings])
     end = np.vstack([x for _, r in rings for x in (r[1:], r[:1])])
     of = np.repeat([k for k, _ in rings], [len(r) for _, r in rings])
-    slanted = start[:, 0] != end[:, 0]
+    slanted = (start[:, 0] != end[:, 0]) & (np.maximum(start[:, 0], end[:, 0]) > low) & (np.minimum(start[:, 0], end[:, 0]) < high)
     start, end, of = start[slanted], end[slanted], of[slanted]
     e = np.where((start[:, 0] < end[:, 0])[:, None], np.hstack([start, end]), np.hstack([end, start]))
     if not len(e):
         return np.empty((0, 10)), np.empty(0, int)
-    x, region = np.concatenate([e[:, 0], e[:, 2]]), np.concatenate([of, of])
+    x, region = np.clip(np.concatenate([e[:, 0], e[:, 2]]), low, high), np.concatenate([of, of])
     o = np.lexsort((x, region))
     fresh = np.r_[True, (x[o][1:] != x[o][:-1]) | (region[o][1:] != region[o][:-1])]
     at = np.empty(len(o), int)
@@ -141,8 +141,8 @@ def trapezoids(regions: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]
     s, mid = e[which], (xs[slab] + xs[slab + 1]) / 2
     y = s[:, 1] + (mid - s[:, 0]) * (s[:, 3] - s[:, 1]) / (s[:, 2] - s[:, 0])
     o = np.lexsort((y, slab))
-    low, high, slab = which[o][0::2], which[o][1::2], slab[o][0::2]
-    return np.hstack([xs[slab][:, None], xs[slab + 1][:, None], e[low], e[high]]), of[low]
+    under, over, slab = which[o][0::2], which[o][1::2], slab[o][0::2]
+    return np.hstack([xs[slab][:, None], xs[slab + 1][:, None], e[under], e[over]]), of[under]
 
 
 def locate(xs: np.ndarray, ys: np.ndarray, traps: np.ndarray, max_slabs: int = MAX_SLABS) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +206,8 @@ _CUT = "slab int, region_id long, n int, traps binary"
 CELLS = 256
 #: A slab that has more trapezoids than so many times ``group_rows`` is split by region.
 TRAPS_PER_ROW = 8
+#: A region with more vertices is cut in strips of a quarter as many, so that a task never holds all of its trapezoids.
+LARGE_VERTICES = 20_000
 
 
 def slabs_of(cells: list[tuple[int, int]], rows: int) -> list[tuple[int, int, int]]:
@@ -232,7 +234,8 @@ def _locate_slab(points: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
 def within(points: DataFrame, id_col: str, lat: str, lng: str, regions: DataFrame, region_col: str, geom_col: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, region_id): the regions that contain each usable point; holes do not belong to a region.
 
-    Regions are WKB polygons or multipolygons in longitude, latitude. Longitude is cut into slabs of up to ``group_rows``
+    Regions are WKB polygons or multipolygons in longitude, latitude; one of more than ``LARGE_VERTICES`` vertices is cut into
+    trapezoids strip by strip. Longitude is cut into slabs of up to ``group_rows``
     points. Every region is parsed and cut into trapezoids once; its trapezoids, cut at the slab boundaries, go to the slabs
     they lie in, and so does each point to its one slab, where its trapezoids are found by binary search (``locate``). A slab
     that is too full is split: its points where a narrow slab still has more than ``group_rows``, its trapezoids by region. The
@@ -258,9 +261,19 @@ def within(points: DataFrame, id_col: str, lat: str, lng: str, regions: DataFram
     starts[0] = -np.inf
     ends = np.r_[starts[1:], np.inf]
 
+    def strips(ids: np.ndarray, rings: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Trapezoids of regions that are cut together, and then of each large one a strip at a time: an edge of a long coast crosses very many of its slabs."""
+        large = [sum(map(len, r)) > LARGE_VERTICES for r in rings]
+        yield (ids, *trapezoids([[] if big else r for big, r in zip(large, rings)]))
+        for k in np.flatnonzero(large):
+            x = np.unique(np.concatenate([r[:, 0] for r in rings[k]]))
+            cuts = [-math.inf, *x[LARGE_VERTICES // 4 :: max(1, LARGE_VERTICES // 4)], math.inf]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                yield (ids[k : k + 1], *trapezoids([rings[k]], low, high))
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            traps, of = trapezoids([wkb_rings(bytes(g)) for g in rows["geom"]])
+        whole = ((ids, traps, of) for rows in batches for ids, traps, of in strips(rows["region_id"].to_numpy(), [wkb_rings(bytes(g)) for g in rows["geom"]]))
+        for ids, traps, of in whole:
             a = np.searchsorted(starts, traps[:, 0], "right") - 1
             count = np.searchsorted(starts, traps[:, 1], "left") - a
             t = np.repeat(np.arange(len(traps)), count)
@@ -273,7 +286,7 @@ def within(points: DataFrame, id_col: str, lat: str, lng: str, regions: DataFram
             n = np.diff(np.r_[at, len(t)])
             raw, size = piece.tobytes(), 80
             packed = [raw[i * size : (i + k) * size] for i, k in zip(at.tolist(), n.tolist())]
-            yield pd.DataFrame({"slab": slab[at], "region_id": rows["region_id"].to_numpy()[of[t][at]], "n": n, "traps": packed})
+            yield pd.DataFrame({"slab": slab[at], "region_id": ids[of[t][at]], "n": n, "traps": packed})
 
     reg = regions.select(F.col(region_col).cast("long").alias("region_id"), F.col(geom_col).alias("geom")).filter("region_id is not null and geom is not null").dropDuplicates()
     pieces = Scratch(spark).save(reg.mapInPandas(cut, _CUT), "pieces")

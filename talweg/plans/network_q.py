@@ -9,7 +9,7 @@ from talweg.functions.ranks import nearest, order_statistics
 from talweg.operators import network as net
 from talweg.operators.hierarchy import hierarchy
 from talweg.plans import views as v
-from talweg.plans.general import _LINKS, _TREE
+from talweg.plans.general import _TREE
 from talweg.sources.tables import table
 
 

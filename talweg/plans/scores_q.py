@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talweg.functions.common import finite, safe_div, station_id
+from talweg.functions.common import finite, safe_div
 from talweg.functions.ranks import interpolated, nearest, order_statistics, upper_middle
 from talweg.operators import scores as sc
 from talweg.operators import series as se
 from talweg.operators.network import summed_above
 from talweg.operators.relational import differences
 from talweg.plans import views as v
-from talweg.plans.network_q import _GAUGE, _gauge_reach, reach_paths
+from talweg.plans.network_q import _GAUGE, _gauge_reach
 from talweg.plans.relational_q import _CLEAN, _clean_days
 from talweg.session import Scratch
 from talweg.sources.tables import table

@@ -46,7 +46,7 @@ def test_near_against_brute_force(spark):
         assert got == want
 
 
-def test_within_against_ray_casting(spark):
+def test_within_against_ray_casting(spark, monkeypatch):
     rnd = random.Random(4)
     regions, polygons = [], {}
     for i in range(60):
@@ -66,6 +66,8 @@ def test_within_against_ray_casting(spark):
     for group in (7, 50_000):
         got = sorted(map(tuple, within(p, "id", "lat", "lng", r, "comid", "geom", group).collect()))
         assert got == want
+    monkeypatch.setattr(spatial, "LARGE_VERTICES", 12)
+    assert sorted(map(tuple, within(p, "id", "lat", "lng", r, "comid", "geom").collect())) == want
     assert within(p, "id", "lat", "lng", r.limit(0), "comid", "geom").count() == 0
     assert within(p.limit(0), "id", "lat", "lng", r, "comid", "geom").count() == 0
 
