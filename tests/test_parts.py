@@ -47,3 +47,7 @@ def test_a_loop_is_an_error(spark):
 
 def test_r21_evaluation(spark, cut):
     _both(engine_q.r21_evaluation, spark, cut)
+
+
+def test_m14_grid(spark, cut):
+    _both(engine_q.m14_grid, spark, cut)
