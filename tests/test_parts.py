@@ -51,3 +51,7 @@ def test_r21_evaluation(spark, cut):
 
 def test_m14_grid(spark, cut):
     _both(engine_q.m14_grid, spark, cut)
+
+
+def test_m9_reach_gradients(spark, cut):
+    _both(routing_q.m9_reach_gradients, spark, cut)
