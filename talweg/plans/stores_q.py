@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talweg.functions.common import finite, station_id
 from talweg.functions.ranks import interpolated, order_statistics
 from talweg.operators import model as mo
+from talweg.operators.parts import Parts
 from talweg.plans import views as v
 from talweg.plans import workflow as wf
 from talweg.plans.network_q import _GAUGE, g12_gauge_edges
@@ -223,19 +224,28 @@ def w2_sessions_stream(spark: S, d: str) -> DataFrame:
     return flows.run_to_end(spark, flows.sessions_stream(s, "user_id", "ts"), "complete").select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
 
 
-def w3_routing_stream(spark: S, d: str) -> DataFrame:
-    """Hours of lateral inflow in three files, routed as they come, with state carried over; all basins, each whole."""
+def _routed_stream(spark: S, d: str) -> tuple[DataFrame, DataFrame, Parts]:
+    """Flow of the stream batch by batch, the network with its basins, and its parts."""
     from talweg.plans.network_q import reach_paths
 
-    ids = reach_paths(spark, d).select(F.col("id").alias("comid"), F.col("root").alias("basin"))
+    paths = reach_paths(spark, d)
+    ids = paths.select(F.col("id").alias("comid"), F.col("root").alias("basin"))
     net = v.reach(spark, d).join(ids, "comid").select("basin", "comid", "parent", "length_m", F.greatest("slope", F.lit(1e-3)).alias("slope"))
     scratch = Scratch(spark)
     net = scratch.save(net, "network")
-    hours = net.select("basin", "comid", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("t")).withColumn("q_lateral", 1 + F.sin(F.col("t") + F.pmod(F.col("comid"), F.lit(4))) / 2)
+    hours = net.select("comid", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("t")).withColumn("q_lateral", 1 + F.sin(F.col("t") + F.pmod(F.col("comid"), F.lit(4))) / 2)
     for k in range(3):
         hours.filter((F.col("t") >= 4 * k) & (F.col("t") < 4 * k + 4)).coalesce(1).write.parquet(scratch.path(f"in/b{k}"))
-    stream = spark.readStream.schema("basin long, comid long, t int, q_lateral double").option("maxFilesPerTrigger", 1).parquet(scratch.path("in/*"))
-    return flows.run_to_end(spark, flows.route_stream(stream, net))
+    stream = spark.readStream.schema("comid long, t int, q_lateral double").option("maxFilesPerTrigger", 1).parquet(scratch.path("in/*"))
+    parts = Parts(net, paths)
+    return flows.route_stream_in_parts(stream, parts), net, parts
+
+
+def w3_routing_stream(spark: S, d: str) -> DataFrame:
+    """Hours of lateral inflow in three files, routed as they come, with state carried over; all basins, whole or in sub-basins."""
+    got, net, _ = _routed_stream(spark, d)
+    each = got.join(net.select("basin", "comid"), "comid").select("basin", "comid", F.explode(F.arrays_zip("hours", "r")).alias("x"))
+    return each.select("basin", "comid", F.col("x.hours").alias("t"), F.col("x.r").alias("q"))
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "skmcw" and k[1].isdigit()}

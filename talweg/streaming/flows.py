@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from talweg.functions.recurrence import Network, route
+from talweg.operators.parts import Parts, rows_of
 from talweg.session import Scratch
 
 
@@ -61,6 +62,41 @@ def route_stream(forcing: DataFrame, network: DataFrame) -> DataFrame:
     return placed.groupBy("basin").applyInPandasWithState(advance, "basin long, comid long, t int, q double", "q array<double>, last array<double>, t int", "append", GroupStateTimeout.NoTimeout)
 
 
+def route_stream_in_parts(forcing: DataFrame, parts: Parts) -> DataFrame:
+    """(comid, hours, r): what ``route_stream`` gives, an array of hours and one of flows for each batch and reach, for basins of any size.
+
+    ``forcing``: comid, t, q_lateral, each batch whole hours of all reaches of ``parts``, in order; an hour that arrives after a
+    later one, or a batch without some reach, is an error. The state, the last flow and lateral inflow of every reach, is a table.
+    """
+    spark, scratch = forcing.sparkSession, Scratch(forcing.sparkSession)
+    reaches, seen = sum(parts.sizes.values()), {}
+
+    def advance(batch: DataFrame, number: int) -> None:
+        rows = batch.select("comid", "t", "q_lateral").groupBy("comid").agg(F.array_sort(F.collect_list(F.struct("t", "q_lateral"))).alias("_x"))
+        lateral = scratch.save(rows.select("comid", F.col("_x.t").alias("hours"), F.col("_x.q_lateral").alias("inflow")), f"in{number}")
+        kinds = lateral.groupBy("hours").count().limit(2).collect()
+        if not kinds:
+            return
+        hours = kinds[0]["hours"]
+        known = lateral.join(parts.reaches.select("comid"), "comid", "left_semi").count()
+        if len(kinds) > 1 or len(set(hours)) < len(hours) or known < reaches:
+            raise ValueError(f"batch {number} lacks reaches")
+        before = max((n for n in seen if n < number), default=None)
+        if before is not None:
+            if hours[0] <= seen[before][-1]:
+                raise ValueError(f"hour {hours[0]} after hour {seen[before][-1]}")
+            lateral = lateral.join(scratch.read(f"state{before}"), "comid").withColumn("inflow", F.concat(F.array("_inflow"), "inflow")).drop("_inflow")
+        first = 0 if before is None else 1
+        r, last = parts.route(lambda own, a, b: rows_of(own, "inflow").T, first, first + len(hours), state=lateral.drop("hours"), keep_state=True)
+        scratch.save(last.join(lateral.select("comid", F.element_at("inflow", -1).alias("_inflow")), "comid"), f"state{number}")
+        scratch.save(r.withColumn("hours", F.array(*[F.lit(int(h)) for h in hours])).select("comid", "hours", "r"), f"out{number}")
+        seen[number] = hours
+
+    forcing.writeStream.foreachBatch(advance).option("checkpointLocation", scratch.path("log")).trigger(availableNow=True).start().awaitTermination()
+    kind = "comid long, hours array<int>, r array<double>"
+    return scratch.read(*[f"out{n}" for n in sorted(seen)], schema=kind) if seen else spark.createDataFrame([], kind)
+
+
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything the stream gives for what is there now, as a table."""
     scratch = Scratch(spark)

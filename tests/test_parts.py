@@ -55,3 +55,7 @@ def test_m14_grid(spark, cut):
 
 def test_m9_reach_gradients(spark, cut):
     _both(routing_q.m9_reach_gradients, spark, cut)
+
+
+def test_w3_routing_stream(spark, cut):
+    _both(stores_q.w3_routing_stream, spark, cut)
