@@ -59,3 +59,7 @@ def test_m9_reach_gradients(spark, cut):
 
 def test_w3_routing_stream(spark, cut):
     _both(stores_q.w3_routing_stream, spark, cut)
+
+
+def test_w3_stream_agrees(spark, cut):
+    _both(engine_q.w3_stream_agrees, spark, cut)
