@@ -63,3 +63,7 @@ def test_w3_routing_stream(spark, cut):
 
 def test_w3_stream_agrees(spark, cut):
     _both(engine_q.w3_stream_agrees, spark, cut)
+
+
+def test_r16_first_hour(spark, cut):
+    _both(engine_q.r16_first_hour, spark, cut)
