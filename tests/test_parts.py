@@ -67,3 +67,7 @@ def test_w3_stream_agrees(spark, cut):
 
 def test_r16_first_hour(spark, cut):
     _both(engine_q.r16_first_hour, spark, cut)
+
+
+def test_r22_frozen_day(spark, cut):
+    _both(routing_q.r22_frozen_day, spark, cut)
