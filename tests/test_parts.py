@@ -71,3 +71,7 @@ def test_r16_first_hour(spark, cut):
 
 def test_r22_frozen_day(spark, cut):
     _both(routing_q.r22_frozen_day, spark, cut)
+
+
+def test_m11_teacher(spark, cut):
+    _both(routing_q.m11_teacher, spark, cut)
