@@ -10,7 +10,7 @@ CUT = 20
 
 def _rows(df):
     names = [c for c, t in df.dtypes if t != "double"]
-    return {tuple(r[c] for c in names): [r[c] for c, t in df.dtypes if t == "double"] for r in df.collect()}
+    return {tuple(r[c] for c in names): [float("nan") if r[c] is None else r[c] for c, t in df.dtypes if t == "double"] for r in df.collect()}
 
 
 @pytest.fixture()
@@ -75,3 +75,7 @@ def test_r22_frozen_day(spark, cut):
 
 def test_m11_teacher(spark, cut):
     _both(routing_q.m11_teacher, spark, cut)
+
+
+def test_m14_landscape(spark, cut):
+    _both(routing_q.m14_landscape, spark, cut)
