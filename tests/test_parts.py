@@ -79,3 +79,7 @@ def test_m11_teacher(spark, cut):
 
 def test_m14_landscape(spark, cut):
     _both(routing_q.m14_landscape, spark, cut)
+
+
+def test_m12_residual_floor(spark, cut):
+    _both(routing_q.m12_residual_floor, spark, cut)
