@@ -83,3 +83,7 @@ def test_m14_landscape(spark, cut):
 
 def test_m12_residual_floor(spark, cut):
     _both(routing_q.m12_residual_floor, spark, cut)
+
+
+def test_m15_slope_of_roughness(spark, cut):
+    _both(routing_q.m15_slope_of_roughness, spark, cut)
