@@ -87,3 +87,7 @@ def test_m12_residual_floor(spark, cut):
 
 def test_m15_slope_of_roughness(spark, cut):
     _both(routing_q.m15_slope_of_roughness, spark, cut)
+
+
+def test_r16_gauge_hydrographs(spark, cut):
+    _both(routing_q.r16_gauge_hydrographs, spark, cut)
