@@ -91,3 +91,7 @@ def test_m15_slope_of_roughness(spark, cut):
 
 def test_r16_gauge_hydrographs(spark, cut):
     _both(routing_q.r16_gauge_hydrographs, spark, cut)
+
+
+def test_r21_evaluated_days(spark, cut):
+    _both(engine_q.r21_evaluated_days, spark, cut)
