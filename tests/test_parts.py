@@ -95,3 +95,7 @@ def test_r16_gauge_hydrographs(spark, cut):
 
 def test_r21_evaluated_days(spark, cut):
     _both(engine_q.r21_evaluated_days, spark, cut)
+
+
+def test_r12_bands_agree(spark, cut):
+    _both(engine_q.r12_bands_agree, spark, cut)
