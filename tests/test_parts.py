@@ -99,3 +99,7 @@ def test_r21_evaluated_days(spark, cut):
 
 def test_r12_bands_agree(spark, cut):
     _both(engine_q.r12_bands_agree, spark, cut)
+
+
+def test_r22_days_agree(spark, cut):
+    _both(engine_q.r22_days_agree, spark, cut)
