@@ -103,3 +103,7 @@ def test_r12_bands_agree(spark, cut):
 
 def test_r22_days_agree(spark, cut):
     _both(engine_q.r22_days_agree, spark, cut)
+
+
+def test_t16_chunks_agree(spark, cut):
+    _both(engine_q.t16_chunks_agree, spark, cut)
