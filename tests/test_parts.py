@@ -107,3 +107,7 @@ def test_r22_days_agree(spark, cut):
 
 def test_t16_chunks_agree(spark, cut):
     _both(engine_q.t16_chunks_agree, spark, cut)
+
+
+def test_m10_perturbed_outflow(spark, cut):
+    _both(routing_q.m10_perturbed_outflow, spark, cut)
